@@ -19,6 +19,11 @@ def lookup(pairs, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)]), key)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """Decimal text rounded from the exact binary value, as C printf does."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
 def severity_label(code: Column) -> Column:
     steps = ref.SEVERITY_LABELS
     return reduce(lambda acc, s: F.when(code <= s[0], s[1]).otherwise(acc), reversed(steps[:-1]), F.lit(steps[-1][1]))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavetrail.functions.scalars import fixed
 from wavetrail.operators.filters import Filter, all_of, apply_optional, resolve_field
 
 SECOND_NS = 1_000_000_000
@@ -94,7 +95,7 @@ class EventQuery:
 def facets(log: DataFrame, field: str, limit: int) -> DataFrame:
     """Most frequent values of one field; floats read as four decimals."""
     column, _ = resolve_field(field)
-    text = F.format_string("%.4f", column) if dict(log.dtypes).get(field) == "double" else column.cast("string")
+    text = fixed(column, 4) if dict(log.dtypes).get(field) == "double" else column.cast("string")
     counts = log.where(column.isNotNull()).groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
     return counts.orderBy(F.desc("cnt"), "value").limit(limit)
 

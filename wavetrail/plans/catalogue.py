@@ -1,3 +1,5 @@
 """Imports every plan module, which registers its queries."""
 
 import wavetrail.plans.events  # noqa: F401
+import wavetrail.plans.history  # noqa: F401
+import wavetrail.plans.network  # noqa: F401
