@@ -21,7 +21,7 @@ def lookup(pairs, key: Column) -> Column:
 
 def fixed(value: Column, places: int) -> Column:
     """Decimal text rounded from the exact binary value, as C printf does."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+    return F.call_function("format_number", value, F.lit("0." + "0" * places if places else "0"))
 
 
 def severity_label(code: Column) -> Column:
