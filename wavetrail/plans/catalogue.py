@@ -2,5 +2,6 @@
 
 import wavetrail.plans.events  # noqa: F401
 import wavetrail.plans.history  # noqa: F401
+import wavetrail.plans.emitters  # noqa: F401
 import wavetrail.plans.network  # noqa: F401
 import wavetrail.plans.spectrum  # noqa: F401
