@@ -5,4 +5,5 @@ import wavetrail.plans.history  # noqa: F401
 import wavetrail.plans.emitters  # noqa: F401
 import wavetrail.plans.messages  # noqa: F401
 import wavetrail.plans.network  # noqa: F401
+import wavetrail.plans.rules  # noqa: F401
 import wavetrail.plans.spectrum  # noqa: F401
