@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,15 +206,18 @@ def claim_emitters(peaks: DataFrame, tolerance_mhz: float = 0.5) -> DataFrame:
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_s", "freq_mhz"])
-        known: list[float] = []
+        known: list[float] = []  # sorted; emitters lie at least the tolerance apart
+        born: dict[float, int] = {}
         owner = []
-        for f in pdf["freq_mhz"].to_numpy():
-            near = np.flatnonzero(np.abs(np.asarray(known) - f) < tolerance_mhz) if known else []
-            if len(near) == 0:
-                known.append(f)
-                owner.append(f)
+        for f in pdf["freq_mhz"].tolist():
+            at = bisect_left(known, f)
+            near = [e for e in known[max(at - 1, 0): at + 1] if abs(e - f) < tolerance_mhz]
+            if near:
+                owner.append(min(near, key=born.get))
             else:
-                owner.append(known[near[0]])
+                known.insert(at, f)
+                born[f] = len(born)
+                owner.append(f)
         return pd.DataFrame({
             "emitter_mhz": owner, "freq_mhz": pdf["freq_mhz"].to_numpy(), "first_s": pdf["first_s"].to_numpy(),
             "last_s": pdf["last_s"].to_numpy(), "hits": pdf["hits"].to_numpy(),

@@ -16,7 +16,7 @@ from wavetrail.functions.scalars import haversine_m
 from wavetrail.operators.ordered import NS
 
 EXIT_FACTOR = 2.0
-NOWHERE = -1
+NOWHERE, ELSEWHERE = -1, -2
 LAT_METRES = 110_000.0
 
 
@@ -60,41 +60,49 @@ def _run(state: int, enters, keeps, visit=None) -> int:
 
 def site_visits(positions: DataFrame, sites: DataFrame, max_radius_m: float, width: int = 86400 * NS) -> DataFrame:
     """Enter and exit events of every device, in its own time order."""
-    cut = near_sites(positions, sites, max_radius_m).select("device", "timestamp_ns", "id", "enter", "keep").withColumn(
-        "slice", F.expr(f"timestamp_ns div {width}L")
+    row = F.struct("timestamp_ns", "id", "enter", "keep")
+    tracks = (
+        near_sites(positions, sites, max_radius_m).withColumn("slice", F.expr(f"timestamp_ns div {width}L"))
+        .groupBy("device", "slice").agg(F.array_sort(F.collect_list(row)).alias("track"))
     )
 
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_ns", "id"])
-        enters, keeps = pdf["enter"].tolist(), [set(k) for k in pdf["keep"]]
-        # A site not near the first position is left at once, whichever it is.
-        starts = [NOWHERE, -2, *keeps[0]]
-        return pd.DataFrame({
-            "device": pdf["device"].iloc[0], "slice": pdf["slice"].iloc[0], "before": starts,
-            "after": [_run(s, enters, keeps) for s in starts],
-        })
-
-    tables = cut.groupBy("device", "slice").applyInPandas(table, "device long, slice long, before long, after long")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = NOWHERE, []
-        for s, part in pdf.sort_values("slice").groupby("slice", sort=True):
-            out.append((pdf["device"].iloc[0], s, state))
-            steps = dict(zip(part["before"], part["after"]))
-            state = steps.get(state, steps[-2])
-        return pd.DataFrame(out, columns=["device", "slice", "state"])
-
-    states = tables.groupBy("device").applyInPandas(chain, "device long, slice long, state long")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_ns", "id"])
-        ids, times, out = pdf["id"].tolist(), pdf["timestamp_ns"].tolist(), []
-        _run(
-            int(pdf["state"].iloc[0]), pdf["enter"].tolist(), [set(k) for k in pdf["keep"]],
-            lambda i, kind, site: out.append((pdf["device"].iloc[0], ids[i], times[i], kind, site)),
-        )
-        return pd.DataFrame(out, columns=["device", "id", "timestamp_ns", "change", "site_id"])
-
-    return cut.join(states, ["device", "slice"]).groupBy("device", "slice").applyInPandas(
-        replay, "device long, id long, timestamp_ns long, change string, site_id long"
+    @F.pandas_udf("array<struct<before: bigint, after: bigint>>")
+    def outcomes(track: pd.Series) -> pd.Series:
+        out = []
+        for t in track:
+            enters, keeps = [r["enter"] for r in t], [set(r["keep"]) for r in t]
+            # A site not near the first position is left at once, whichever it is.
+            out.append([{"before": s, "after": _run(s, enters, keeps)} for s in (NOWHERE, ELSEWHERE, *keeps[0])])
+        return pd.Series(out)
+
+    @F.pandas_udf("array<bigint>")
+    def chained(steps: pd.Series) -> pd.Series:
+        out = []
+        for table in steps:
+            state, before = NOWHERE, []
+            for step in table:
+                before.append(state)
+                after = {x["before"]: x["after"] for x in step["after"]}
+                state = after.get(state, after[ELSEWHERE])
+            out.append(before)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<struct<id: bigint, timestamp_ns: bigint, change: string, site_id: bigint>>")
+    def replay(track: pd.Series, state: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(track, state):
+            seen = []
+            note = lambda i, kind, site, t=t, seen=seen: seen.append(
+                {"id": t[i]["id"], "timestamp_ns": t[i]["timestamp_ns"], "change": kind, "site_id": site}
+            )
+            _run(int(s), [r["enter"] for r in t], [set(r["keep"]) for r in t], note)
+            out.append(seen)
+        return pd.Series(out)
+
+    steps = (
+        tracks.withColumn("after", outcomes("track")).groupBy("device")
+        .agg(F.array_sort(F.collect_list(F.struct("slice", "after"))).alias("steps"))
     )
+    pairs = F.arrays_zip(F.transform("steps", lambda x: x["slice"]).alias("slice"), chained("steps").alias("state"))
+    states = steps.select("device", F.inline(pairs))
+    return tracks.join(states, ["device", "slice"]).select("device", F.inline(replay("track", "state")))

@@ -198,15 +198,19 @@ def distinct_firings(log: DataFrame, rules: list[Rule], step_s: int, start_s: in
         "rule_id", "grp",
         F.inline(F.array(F.struct(F.col("cell").alias("cell"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("cell"), F.lit(-1).alias("d")))),
     ).groupBy("rule_id", "grp", "cell").agg(F.sum("d").alias("d"))
-    groups = steps.select("rule_id", "grp").distinct()
-    base = grid(log.sparkSession, rules, step_s, start_s, end_s)
-    upto = Window.partitionBy("rule_id", "grp").orderBy("cell")
-    counts = (
-        base.join(groups, "rule_id").join(steps, ["rule_id", "grp", "cell"], "left").fillna(0, ["d"])
-        .withColumn("n", F.sum("d").over(upto)).where((F.col("cell") >= start_s // step_s) & (F.col("n") > 0))
+    # The count holds from one change to the next, so only spans that fire are spelled out.
+    w = Window.partitionBy("rule_id", "grp").orderBy("cell")
+    spans = (
+        steps.withColumn("n", F.sum("d").over(w))
+        .withColumn("from", F.greatest(F.col("cell"), F.lit(start_s // step_s)))
+        .withColumn("to", F.least(F.lead("cell").over(w) - 1, F.lit(end_s // step_s)))
+        .where((F.col("n") > 0) & (F.col("from") <= F.col("to")))
     )
     fires = reduce(lambda a, b: a | b, [(F.col("rule_id") == r.id) & COMPARE[r.op](F.col("n").cast("double"), F.lit(float(r.value))) for r in rules])
-    return counts.where(fires).select("rule_id", "grp", (F.col("cell") * step_s).alias("at_s"), F.col("n").alias("match_count"))
+    at = F.explode(F.sequence("from", "to"))
+    return spans.where(fires).select("rule_id", "grp", at.alias("at"), F.col("n").alias("match_count")).select(
+        "rule_id", "grp", (F.col("at") * step_s).alias("at_s"), "match_count"
+    )
 
 
 def new_value_firings(log: DataFrame, rule: Rule, step_s: int, start_s: int, end_s: int) -> DataFrame:

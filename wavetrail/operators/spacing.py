@@ -2,8 +2,10 @@
 
 Cooldowns and tolerance de-duplication share this rule. It is a recursion, so no
 window function states it. A slice of the ordered values turns into a small step
-function (value the slice starts from -> last value it keeps); the step functions
-of a key are chained, and then every slice picks its rows on its own.
+function (value the slice is entered at -> last value it keeps); the step
+functions of a key are chained, and then every slice picks its values on its own.
+Slices travel as one sorted array per (key, slice), so Python sees whole batches
+of slices at a time.
 """
 
 from __future__ import annotations
@@ -14,15 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _next_index(v: np.ndarray, distance: float, strict: bool) -> np.ndarray:
-    """For each sorted value, the index of the next value that may be kept."""
-    return np.searchsorted(v, v + distance, side="right" if strict else "left")
+def _entry(values: np.ndarray, last, distance, strict: bool) -> int:
+    """Index of the first value that may follow ``last``."""
+    if last is None or last != last:
+        return 0
+    return int(np.searchsorted(values, last + distance, side="right" if strict else "left"))
 
 
-def _first_index(v: np.ndarray, last: float | None, distance: float, strict: bool) -> int:
-    if last is None or pd.isna(last):
-        return 0
-    return int(np.searchsorted(v, last + distance, side="right" if strict else "left"))
+def _steps(values: np.ndarray, start, distance, strict: bool) -> list[dict]:
+    """Runs of entry values that lead to the same last kept value."""
+    n = len(values)
+    nxt = np.searchsorted(values, values + distance, side="right" if strict else "left")
+    exits = values.copy()
+    for i in range(n - 1, -1, -1):
+        if nxt[i] < n:
+            exits[i] = exits[nxt[i]]
+    # A value kept earlier blocks at most `distance` from the start of the slice,
+    # so no entry lies beyond the first value after that.
+    reach = int(np.searchsorted(values, start + distance, side="right")) + 1
+    values, exits = values[:reach], exits[:reach]
+    change = np.r_[exits[1:] != exits[:-1], True]
+    return [{"upto": u, "exit": e} for u, e in zip(values[change].tolist(), exits[change].tolist())]
 
 
 def spaced_rows(
@@ -35,54 +49,52 @@ def spaced_rows(
     or double column; ``key`` must not be NULL.
     """
     dtype = dict(df.dtypes)[value]
-    ktype = dict(df.dtypes)[key]
     if dtype == "double":
-        width = float(max(slice_width, distance))
+        np_type, width = "float64", float(max(slice_width, distance))
         cell = F.floor(F.col(value) / F.lit(width)).cast("long")
     else:  # whole numbers stay whole: nanoseconds do not fit a double
-        distance, width = int(distance), int(max(slice_width, distance))
+        np_type, distance, width = "int64", int(distance), int(max(slice_width, distance))
         cell = F.expr(f"{value} div {width}L")
-    cells = df.select(key, value).where(F.col(value).isNotNull()).distinct().withColumn("_cell", cell)
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy())
-        nxt = _next_index(v, distance, strict)
-        exits = v.copy()
-        for i in range(len(v) - 1, -1, -1):
-            if nxt[i] < len(v):
-                exits[i] = exits[nxt[i]]
-        # A value kept earlier blocks at most `distance` from the start of the
-        # cell, so later entry points than the first value beyond cannot occur.
-        reach = int(np.searchsorted(v, int(pdf["_cell"].iloc[0]) * width + distance, side="right")) + 1
-        v, exits = v[:reach], exits[:reach]
-        change = np.r_[exits[1:] != exits[:-1], True]
-        return pd.DataFrame(
-            {key: pdf[key].iloc[0], "_cell": pdf["_cell"].iloc[0], "_upto": v[change], "_exit": exits[change]}
-        )
-
-    steps = cells.groupBy(key, "_cell").applyInPandas(step, f"{key} {ktype}, _cell long, _upto {dtype}, _exit {dtype}")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for cell, part in pdf.sort_values(["_cell", "_upto"]).groupby("_cell", sort=True):
-            out.append((pdf[key].iloc[0], cell, last))
-            upto, exits = part["_upto"].to_numpy(), part["_exit"].to_numpy()
-            floor = -np.inf if last is None else last + distance
-            i = int(np.searchsorted(upto, floor, side="right" if strict else "left"))
-            if i < len(exits):
-                last = exits[i]
-        return pd.DataFrame(out, columns=[key, "_cell", "_last"]).astype({"_last": "float64" if dtype == "double" else "Int64"})
-
-    carries = steps.groupBy(key).applyInPandas(chain, f"{key} {ktype}, _cell long, _last {dtype}")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy())
-        nxt = _next_index(v, distance, strict)
-        last = pdf["_last"].iloc[0]
-        i, kept = _first_index(v, last, distance, strict), []
-        while i < len(v):
-            kept.append(v[i])
-            i = nxt[i]
-        return pd.DataFrame({key: pdf[key].iloc[0], value: np.array(kept, dtype=v.dtype)})
-
-    return cells.join(carries, [key, "_cell"]).groupBy(key, "_cell").applyInPandas(pick, f"{key} {ktype}, {value} {dtype}")
+    slices = (
+        df.select(key, value).where(F.col(value).isNotNull()).withColumn("_cell", cell)
+        .groupBy(key, "_cell").agg(F.array_sort(F.collect_set(value)).alias("_values"))
+    )
+
+    @F.pandas_udf(f"array<struct<upto: {dtype}, exit: {dtype}>>")
+    def steps(values: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([_steps(np.asarray(v, dtype=np_type), c * width, distance, strict) for v, c in zip(values, cells)])
+
+    @F.pandas_udf(f"array<{dtype}>")
+    def carried(tables: pd.Series) -> pd.Series:
+        out = []
+        for table in tables:
+            last, before = None, []
+            for step in table:
+                before.append(last)
+                upto = np.asarray([s["upto"] for s in step["s"]], dtype=np_type)
+                i = _entry(upto, last, distance, strict)
+                if i < len(upto):
+                    last = step["s"][i]["exit"]
+            out.append(before)
+        return pd.Series(out)
+
+    @F.pandas_udf(f"array<{dtype}>")
+    def picked(values: pd.Series, entered: pd.Series) -> pd.Series:
+        out = []
+        for v, before in zip(values, entered):
+            v = np.asarray(v, dtype=np_type)
+            nxt = np.searchsorted(v, v + distance, side="right" if strict else "left")
+            i, kept = _entry(v, before[0], distance, strict), []
+            while i < len(v):
+                kept.append(v[i])
+                i = nxt[i]
+            out.append(np.asarray(kept, dtype=np_type))
+        return pd.Series(out)
+
+    tables = (
+        slices.withColumn("_s", steps("_values", "_cell")).groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_cell").alias("c"), F.col("_s").alias("s")))).alias("_t"))
+    )
+    before = tables.select(key, F.explode(F.arrays_zip(F.transform("_t", lambda t: t["c"]).alias("c"), carried("_t").alias("b"))).alias("z"))
+    entered = before.select(key, F.col("z.c").alias("_cell"), F.array("z.b").alias("_before"))
+    return slices.join(entered, [key, "_cell"]).select(key, F.explode(picked("_values", "_before")).alias(value))

@@ -206,9 +206,8 @@ def _(v):
     b = lambda c: F.floor(F.col(c) / F.lit(0.015)).cast("long")
     # The best fingerprint per exact frequency is enough, so the join stays small.
     best = catalogue(v).groupBy("freq_mhz").agg(
-        F.max_by(F.struct("fingerprint_id", "capture_count"), F.struct("capture_count", "fingerprint_id")).alias("hi"),
         F.min(F.struct((-F.col("capture_count")).alias("neg"), F.col("fingerprint_id").alias("fid"))).alias("lo"),
-    ).select("freq_mhz", "lo")
+    )
     cells = v.channels.withColumn("_bin", F.explode(F.array(b("channel_freq") - 1, b("channel_freq"), b("channel_freq") + 1)))
     near = cells.join(best.withColumn("_bin", b("freq_mhz")), "_bin").where(F.abs(F.col("freq_mhz") - F.col("channel_freq")) < 0.015)
     top = near.groupBy("channel_id").agg(F.min("lo").alias("lo"))

@@ -114,7 +114,7 @@ def _(v):
         F.when(k % 6 != 0, F.coalesce("duid", F.lit("HDU"))).alias("duid"), F.when(k % 9 != 0, F.col("talkgroup")).alias("talkgroup"),
         (F.col("source_unit") % 5).alias("source_unit"), "nac", "encrypted", "freq_mhz",
     ))
-    raw = v.ev.select("id", F.from_json(body, schemas.VOICE_METADATA).alias("m")).select("id", "m.*")
+    raw = readers.parse_once(v.ev.select("id", body.alias("text")), "text", schemas.VOICE_METADATA)
     return M.voice_events(raw)
 
 
@@ -129,7 +129,7 @@ def _(v):
         F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" STN"), k, F.lit(" "))).alias("ps"),
         F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("Now "), F.col("body"))).alias("rt"), F.concat(F.lit("C"), F.col("source_unit")).alias("pi"), "freq_mhz",
     ))
-    raw = v.ev.select("id", F.from_json(text, schemas.BROADCAST_METADATA).alias("m")).select("id", "m.*")
+    raw = readers.parse_once(v.ev.select("id", text.alias("text")), "text", schemas.BROADCAST_METADATA)
     from wavetrail.operators.filters import attribute
 
     e = M.broadcast_events(raw)

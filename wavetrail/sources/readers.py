@@ -20,8 +20,8 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
 
 def frequency_list(documents: DataFrame, text: str = "value") -> DataFrame:
     """Rows of ``{conventional: [...]}`` documents, in list order."""
-    parsed = documents.select(F.from_json(text, schemas.FREQUENCY_LIST).alias("d"))
-    return parsed.select(F.posexplode("d.conventional").alias("position", "e")).select("position", "e.*")
+    parsed = parse_once(documents.select(text), text, schemas.FREQUENCY_LIST)
+    return parsed.select(F.posexplode("conventional").alias("position", "e")).select("position", "e.*")
 
 
 def read_frequency_list(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def hex_number(text: Column, default: int) -> Column:
 
 def network_seed(documents: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Sites and talkgroups of seed documents as dimension rows."""
-    d = documents.select(F.from_json(text, schemas.NETWORK_SEED).alias("d")).select("d.*")
+    d = parse_once(documents.select(text), text, schemas.NETWORK_SEED)
     # Identifiers assumed where a document names none.
     wacn, system_id = hex_number(F.col("wacn"), 0xBEE00), hex_number(F.col("system_id"), 0x3CC)
     ccs = F.col("s.control_channels")
@@ -78,7 +78,15 @@ def iq_files(spark: SparkSession, path: str, pairs_per_row: int = 65_536) -> Dat
 
 
 def protocol_messages(messages: DataFrame, text: str = "message") -> DataFrame:
-    """Tagged-union JSON to typed columns under ``payload``."""
-    keep = [c for c in messages.columns if c != text]
-    parsed = messages.withColumn("_m", F.from_json(text, schemas.PROTOCOL_MESSAGE))
-    return parsed.select(*keep, F.col("_m.nac").alias("nac"), F.col("_m.payload").alias("payload"))
+    """Tagged-union JSON to typed columns ``nac`` and ``payload``."""
+    return parse_once(messages, text, schemas.PROTOCOL_MESSAGE)
+
+
+def parse_once(df: DataFrame, text: str, schema) -> DataFrame:
+    """Replace a JSON text column by its top-level fields, parsing each row once.
+
+    Selecting fields of ``from_json`` would parse the text again for every field
+    used; going through a generator keeps it to one parse.
+    """
+    keep = [c for c in df.columns if c != text]
+    return df.select(*keep, F.inline(F.array(F.from_json(text, schema))))

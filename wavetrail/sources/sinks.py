@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetrail.operators.query import SECOND_NS
+from wavetrail.session import shared_dir
 
 # Statements a read-only session refuses, and its row limit.
 WRITE_VERBS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "ATTACH", "DETACH", "PRAGMA")
@@ -47,27 +50,30 @@ def kept_after_purge(log: DataFrame, before_ns: int) -> DataFrame:
     return log.where(~purged(before_ns))
 
 
-def purge_log(spark: SparkSession, path: str, before_ns: int) -> None:
-    """Apply a purge to a stored log by rewriting only the day it cuts.
+def purge_table(spark: SparkSession, table: str, before_ns: int) -> None:
+    """Purge a stored log that is partitioned by ``event_date``.
 
-    Whole days before the cut are replaced by nothing, the day of the cut by
-    its kept rows; later days are not read.
+    Days before the cut are dropped as partitions, the day of the cut is replaced
+    by its kept rows, and later days are not read. The kept rows go through the
+    shared folder because a table cannot be overwritten while it is read.
     """
-    day = F.to_date(F.timestamp_seconds(F.lit(before_ns // SECOND_NS)))
-    log = spark.read.parquet(path)
-    cut_day = kept_after_purge(log.where(F.col("event_date") == day), before_ns)
-    staging = f"{path.rstrip('/')}_purge_{before_ns}"
-    cut_day.write.mode("overwrite").partitionBy("event_date").parquet(staging)
-    old = [r["event_date"] for r in log.where(F.col("event_date") < day).select("event_date").distinct().collect()]
-    from_staging = spark.read.schema(log.schema).parquet(staging)
-    (
-        from_staging.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date").parquet(path)
-    )
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for d in old:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/event_date={d}")
-        folder.getFileSystem(conf).delete(folder, True)
+    cut_day = F.to_date(F.timestamp_seconds(F.lit(before_ns // SECOND_NS)))
+    log = spark.table(table)
+    staging = f"{shared_dir(spark)}/purge-{table}-{before_ns}"
+    kept_after_purge(log.where(F.col("event_date") == cut_day), before_ns).write.mode("overwrite").parquet(staging)
+    kept = spark.read.schema(log.schema).parquet(staging)
+    day = datetime.datetime.fromtimestamp(before_ns // SECOND_NS, datetime.timezone.utc).date().isoformat()
+    # Partition names only: one short row per day of record.
+    days = sorted(r["partition"].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
+    drop = [d for d in days if d < day]
+    if kept.isEmpty():
+        drop += [d for d in days if d == day]
+    else:
+        columns = ", ".join(c for c in log.columns if c != "event_date")
+        kept.createOrReplaceTempView("kept_rows")
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (event_date = DATE'{day}') SELECT {columns} FROM kept_rows")
+    for d in drop:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE'{d}')")
 
 
 def compact_grants(grants: DataFrame, talkgroups: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
