@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # On the smallest tables these thresholds are met by nothing.
 MAY_BE_EMPTY = {
+    "joi15_stream_correlation", "stm10_correlation_rule",
     "stm05_threshold_rule", "stm07_rate_change_rule", "stm08_cardinality_rule", "stm08b_cardinality_per_radio", "agg04_having",
     "agg32_body_context", "prj17_body_template", "prj18_derived_events", "prj18b_source_links", "udx02_rule_defined_events", "src02_event_by_id",
 }

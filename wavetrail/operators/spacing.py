@@ -2,8 +2,9 @@
 
 Cooldowns and tolerance de-duplication share this rule. It is a recursion, so no
 window function states it. A slice of the ordered values turns into a small step
-function (value the slice is entered at -> last value it keeps); the step
-functions of a key are chained, and then every slice picks its values on its own.
+function (value the slice is entered at -> last value it keeps). The functions
+are chained in blocks, the blocks along the key, and then every slice picks its
+values on its own; no task sees more than one block of functions or one slice.
 Slices travel as one sorted array per (key, slice), so Python sees whole batches
 of slices at a time.
 """
@@ -16,27 +17,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _entry(values: np.ndarray, last, distance, strict: bool) -> int:
-    """Index of the first value that may follow ``last``."""
-    if last is None or last != last:
-        return 0
-    return int(np.searchsorted(values, last + distance, side="right" if strict else "left"))
+BLOCK = 32  # slices chained in one task
 
 
-def _steps(values: np.ndarray, start, distance, strict: bool) -> list[dict]:
-    """Runs of entry values that lead to the same last kept value."""
+def _first_after(values: np.ndarray, last: np.ndarray, distance, strict: bool) -> np.ndarray:
+    """Index of the first of ``values`` that may follow each of ``last``."""
+    return np.searchsorted(values, last + distance, side="right" if strict else "left")
+
+
+def _known(value):
+    """None for a missing value, which Arrow may hand over as NaN."""
+    return None if value is None or value != value else value
+
+
+def _runs(upto: np.ndarray, exits: np.ndarray) -> list[dict]:
+    """One step per run of entries that lead to the same last kept value."""
+    change = np.r_[exits[1:] != exits[:-1], True]
+    return [{"upto": u, "exit": e} for u, e in zip(upto[change].tolist(), exits[change].tolist())]
+
+
+def _slice_steps(values: np.ndarray, start, distance, strict: bool) -> list[dict]:
+    """Last kept value of a slice for every value it can be entered at."""
     n = len(values)
-    nxt = np.searchsorted(values, values + distance, side="right" if strict else "left")
-    exits = values.copy()
-    for i in range(n - 1, -1, -1):
-        if nxt[i] < n:
-            exits[i] = exits[nxt[i]]
+    nxt = _first_after(values, values, distance, strict)
+    end = np.where(nxt < n, nxt, np.arange(n))
+    while not np.array_equal(end[end], end):  # follow the hops, doubling each time
+        end = end[end]
     # A value kept earlier blocks at most `distance` from the start of the slice,
     # so no entry lies beyond the first value after that.
     reach = int(np.searchsorted(values, start + distance, side="right")) + 1
-    values, exits = values[:reach], exits[:reach]
-    change = np.r_[exits[1:] != exits[:-1], True]
-    return [{"upto": u, "exit": e} for u, e in zip(values[change].tolist(), exits[change].tolist())]
+    return _runs(values[:reach], values[end][:reach])
+
+
+def _table(step, np_type: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray([s["upto"] for s in step], dtype=np_type), np.asarray([s["exit"] for s in step], dtype=np_type)
+
+
+def _follow(last: np.ndarray, tables, distance, strict: bool) -> np.ndarray:
+    """Last kept values after further slices, entered after each of ``last``."""
+    for upto, exits in tables:
+        i = _first_after(upto, last, distance, strict)
+        go = i < len(upto)
+        last = np.where(go, exits[np.minimum(i, len(upto) - 1)], last)
+    return last
+
+
+def _block_steps(tables, start, distance, strict: bool) -> list[dict]:
+    """The step function of several slices in a row."""
+    upto, exits = [], []
+    for j, (u, e) in enumerate(tables):
+        upto.append(u)
+        exits.append(_follow(e, tables[j + 1:], distance, strict))
+        if u[-1] >= start + distance:
+            break
+    return _runs(np.concatenate(upto), np.concatenate(exits))
+
+
+def _carries(tables, last, distance, strict: bool, np_type: str) -> list:
+    """Last kept value before each table, from ``last`` before the first."""
+    before, last = [], _known(last)
+    for upto, exits in tables:
+        before.append(last)
+        i = 0 if last is None else int(_first_after(upto, np.asarray(last, dtype=np_type), distance, strict))
+        if i < len(upto):
+            last = exits[i].item()
+    return before
 
 
 def spaced_rows(
@@ -60,41 +105,53 @@ def spaced_rows(
         .groupBy(key, "_cell").agg(F.array_sort(F.collect_set(value)).alias("_values"))
     )
 
-    @F.pandas_udf(f"array<struct<upto: {dtype}, exit: {dtype}>>")
-    def steps(values: pd.Series, cells: pd.Series) -> pd.Series:
-        return pd.Series([_steps(np.asarray(v, dtype=np_type), c * width, distance, strict) for v, c in zip(values, cells)])
+    step_type = f"array<struct<upto: {dtype}, exit: {dtype}>>"
+
+    @F.pandas_udf(step_type)
+    def slice_steps(values: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([_slice_steps(np.asarray(v, dtype=np_type), c * width, distance, strict) for v, c in zip(values, cells)])
+
+    @F.pandas_udf(step_type)
+    def block_steps(tables: pd.Series, blocks: pd.Series) -> pd.Series:
+        starts = blocks * BLOCK * width
+        return pd.Series([
+            _block_steps([_table(x["s"], np_type) for x in t], start, distance, strict) for t, start in zip(tables, starts)
+        ])
 
     @F.pandas_udf(f"array<{dtype}>")
-    def carried(tables: pd.Series) -> pd.Series:
-        out = []
-        for table in tables:
-            last, before = None, []
-            for step in table:
-                before.append(last)
-                upto = np.asarray([s["upto"] for s in step["s"]], dtype=np_type)
-                i = _entry(upto, last, distance, strict)
-                if i < len(upto):
-                    last = step["s"][i]["exit"]
-            out.append(before)
-        return pd.Series(out)
+    def carries(tables: pd.Series, entered: pd.Series) -> pd.Series:
+        return pd.Series([
+            _carries([_table(x["s"], np_type) for x in t], before[0], distance, strict, np_type) for t, before in zip(tables, entered)
+        ])
 
     @F.pandas_udf(f"array<{dtype}>")
     def picked(values: pd.Series, entered: pd.Series) -> pd.Series:
         out = []
         for v, before in zip(values, entered):
             v = np.asarray(v, dtype=np_type)
-            nxt = np.searchsorted(v, v + distance, side="right" if strict else "left")
-            i, kept = _entry(v, before[0], distance, strict), []
+            nxt = _first_after(v, v, distance, strict)
+            last = _known(before[0])
+            i = 0 if last is None else int(_first_after(v, np.asarray(last, dtype=np_type), distance, strict))
+            kept = []
             while i < len(v):
                 kept.append(v[i])
                 i = nxt[i]
             out.append(np.asarray(kept, dtype=np_type))
         return pd.Series(out)
 
-    tables = (
-        slices.withColumn("_s", steps("_values", "_cell")).groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_cell").alias("c"), F.col("_s").alias("s")))).alias("_t"))
+    def spread(df: DataFrame, id_column: str) -> DataFrame:
+        """Carry values beside the ids of the tables they belong to."""
+        pairs = F.arrays_zip(F.transform("_t", lambda t: t["c"]).alias("c"), F.col("_b").alias("b"))
+        return df.select(key, F.explode(pairs).alias("z")).select(key, F.col("z.c").alias(id_column), F.array("z.b").alias("_before"))
+
+    # Slices chain inside blocks, blocks chain along the key, and the carries go back down.
+    listed = lambda c, s: F.array_sort(F.collect_list(F.struct(F.col(c).alias("c"), F.col(s).alias("s")))).alias("_t")
+    blocks = (
+        slices.withColumn("_s", slice_steps("_values", "_cell")).withColumn("_block", F.expr(f"floor(_cell / {BLOCK})"))
+        .groupBy(key, "_block").agg(listed("_cell", "_s"))
     )
-    before = tables.select(key, F.explode(F.arrays_zip(F.transform("_t", lambda t: t["c"]).alias("c"), carried("_t").alias("b"))).alias("z"))
-    entered = before.select(key, F.col("z.c").alias("_cell"), F.array("z.b").alias("_before"))
-    return slices.join(entered, [key, "_cell"]).select(key, F.explode(picked("_values", "_before")).alias(value))
+    chains = blocks.withColumn("_bs", block_steps("_t", "_block")).groupBy(key).agg(listed("_block", "_bs"))
+    nothing = F.array(F.lit(None).cast(dtype))
+    into_blocks = spread(chains.withColumn("_b", carries("_t", nothing)), "_block")
+    into_slices = spread(blocks.join(into_blocks, [key, "_block"]).withColumn("_b", carries("_t", "_before")), "_cell")
+    return slices.join(into_slices, [key, "_cell"]).select(key, F.explode(picked("_values", "_before")).alias(value))

@@ -167,8 +167,8 @@ REPORT_SQL = f"""SELECT section, position, payload FROM (
   UNION ALL SELECT 'emitters', rn, concat('{{"fingerprint_id":"', fingerprint_id, '","capture_count":', capture_count, ',"last_ns":', last_ns, '}}') FROM (SELECT *, row_number() OVER (ORDER BY last_ns DESC, fingerprint_id) AS rn FROM fpcat) WHERE rn <= 100
   UNION ALL SELECT 'anomalies', rn, concat('{{"frame_id":', frame_id, ',"bin":', bin, ',"kind":"', kind, '"}}') FROM (SELECT *, row_number() OVER (ORDER BY t_s DESC, bin) AS rn FROM anom WHERE rk <= 5) WHERE rn <= 100
   UNION ALL SELECT 'drones', rn, concat('{{"id":', id, ',"timestamp_ns":', timestamp_ns, '}}') FROM (SELECT *, row_number() OVER (ORDER BY timestamp_ns DESC, id DESC) AS rn FROM hits) WHERE rn <= 50
-  UNION ALL SELECT 'recommendations', 1, concat('{{"text":"Investigate ', (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}), ' unknown/new emitters in catalog"}}')
-  UNION ALL SELECT 'recommendations', 2, concat('{{"text":"Acknowledge and investigate ', (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5), ' CRITICAL anomalies"}}') WHERE (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5) > 0)"""
+  UNION ALL SELECT 'recommendations', 1, concat('{{"text":"Investigate ', (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}), ' unknown/new emitters in catalog"}}') WHERE (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) > 0
+  UNION ALL SELECT 'recommendations', n, concat('{{"text":"Acknowledge and investigate ', (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5), ' CRITICAL anomalies"}}') FROM (SELECT CASE WHEN (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) > 0 THEN 2 ELSE 1 END AS n) WHERE (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5) > 0)"""
 
 
 @query("snk10_sectioned_report", f"SELECT section, position, payload, sha256(payload) AS hash FROM ({REPORT_SQL})", FPC_CTE + "," + ANOM_CTE)
