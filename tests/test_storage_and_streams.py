@@ -67,6 +67,25 @@ def test_stream_cooldown_over_batches(spark, views, parts, tmp_path):
     assert got == want
 
 
+def test_stream_distinct_windows(spark, views, parts, tmp_path):
+    rule = Rule(13, "bands", "cardinality", (P.Exists("uid"),), 6 * 3600, "gte", 3.0, field="band")
+    out = J.cardinality_stream(J.log_stream(spark, parts), rule, 3600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    J.run_to_end(out, f"{tmp_path}/cp")
+    got = {r["at"] for r in spark.read.schema("rule_id int, at timestamp, match_count long").parquet(f"{tmp_path}/out").collect()}
+    w = F.window("ts", "6 hours", "1 hour")
+    want = {r.w.end for r in views.ev.groupBy(w.alias("w")).agg(F.count_distinct("band").alias("n")).where("n >= 3").collect()}
+    assert got and got <= want
+
+
+def test_stream_absence_finds_every_silence(spark, views, parts, tmp_path):
+    rule = Rule(4, "quiet", "absence", (P.Eq("type", "spectrum.detect"),), 8 * 3600)
+    J.run_to_end(J.absence_stream(J.log_stream(spark, parts), rule).writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
+    rows = spark.read.schema("rule_id int, since_ns long, until_ns long").parquet(f"{tmp_path}/out").collect()
+    times = [r.timestamp_ns for r in views.hits.orderBy("timestamp_ns").collect()]
+    want = {(a, b) for a, b in zip(times, times[1:]) if b - a > 8 * 3600 * NS}
+    assert want and {(r.since_ns, r.until_ns) for r in rows if r.until_ns} == want
+
+
 def test_partition_pruning_reaches_the_scan(spark, views, tmp_path):
     from wavetrail.operators.query import time_range
 

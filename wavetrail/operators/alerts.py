@@ -27,10 +27,12 @@ def decode_headers(rows: DataFrame, header: str = "header") -> DataFrame:
     """Fields of each valid header; invalid ones give no row."""
     clean = F.regexp_replace(F.trim(F.col(header)), "-+$", "")
     body = F.split(F.regexp_replace(F.substring(clean, 5, 1_000_000), "^-", ""), "-")
-    cut = rows.withColumn("_clean", clean).where(F.col("_clean").startswith("ZCZC")).withColumn("_p", body).where(F.size("_p") >= 4)
     p = F.col("_p")
     plus = F.array_position(F.transform(p, lambda x, i: (i >= 2) & x.contains("+")), True).cast("int") - 1
-    marked = cut.withColumn("_plus", F.when(plus >= 0, plus))
+    # Generators keep the split and its marks from being worked out anew for every field.
+    valid = rows.where(F.trim(F.col(header)).startswith("ZCZC"))
+    cut = valid.select("*", F.explode(F.array(body)).alias("_p")).where(F.size("_p") >= 4)
+    marked = cut.select("*", F.explode(F.array(F.when(plus >= 0, plus))).alias("_plus"))
     at = F.col("_plus")
     end = F.get(p, at)
     before = F.slice(p, F.lit(3), F.greatest(F.coalesce(at, F.size(p)) - 2, F.lit(0)))

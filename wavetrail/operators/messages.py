@@ -200,22 +200,22 @@ def network_sites(parsed: DataFrame, system: str) -> DataFrame:
     ).select("id", "timestamp_ns", "system", "rfss_id", "site_id", "wacn", "system_id", "c.*")
     placed = resolve_channels(rows, channel_parameters(parsed))
     order = F.struct("timestamp_ns", "id")
-    per_message = placed.groupBy("id", "timestamp_ns", "system", "rfss_id", "site_id").agg(
-        F.max("wacn").alias("wacn"), F.max("system_id").alias("system_id"),
-        F.max(F.when(F.col("alt").isNull(), F.col("freq_mhz"))).alias("control"),
-        F.nullif(
-            F.concat_ws(",", F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("alt").isNotNull() & F.col("freq_mhz").isNotNull(), F.struct("alt", "freq_mhz")))),
-                lambda s: S.fixed(s["freq_mhz"], 4),
-            )),
-            F.lit(""),
-        ).alias("alt_control"),
-    )
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    return per_message.groupBy("system", "rfss_id", "site_id").agg(
-        *[latest(c) for c in ("wacn", "system_id", "control", "alt_control")], F.count(F.lit(1)).alias("messages"),
+    keys = ["system", "rfss_id", "site_id"]
+    main = F.col("alt").isNull()
+    latest = lambda c, given: F.max_by(c, F.when(given & F.col(c).isNotNull(), order))
+    sites = placed.groupBy(*keys).agg(
+        latest("wacn", F.lit(True)).alias("wacn"), latest("system_id", F.lit(True)).alias("system_id"),
+        latest("freq_mhz", main).alias("control"), F.count(F.when(main | (F.col("alt") == 0), 1)).alias("messages"),
         F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"),
     )
+    # Only messages that list alternates are put together again; a list is one message long.
+    listed_freqs = F.array_sort(F.collect_list(F.struct("alt", "freq_mhz")))
+    alternates = (
+        placed.where(F.col("alt").isNotNull() & F.col("freq_mhz").isNotNull()).groupBy(*keys, "timestamp_ns", "id")
+        .agg(F.concat_ws(",", F.transform(listed_freqs, lambda s: S.fixed(s["freq_mhz"], 4))).alias("alt_control"))
+        .groupBy(*keys).agg(F.max_by("alt_control", order).alias("alt_control"))
+    )
+    return sites.join(alternates, keys, "left")
 
 
 def network_affiliations(parsed: DataFrame, system: str) -> DataFrame:

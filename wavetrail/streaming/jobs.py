@@ -69,6 +69,49 @@ def threshold_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10 mi
     return counts.where(hit).select(F.lit(rule.id).alias("rule_id"), F.col("w.end").alias("at"), "match_count")
 
 
+def cardinality_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10 minutes") -> DataFrame:
+    """Windows of a cardinality rule by an approximate distinct count.
+
+    A stream cannot count distinct values exactly in bounded state.
+    """
+    w = F.window("ts", f"{rule.window_sec} seconds", f"{step_s} seconds")
+    value = resolve_field(rule.field)[0]
+    keys = [w.alias("w"), *[resolve_field(g)[0].alias(g) for g in rule.group_by]]
+    counts = log.withWatermark("ts", late).where(all_of(rule.filters)).groupBy(*keys).agg(F.approx_count_distinct(value, 0.01).alias("match_count"))
+    hit = COMPARE[rule.op](F.col("match_count").cast("double"), F.lit(float(rule.value)))
+    return counts.where(hit).select(F.lit(rule.id).alias("rule_id"), F.col("w.end").alias("at"), *rule.group_by, "match_count")
+
+
+def absence_stream(log: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFrame:
+    """A row for each silence of a rule's events longer than its window.
+
+    A silence shows when event time passes the last match by the window, either
+    by the timer or by the next match. ``until_ns`` is NULL while it lasts.
+    """
+    window_ns = rule.window_sec * NS
+
+    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, False)
+        out = []
+        if state.hasTimedOut:
+            out.append((int(key[0]), last, None))
+            state.update((last, True))
+        else:
+            for ns in sorted(int(n) for b in batches for n in b["timestamp_ns"]):
+                if last is not None and ns - last > window_ns:
+                    out.append((int(key[0]), last, ns))
+                last, told = (ns if last is None else max(last, ns)), False
+            state.update((last, told))
+            state.setTimeoutTimestamp(max((last + window_ns) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        frame = pd.DataFrame(out, columns=["rule_id", "since_ns", "until_ns"])
+        yield frame.astype({"rule_id": "int32", "since_ns": "int64", "until_ns": "Int64"})
+
+    hits = log.withWatermark("ts", late).where(all_of(rule.filters)).select("ts", "timestamp_ns", F.lit(rule.id).alias("rule_id"))
+    return hits.groupBy("rule_id").applyInPandasWithState(
+        watch, "rule_id int, since_ns long, until_ns long", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def new_value_stream(log: DataFrame, rule: Rule) -> DataFrame:
     """First sighting of each value; it counts as new again after the look-back."""
     value = resolve_field(rule.field)[0].cast("string")
