@@ -89,7 +89,7 @@ def test_stream_absence_finds_every_silence(spark, views, parts, tmp_path):
 def test_partition_pruning_reaches_the_scan(spark, views, tmp_path):
     from wavetrail.operators.query import time_range
 
-    sinks.append_events(views.ev, f"{tmp_path}/log", 2)
+    sinks.append_events(views.ev, f"{tmp_path}/log")
     log = spark.read.parquet(f"{tmp_path}/log")
     start = (EPOCH_S + 5 * 86400) * NS
     week = time_range(log, start, start + DAY_NS + DAY_NS // 2)

@@ -143,6 +143,19 @@ def lifecycle_events(rows: DataFrame) -> DataFrame:
     return rows.select("id", k.alias("event_type"), F.lit(3).alias("source"), severity.alias("severity"), body.alias("body"))
 
 
+def clip_events(rows: DataFrame) -> DataFrame:
+    """Start and end of a recorded transmission (``ends`` tells which)."""
+    word = F.when(F.col("ends"), "end").otherwise("start")
+    body = F.concat(
+        F.lit("P25 TX "), word, F.lit(": "), S.fixed(F.col("freq_mhz"), 4), F.lit(" MHz TG:"), _text(F.col("talkgroup")), F.lit(" UID:"),
+        _text(F.col("source_unit")), F.when(F.col("encrypted"), " [ENC]").otherwise(""),
+    )
+    return rows.select(
+        "id", F.concat(F.lit("system.clip."), word).alias("event_type"), F.lit(1).alias("source"), F.lit(9).alias("severity"), body.alias("body"),
+        "freq_mhz", "talkgroup", "source_unit", "encrypted",
+    )
+
+
 # --- network tracking ------------------------------------------------------
 
 

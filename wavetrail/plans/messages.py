@@ -169,6 +169,15 @@ def _(v):
     return M.lifecycle_events(rows)
 
 
+@query(
+    "prj14b_clip_events",
+    """SELECT id, CASE WHEN duid = 'TLC' THEN 'system.clip.end' ELSE 'system.clip.start' END AS event_type, 1 AS source, 9 AS severity, freq_mhz, talkgroup, source_unit, encrypted,
+        concat('P25 TX ', CASE WHEN duid = 'TLC' THEN 'end' ELSE 'start' END, ': ', printf('%.4f', freq_mhz), ' MHz TG:', talkgroup, ' UID:', source_unit, CASE WHEN encrypted THEN ' [ENC]' ELSE '' END) AS body FROM ev WHERE duid IS NOT NULL""",
+)
+def _(v):
+    return M.clip_events(v.ev.where(F.col("duid").isNotNull()).withColumn("ends", F.col("duid") == "TLC"))
+
+
 # --- network tracking ------------------------------------------------------
 
 

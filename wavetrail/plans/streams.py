@@ -136,7 +136,7 @@ def week_of(v, path):
 @query("snk01_batch_append", WEEK_SQL)
 def _(v):
     path = scratch(v, "snk01")
-    sinks.append_events(v.ev, path, 2)
+    sinks.append_events(v.ev, path)
     return week_of(v, path)
 
 

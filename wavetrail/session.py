@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Functions sent to executors carry their own code, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules["wavetrail"])
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 

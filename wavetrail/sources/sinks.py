@@ -19,18 +19,15 @@ def with_event_date(log: DataFrame) -> DataFrame:
     return log.withColumn("event_date", F.to_date(F.timestamp_seconds(F.expr(f"timestamp_ns div {SECOND_NS}L"))))
 
 
-def append_events(log: DataFrame, path: str, files_per_day: int = 1) -> None:
+def append_events(log: DataFrame, path: str) -> None:
     """Append to the log, one folder per day, rows of a file in time order.
 
-    Rows spread over ``files_per_day`` writers per day by id, so a busy day is
-    not one task's work.
+    Ranges of (day, time) give writers of equal size, so a busy day is spread
+    over many files and a quiet one is a single file.
     """
-    dated = with_event_date(log)
     (
-        dated.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
-        .repartition("event_date", "_part")
+        with_event_date(log).repartitionByRange("event_date", "timestamp_ns")
         .sortWithinPartitions("event_date", "timestamp_ns")
-        .drop("_part")
         .write.mode("append").partitionBy("event_date").parquet(path)
     )
 
