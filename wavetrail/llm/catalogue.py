@@ -1,3 +1,4 @@
 """Imports every module of this package that registers queries."""
 
 import wavetrail.llm.chat_format  # noqa: F401
+import wavetrail.llm.secret_scan  # noqa: F401
