@@ -2,3 +2,4 @@
 
 import wavetrail.llm.chat_format  # noqa: F401
 import wavetrail.llm.secret_scan  # noqa: F401
+import wavetrail.llm.license_scan  # noqa: F401
