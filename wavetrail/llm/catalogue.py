@@ -4,3 +4,4 @@ import wavetrail.llm.chat_format  # noqa: F401
 import wavetrail.llm.secret_scan  # noqa: F401
 import wavetrail.llm.license_scan  # noqa: F401
 import wavetrail.llm.mixing  # noqa: F401
+import wavetrail.llm.fingerprints  # noqa: F401
