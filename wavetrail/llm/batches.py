@@ -65,7 +65,7 @@ class Totals:
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, dtype=U64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + U64(width) * U64(0xA24BAED4963EE407))
+        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + U64(width * 0xA24BAED4963EE407 % (1 << 64)))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

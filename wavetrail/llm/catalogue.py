@@ -6,3 +6,4 @@ import wavetrail.llm.license_scan  # noqa: F401
 import wavetrail.llm.mixing  # noqa: F401
 import wavetrail.llm.fingerprints  # noqa: F401
 import wavetrail.llm.language_id  # noqa: F401
+import wavetrail.llm.decontamination  # noqa: F401
