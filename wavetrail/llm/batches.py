@@ -90,6 +90,13 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         low = min(high, n)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that hold at most `limit` bytes in a column, or one row."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    for low, high in pieces(np.concatenate([[0], np.cumsum(lengths)]), limit):
+        yield batch.slice(low, high - low)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; words never cross rows."""
     if len(data) == 0:

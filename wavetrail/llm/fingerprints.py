@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetrail.llm.batches import SYMBOLS, U64, Totals, mix, pieces, utf8
+from wavetrail.llm.batches import SYMBOLS, U64, Totals, mix, pieces, slices, utf8
 from wavetrail.llm.registry import query, table
 
 #: Bytes of a chunk: least (the gear window), normal, most.
@@ -194,7 +194,7 @@ def _fingerprints(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     carried = None
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
         if rows.num_rows > 1:
             yield from _fingerprints(rows.combine_chunks()).to_batches()
