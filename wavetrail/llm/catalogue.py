@@ -7,3 +7,5 @@ import wavetrail.llm.mixing  # noqa: F401
 import wavetrail.llm.fingerprints  # noqa: F401
 import wavetrail.llm.language_id  # noqa: F401
 import wavetrail.llm.decontamination  # noqa: F401
+import wavetrail.llm.relative_parse  # noqa: F401
+import wavetrail.llm.suffix_dedup  # noqa: F401
