@@ -10,3 +10,4 @@ import wavetrail.llm.decontamination  # noqa: F401
 import wavetrail.llm.relative_parse  # noqa: F401
 import wavetrail.llm.suffix_dedup  # noqa: F401
 import wavetrail.llm.jaccard_join  # noqa: F401
+import corpus_pipeline  # noqa: F401

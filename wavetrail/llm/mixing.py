@@ -57,15 +57,15 @@ def source_targets(sources: DataFrame, budget: float = BUDGET, repeats: int = RE
 
 
 def streams(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, size, start): where each document's words start in its source's stream."""
+    """(doc_id, row_key, key, size, start): where each document's words start in its source's stream."""
     digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = documents.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** BUCKET_DIGITS rows
     bases = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("key", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "bucket").orderBy("digest", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(bases, ["key", "bucket"]).select("doc_id", "key", "size", (F.col("base") + F.col("inner")).alias("start"))
+    return placed.join(bases, ["key", "bucket"]).select("doc_id", "row_key", "key", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -118,14 +118,14 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS)
 
 
 def mix(documents: DataFrame, weights: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): the words that the mix takes of every document.
+    """(doc_id, row_key, source_key, size, source_size, target, taken): the words that the mix takes of every document.
 
     documents: doc_id, source, text; other columns are ignored. weights: key (see `source_key`) and weight, one row per source; a
     source without a weight has a target of 0. Null text has size 0, null source is a source, repeated rows are documents of
     their own, no rows give no rows.
     """
     spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), count_words(F.col("text")).alias("size"))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), source_key(F.col("source")).alias("key"), count_words(F.col("text")).alias("size"))
     sized = materialise(sized, "mixing-sizes")
     totals = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     totals = totals.join(weights.select("key", F.col("weight").cast("double").alias("weight")), "key", "left").fillna(0.0, ["weight"])
@@ -147,7 +147,7 @@ def mix(documents: DataFrame, weights: DataFrame, budget: float = BUDGET, repeat
     return (
         placed.join(taken, (F.col("size") > 0) & (F.col("key") == F.col("taken_key")) & (F.col("start") == F.col("taken_start")), "left")
         .join(targets.select("key", "source_size", "target"), "key")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "row_key", F.col("key").alias("source_key"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
 
@@ -190,4 +190,4 @@ FROM p JOIN t USING (key)
 @query("op7_source_mix", _SQL)
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return mix(documents, repeating_weights(documents))
+    return mix(documents, repeating_weights(documents)).drop("row_key", "source_key")

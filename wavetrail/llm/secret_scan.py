@@ -29,6 +29,8 @@ from wavetrail.llm.registry import query, table
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "oversized")
 INFLATE_LIMIT = 64 << 20
+#: What stands for a secret that was blanked.
+BLANK = "[secret]"
 #: Shortest run that is tried as base64 or hex.
 MIN_RUN = 16
 
@@ -248,6 +250,35 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan_batches, types)
 
 
+def blanked(text: str) -> str:
+    """The text with every secret (also a decoded one's place) replaced by a mark."""
+    _, spans, _ = find_secrets(text)
+    out, at = [], 0
+    for _, start, end in spans:
+        if end > at:
+            if start >= at:
+                out += [text[at:start], BLANK]
+            at = end
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def redact(documents: DataFrame) -> DataFrame:
+    """All rows and columns, with secrets in text blanked; n_chars, if present, follows the new text. Null text stays null."""
+    columns = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column("text")
+            new = [None if t is None else blanked(t) for t in old.to_pylist()]
+            arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(new, old.type)}
+            if "n_chars" in arrays:
+                same = [n if a == b else len(b) for n, a, b in zip(arrays["n_chars"].to_pylist(), old.to_pylist(), new, strict=True)]
+                arrays["n_chars"] = pa.array(same, arrays["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
