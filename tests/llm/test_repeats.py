@@ -51,8 +51,10 @@ def check_both(spark, rows, parts=3):
     assert sorted(repr(tuple(r)) for r in relative_parse.remove_copied_words(df).collect()) == by_words(rows)
 
 
-def test_mosaics(spark):
+@pytest.mark.parametrize("crowd", [50_000, 6])
+def test_mosaics(spark, monkeypatch, crowd):
     """Texts pasted from common pieces, cut at any place, with repeats inside and periodic parts."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rnd = random.Random(3)
     vocabulary = ["a", "bc", "déf", "g", "hij", "漢", "klm\n", "no.", "p"]
     pool = [" ".join(rnd.choices(vocabulary, k=220)) for _ in range(6)] + ["ab " * 90, "z" * 330]
@@ -68,8 +70,10 @@ def test_mosaics(spark):
     check_both(spark, rows)
 
 
-def test_one_trigger_many_contexts(spark):
+@pytest.mark.parametrize("crowd", [50_000, 20])
+def test_one_trigger_many_contexts(spark, monkeypatch, crowd):
     """The same line in all documents, with other neighbours: edges decide."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rnd = random.Random(8)
     line = " ".join(f"w{k}" for k in range(60))
     rows = [(i, " ".join(rnd.choices("abcde", k=30)) + " " + line + " " + " ".join(rnd.choices("ab", k=30))) for i in range(120)]

@@ -79,7 +79,7 @@ def remove_copied_words(documents: DataFrame) -> DataFrame:
     All windows are judged on the texts as given. documents: doc_id, text; other columns are ignored. Null text has no words; a null doc_id
     comes after all others; rows of one doc_id are documents none of which is earlier; no rows give no rows.
     """
-    resolved = repeats.resolve(documents, read, content, window_numbers, within=False, block=BLOCK)
+    resolved = repeats.resolve(documents, read, content, window_numbers, within=False, block=BLOCK, step=8, width=8)
     return resolved.mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

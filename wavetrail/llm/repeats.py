@@ -6,7 +6,8 @@ and equal phrases hold equal windows. Hence:
 
 1. `phrases`: every document becomes a sequence of phrases (trigger, digest, place in order).
 2. `marks`: a phrase whose digest an earlier document has is a copy as a whole. A first copy whose trigger also starts other phrases is open.
-3. `contexts`: the content of open phrases meets by trigger, and their windows are compared there.
+3. `contexts`: the content of open phrases meets by trigger, and their windows are compared there. Where a trigger has more than
+   ``CROWD`` phrases, each window travels alone and meets its equals by its own hash, so no task gets all phrases of one trigger.
 
 All that is shuffled in step 1 is one row per phrase and document. Copies inside one batch are decided there and travel under a key of
 their own, so a passage that a third of all documents share brings one row per batch to its key, not one per document.
@@ -14,6 +15,7 @@ their own, so a passage that a third of all documents share brings one row per b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,9 @@ from wavetrail.llm.batches import U64, Totals, least_of, mix, slices
 
 #: Windows of a long document that are taken at once; counted from its start, so every pass cuts alike.
 SEGMENT = 1 << 20
-COPIED, OPEN = 1, 2
+COPIED, OPEN, CROWDED = 1, 2, 3
+#: Rows of a trigger that are compared by one task.
+CROWD = 50_000
 
 
 @dataclass
@@ -143,16 +147,17 @@ def marks(found: DataFrame) -> DataFrame:
     """(place, marks, open): for each document with copied or open phrases, copy << 40 | ordinal << 2 | state."""
     phrase = Window.partitionBy("trigger", "digest")
     trigger = Window.partitionBy("trigger")
+    crowded = F.count("*").over(trigger) > CROWD
     seen = found.withColumn("least", F.min("place").over(phrase))
-    seen = seen.withColumn("several", F.min("digest").over(trigger) != F.max("digest").over(trigger))
+    seen = seen.withColumn("several", F.min("digest").over(trigger) != F.max("digest").over(trigger)).withColumn("crowded", crowded)
     copied = (F.col("known") == 1) | (F.col("place") > F.col("least"))
-    state = F.when(copied, COPIED).when(F.col("several"), OPEN)
+    state = F.when(copied, COPIED).when(F.col("several"), F.when(F.col("crowded"), CROWDED).otherwise(OPEN))
     kept = seen.select("place", "packed", state.alias("state")).filter(F.col("state").isNotNull())
     return kept.groupBy("place").agg(F.collect_list(F.col("packed").bitwiseOR(F.col("state").cast("long"))).alias("marks"), F.max("state").alias("state"))
 
 
 def states(batch: pa.RecordBatch, p: Phrases) -> np.ndarray:
-    """State of every phrase of a batch with columns copy and marks: 0, COPIED or OPEN."""
+    """State of every phrase of a batch with columns copy and marks; 0 for one that nothing else has."""
     listed = batch.column("marks")
     values = np.asarray(listed.flatten(), dtype=np.int64)
     counts = np.nan_to_num(np.asarray(pa.compute.list_value_length(listed), dtype=np.float64)).astype(np.int64)
@@ -166,24 +171,51 @@ def states(batch: pa.RecordBatch, p: Phrases) -> np.ndarray:
     return table[p.row * limit + p.ordinal]
 
 
-def contexts(joined: DataFrame, read: Callable[[pa.RecordBatch], Phrases], content: Callable) -> DataFrame:
-    """(trigger, place, packed, content) of open phrases; content(batch, phrases, chosen) gives a binary for each chosen phrase."""
+def contexts(joined: DataFrame, read: Callable[[pa.RecordBatch], Phrases], content: Callable, step: int, width: int) -> DataFrame:
+    """(trigger, place, packed, shift, content, known) of open phrases; content(batch, phrases, chosen) gives a binary for each chosen one.
+
+    Window i of a phrase is content[i * step : i * step + width]. Each window of a crowded phrase has a row of its own, shift being its
+    number and its hash the trigger; one that its batch knows to be a copy is known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             p = read(batch)
-            chosen = np.flatnonzero((states(batch, p) == OPEN) & p.first)
+            state = states(batch, p)
+            chosen = np.flatnonzero((state >= OPEN) & p.first)
             place, copy = (np.asarray(batch.column(c))[p.row[chosen]] for c in ("place", "copy"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p.trigger[chosen].view(np.int64)), pa.array(place), pa.array(copy << 40 | p.ordinal[chosen] << 2), pa.array(content(batch, p, chosen), pa.binary())],
-                names=["trigger", "place", "packed", "content"],
-            )
-
-    return joined.filter(F.col("state") == OPEN).mapInArrow(run, "trigger long, place long, packed long, content binary")
+            packed, contents = copy << 40 | p.ordinal[chosen] << 2, content(batch, p, chosen)
+            crowded = state[chosen] == CROWDED
+            whole = np.flatnonzero(~crowded)
+            rows = [(t, a, b, 0, contents[i], False) for t, a, b, i in zip(p.trigger[chosen][whole].view(np.int64).tolist(), place[whole].tolist(), packed[whole].tolist(), whole.tolist(), strict=True)]
+            if crowded.any():
+                rows += alone([(place[i], packed[i], contents[i]) for i in np.flatnonzero(crowded).tolist()])
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["trigger", "place", "packed", "shift", "content", "known"])
+
+    def alone(crowd: list[tuple[int, int, bytes]]) -> list[tuple]:
+        least: dict[bytes, int] = {}
+        rows = []
+        for place, packed, own in crowd:
+            for shift in range((len(own) - width) // step + 1):
+                window = own[shift * step : shift * step + width]
+                least[window] = min(place, least.get(window, place))
+                rows.append((place, packed, shift, window))
+        out = []
+        for place, packed, shift, window in rows:
+            known = place > least[window]
+            salt = f"{place}:{packed}:{shift}".encode() if known else b""  # decided here: a key that no other row has
+            key = int.from_bytes(hashlib.blake2b(window + salt, digest_size=8).digest(), "big", signed=True)
+            out.append((key, place, packed, shift, window, known))
+        return out
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+    types = "trigger long, place long, packed long, shift int, content binary, known boolean"
+    return joined.filter(F.col("state") >= OPEN).mapInArrow(run, types)
 
 
 def compared(open_phrases: DataFrame, ranks: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], within: bool, block: int) -> DataFrame:
-    """(place, found): windows of open phrases that also start earlier, as (packed, bits) with one byte per window.
+    """(place, found): windows of open phrases that also start earlier, as (packed, shift, bits) with one byte per window from the shift on.
 
     ranks(contents) gives, for every window of every content, the content's index (ascending) and a number that equal windows share.
     within: an earlier start in the same document counts, too. Triggers are taken together up to `block` bytes of content.
@@ -192,13 +224,14 @@ def compared(open_phrases: DataFrame, ranks: Callable[[list[bytes]], tuple[np.nd
     def decide(rows: pa.Table) -> pa.RecordBatch:
         contents = rows.column("content").to_pylist()
         of, rank = ranks(contents)
-        place, packed = (np.asarray(rows.column(c)) for c in ("place", "packed"))
-        order = np.lexsort((packed[of], place[of], rank))  # packed orders copies, then first occurrences in a document
+        place, packed, shift = (np.asarray(rows.column(c)) for c in ("place", "packed", "shift"))
+        known = rows.column("known").to_numpy()
+        order = np.lexsort((shift[of], packed[of], place[of], rank))  # packed orders copies, then first occurrences in a document
         sorted_of, sorted_rank = of[order], rank[order]
         head = np.ones(len(order), dtype=bool)
         head[1:] = sorted_rank[1:] != sorted_rank[:-1]
         least = place[sorted_of][head][np.cumsum(head) - 1]
-        copied = place[sorted_of] > least
+        copied = (place[sorted_of] > least) | known[sorted_of]
         if within:
             document = place[sorted_of], packed[sorted_of] >> 40
             copied[1:] |= ~head[1:] & (document[0][1:] == document[0][:-1]) & (document[1][1:] == document[1][:-1])
@@ -209,8 +242,8 @@ def compared(open_phrases: DataFrame, ranks: Callable[[list[bytes]], tuple[np.nd
         any_bit = np.flatnonzero(np.maximum.reduceat(np.append(bits, 0), starts) * (ends > starts))
         raw = bits.tobytes()
         return pa.RecordBatch.from_arrays(
-            [pa.array(place[any_bit]), pa.array(packed[any_bit]), pa.array([raw[starts[i] : ends[i]] for i in any_bit.tolist()], pa.binary())],
-            names=["place", "packed", "bits"],
+            [pa.array(place[any_bit]), pa.array(packed[any_bit]), pa.array(shift[any_bit]), pa.array([raw[starts[i] : ends[i]] for i in any_bit.tolist()], pa.binary())],
+            names=["place", "packed", "shift", "bits"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +261,8 @@ def compared(open_phrases: DataFrame, ranks: Callable[[list[bytes]], tuple[np.nd
 
     partitions = int(open_phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = open_phrases.repartition(partitions, "trigger").sortWithinPartitions("trigger")
-    found = ordered.mapInArrow(run, "place long, packed long, bits binary")
-    return found.groupBy("place").agg(F.collect_list(F.struct("packed", "bits")).alias("found"))
+    found = ordered.mapInArrow(run, "place long, packed long, shift int, bits binary")
+    return found.groupBy("place").agg(F.collect_list(F.struct("packed", "shift", "bits")).alias("found"))
 
 
 def copied_windows(batch: pa.RecordBatch, p: Phrases, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,13 +277,17 @@ def copied_windows(batch: pa.RecordBatch, p: Phrases, within: bool) -> tuple[np.
         packed = np.asarray(flat.field("packed"))
         row = np.repeat(np.arange(batch.num_rows), counts)
         mine = packed >> 40 == np.asarray(batch.column("copy"))[row]
-        bits = {(r, k): b for r, k, b, m in zip(row.tolist(), (packed >> 2 & ((1 << 38) - 1)).tolist(), flat.field("bits").to_pylist(), mine.tolist(), strict=True) if m}
-        partly = np.flatnonzero((state == OPEN) & ~whole)
-        for i, r, k, low in zip(partly.tolist(), p.row[partly].tolist(), p.ordinal[partly].tolist(), p.low[partly].tolist(), strict=True):
-            if own := bits.get((r, k)):
+        shift = np.asarray(flat.field("shift"))
+        bits: dict[tuple[int, int], list] = {}
+        for r, k, at, own, m in zip(row.tolist(), (packed >> 2 & ((1 << 38) - 1)).tolist(), shift.tolist(), flat.field("bits").to_pylist(), mine.tolist(), strict=True):
+            if m:
+                bits.setdefault((r, k), []).append((at, own))
+        partly = np.flatnonzero((state >= OPEN) & ~whole)
+        for r, k, low in zip(p.row[partly].tolist(), p.ordinal[partly].tolist(), p.low[partly].tolist(), strict=True):
+            for at, own in bits.get((r, k), ()):
                 edge = np.diff(np.frombuffer(b"\0" + own + b"\0", dtype=np.int8))
-                starts = np.flatnonzero(edge == 1) + low
-                runs.append((np.full(len(starts), r), starts, np.flatnonzero(edge == -1) - 1 + low))
+                starts = np.flatnonzero(edge == 1) + low + at
+                runs.append((np.full(len(starts), r), starts, np.flatnonzero(edge == -1) - 1 + low + at))
     return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
 
 
@@ -263,9 +300,9 @@ def covered(runs: tuple[np.ndarray, np.ndarray, np.ndarray], offsets: np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
-def resolve(documents: DataFrame, read: Callable, content: Callable, ranks: Callable, within: bool, block: int) -> DataFrame:
+def resolve(documents: DataFrame, read: Callable, content: Callable, ranks: Callable, within: bool, block: int, step: int, width: int) -> DataFrame:
     """(place, copy, doc_id, text, marks, found) of every document, as `copied_windows` reads them."""
     rows = keyed(documents)
     marked = rows.join(marks(phrases(rows, read)), "place", "left")
-    found = compared(contexts(marked, read, content), ranks, within, block)
+    found = compared(contexts(marked, read, content, step, width), ranks, within, block)
     return marked.join(found, "place", "left").select("place", "copy", "doc_id", "text", "marks", "found")

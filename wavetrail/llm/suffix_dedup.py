@@ -85,7 +85,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     judged on the texts as given. documents: doc_id, text; other columns are ignored. Null text is empty; a null doc_id comes after all
     others; rows of one doc_id are documents none of which is earlier; no rows give no rows.
     """
-    resolved = repeats.resolve(documents, read, content, suffix_classes, within=True, block=BLOCK)
+    resolved = repeats.resolve(documents, read, content, suffix_classes, within=True, block=BLOCK, step=1, width=LENGTH)
     return resolved.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
