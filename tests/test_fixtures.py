@@ -277,7 +277,7 @@ def test_rule_round_trip(spark):
 
 def test_library_prefers_the_last_of_equals(spark):
     df = spark.createDataFrame([(1, 2750.0, 1050.0, 1.1), (2, 9400.0, None, None), (3, 1.0, None, None)], "id int, f double, pri double, pw double")
-    got = {r.id: r for r in E.match_library(df, spark, ["id"], "f", "pri", "pw").collect()}
+    got = {r.id: r for r in E.match_library(df, ["id"], "f", "pri", "pw").collect()}
     assert got[1].id_match == "ASR-9 Airport Surveillance" and got[1].confidence == 1.0
     assert got[2].id_match == "Marine X-band Radar" and got[2].confidence == 0.5
     assert got[3].id_match is None and got[3].confidence == 0.0

@@ -194,3 +194,12 @@ def test_exponential_average(spark):
         want = 0.3 * x + 0.7 * want
     got = [r.avg_db for r in running_average(df, 0.3).orderBy("bin").collect()]
     assert np.allclose(got, want)
+
+
+def test_nearest_measures_to_the_exact_catalogue_value(spark):
+    from wavetrail.operators.joins import nearest_in_catalogue
+
+    catalogue = spark.createDataFrame([(1, 150.00001), (2, 150.00004), (3, 150.00004), (4, None)], "cid int, at double")
+    probes = spark.createDataFrame([(1, 150.00004), (2, 150.0), (3, 151.0)], "id int, f double")
+    got = {r.id: (r.cid, r.at) for r in nearest_in_catalogue(probes, "f", catalogue, "at", ["cid"], 0.015).collect()}
+    assert got == {1: (2, 150.00004), 2: (1, 150.00001), 3: (None, None)}

@@ -113,17 +113,26 @@ def test_purge_rewrites_only_the_day_of_the_cut(spark, views):
 def test_read_only_sql_refuses_writes(spark, views):
     views.ev.createOrReplaceTempView("event_log")
     assert sinks.run_read_only(spark, "SELECT count(*) AS n FROM event_log").first().n == views.ev.count()
-    with pytest.raises(ValueError):
-        sinks.run_read_only(spark, "  drop view event_log")
+    for text in (
+        "  drop view event_log", "/* x */ DROP VIEW event_log", "-- c\nDROP VIEW event_log", "SET spark.sql.ansi.enabled=false", "CACHE TABLE event_log",
+        "WITH x AS (SELECT 1) INSERT INTO event_log SELECT * FROM x", "SELECT 1) ; DROP VIEW event_log", "SELECT 1; SELECT 2",
+    ):
+        with pytest.raises(ValueError):
+            sinks.run_read_only(spark, text)
+    assert spark.catalog.tableExists("event_log")
+    many = sinks.run_read_only(spark, "WITH r AS (SELECT id FROM range(25000)) SELECT id FROM r ORDER BY id DESC -- all of them")
+    assert many.count() == 25_000 and many.first().id == 24_999
 
 
 def test_iq_files(spark, tmp_path):
     z = np.exp(2j * np.pi * 64 * np.arange(1024) / 1024)
     np.stack([z.real, z.imag], 1).astype("<f4").tofile(tmp_path / "tone.iq")
     np.zeros(200, dtype="<f4").tofile(tmp_path / "short.iq")
+    (tmp_path / "odd.iq").write_bytes(b"\0" * 8003)
     rows = readers.iq_files(spark, str(tmp_path), pairs_per_row=512)
-    assert rows.count() == 2
-    psd = rows.where("part = 0").select(A.welch_psd(512)("i", "q").alias("p")).first().p
+    got = {(r.path.rsplit("/", 1)[1], r.part): (r.n, r.enough_samples) for r in rows.select("path", "part", "enough_samples", F.size("i").alias("n")).collect()}
+    assert got == {("tone.iq", 0): (512, True), ("tone.iq", 1): (512, True), ("short.iq", 0): (100, False), ("odd.iq", 0): (512, True), ("odd.iq", 1): (488, True)}
+    psd = rows.where("part = 0 AND path LIKE '%tone.iq'").select(A.welch_psd(512)("i", "q").alias("p")).first().p
     assert abs(max(psd)) < 0.5
 
 

@@ -14,48 +14,48 @@ from wavetrail.operators.joins import asof_backward
 from wavetrail.operators.ordered import NS, gap_sessions, with_position, with_previous
 
 
-def emitter_library(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ref.EMITTERS,
-        "ref_id int, name string, emitter_type string, f_min double, f_max double, pri_min double, pri_max double, pw_min double, pw_max double",
-    )
-
-
-def match_library(df: DataFrame, spark: SparkSession, keys: list[str], freq: str, pri: str | None, pw: str | None) -> DataFrame:
+def match_library(df: DataFrame, keep: list[str], freq: str, pri: str | None, pw: str | None) -> DataFrame:
     """Best library entry for measured emitters; the last entry wins ties.
 
-    The library is ten constant rows, so it is broadcast for the range join.
+    The library is ten constant rows in an array of each row's expression: no join and no shuffle.
     """
 
-    def bonus(value: str | None, lo: str, hi: str, points: float) -> Column:
+    def bonus(value: str | None, low: float, high: float, points: float) -> Column:
         if value is None:
             return F.lit(0.0)
-        return F.when(F.col(value).between(F.col(lo), F.col(hi)), points).otherwise(0.0)
-
-    score = F.least(F.lit(1.0), 0.5 + bonus(pri, "pri_min", "pri_max", 0.3) + bonus(pw, "pw_min", "pw_max", 0.2))
-    lib = F.broadcast(emitter_library(spark))
-    scored = df.join(lib, F.col(freq).between(F.col("f_min"), F.col("f_max")), "left").withColumn(
-        "_score", F.when(F.col("ref_id").isNotNull(), score)
-    )
-    return scored.groupBy(*keys).agg(
-        F.max_by("name", F.struct("_score", "ref_id")).alias("id_match"),
-        F.max_by("emitter_type", F.struct("_score", "ref_id")).alias("emitter_type"),
-        F.coalesce(F.max("_score"), F.lit(0.0)).alias("confidence"),
+        return F.when(F.col(value).between(low, high), points).otherwise(0.0)
+
+    entries = [
+        F.when(
+            F.col(freq).between(f_min, f_max),
+            F.struct(
+                F.least(F.lit(1.0), 0.5 + bonus(pri, pri_min, pri_max, 0.3) + bonus(pw, pw_min, pw_max, 0.2)).alias("score"),
+                F.lit(ref_id).alias("ref_id"), F.lit(name).alias("name"), F.lit(kind).alias("kind"),
+            ),
+        )
+        for ref_id, name, kind, f_min, f_max, pri_min, pri_max, pw_min, pw_max in ref.EMITTERS
+    ]
+    best = F.array_max(F.array(*entries))  # by score, then by the entry's place
+    return df.withColumn("_best", best).select(
+        *keep, F.col("_best.name").alias("id_match"), F.col("_best.kind").alias("emitter_type"), F.coalesce("_best.score", F.lit(0.0)).alias("confidence")
     )
 
 
-def match_drones(df: DataFrame, spark: SparkSession, keys: list[str], freq: str, bandwidth: str) -> DataFrame:
-    """First drone signature whose range overlaps the measured band."""
-    ranges = [(o, m, n, bw, lo, hi) for o, m, n, spans, bw in ref.DRONES for lo, hi in spans]
-    sig = spark.createDataFrame(ranges, "sig_order int, manufacturer string, model string, sig_bw double, lo double, hi double")
+def match_drones(df: DataFrame, keep: list[str], freq: str, bandwidth: str) -> DataFrame:
+    """First drone signature whose range overlaps the measured band, from an array of the constant ranges."""
     f, b = F.col(freq), F.col(bandwidth)
-    hit = df.join(F.broadcast(sig), (f - b / 2 <= F.col("hi")) & (f + b / 2 >= F.col("lo")))
-    ratio = F.least(b / F.col("sig_bw"), F.col("sig_bw") / b)
-    return hit.groupBy(*keys).agg(
-        F.min_by("manufacturer", "sig_order").alias("manufacturer"),
-        F.min_by("model", "sig_order").alias("model"),
-        F.least(F.lit(1.0), F.min_by(0.5 + 0.5 * ratio, "sig_order")).alias("confidence"),
-    )
+    entries = [
+        F.when(
+            (f - b / 2 <= hi) & (f + b / 2 >= lo),
+            F.struct(
+                F.lit(order).alias("order"), F.lit(manufacturer).alias("manufacturer"), F.lit(model).alias("model"),
+                F.least(F.lit(1.0), 0.5 + 0.5 * F.least(b / bw, F.lit(bw) / b)).alias("confidence"),
+            ),
+        )
+        for order, manufacturer, model, spans, bw in ref.DRONES for lo, hi in spans
+    ]
+    found = df.withColumn("_best", F.array_min(F.array(*entries))).where(F.col("_best").isNotNull())
+    return found.select(*keep, "_best.manufacturer", "_best.model", "_best.confidence")
 
 
 def pulse_intervals(pdw: DataFrame, width: int = 3600 * NS) -> DataFrame:
@@ -64,7 +64,7 @@ def pulse_intervals(pdw: DataFrame, width: int = 3600 * NS) -> DataFrame:
     return seen.withColumn("pri_us", (F.col("toa") - F.col("prev.toa")) * 1e6).drop("prev")
 
 
-def pri_stats(pulses: DataFrame, limit: int = 50) -> DataFrame:
+def pri_stats(pulses: DataFrame) -> DataFrame:
     """Interval spread per frequency, classed by (max - min) / mean."""
     s = (
         pulses.where(F.col("pri_us").isNotNull()).groupBy(F.round("freq_mhz", 1).alias("freq_mhz"))
@@ -75,7 +75,7 @@ def pri_stats(pulses: DataFrame, limit: int = 50) -> DataFrame:
     )
     spread = (F.col("max_pri_us") - F.col("min_pri_us")) / F.col("mean_pri_us")
     pattern = F.when(spread < 0.05, "Stable").when(spread < 0.20, "Stagger").otherwise("Jitter")
-    return s.withColumn("pattern", pattern).orderBy(F.desc("cnt"), "freq_mhz").limit(limit)
+    return s.withColumn("pattern", pattern)
 
 
 def pri_patterns(pulses: DataFrame, width: int = 3600 * NS) -> DataFrame:
@@ -185,15 +185,15 @@ def tracks(detections: DataFrame, keys: list[str], gap_ns: int) -> DataFrame:
     )
 
 
-def claim_emitters(peaks: DataFrame, tolerance_mhz: float = 0.5) -> DataFrame:
+def claim_emitters(peaks: DataFrame, tolerance_mhz: float = 0.5, raster_decimals: int = 6) -> DataFrame:
     """Emitters in order of appearance: a peak near a known one refreshes it.
 
     The rule depends on order of arrival, so it cannot be a plain group. Peaks
-    shrink to distinct frequencies (Hz raster) first; frequencies further apart
+    shrink to distinct frequencies first, on a raster that is a parameter (1 Hz); frequencies further apart
     than the tolerance never meet, so runs of touching cells of that width are
     independent and are claimed in parallel.
     """
-    freq = peaks.groupBy(F.round("freq_mhz", 6).alias("freq_mhz")).agg(
+    freq = peaks.groupBy(F.round("freq_mhz", raster_decimals).alias("freq_mhz")).agg(
         F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s"), F.count(F.lit(1)).alias("hits")
     )
     cell = F.floor(F.col("freq_mhz") / F.lit(tolerance_mhz)).cast("long")

@@ -57,12 +57,12 @@ def nearest_in_catalogue(
     """Left join each row to the catalogue entry nearest to ``value``.
 
     Only entries closer than ``tolerance`` count; ties go to the smallest
-    ``payload``. Catalogue values are distinct to four decimals, so the entries
-    listed for one bin are bounded by 3 * tolerance * 10^4. No row of the large
-    side is multiplied or shuffled a second time.
+    ``payload``. Distances are to the exact catalogue values; equal values count
+    once. A bin lists the entries of three tolerances, so the catalogue's density
+    bounds it. No row of the large side is multiplied or shuffled a second time.
     """
     entry = F.struct(F.col(cat_value).alias("at"), F.struct(*payload).alias("row"))
-    distinct = catalogue.groupBy(F.round(cat_value, 4).alias(cat_value)).agg(
+    distinct = catalogue.where(F.col(cat_value).isNotNull()).groupBy(cat_value).agg(
         *[F.min_by(p, F.struct(*payload)).alias(p) for p in payload]
     )
     bins = (

@@ -11,7 +11,6 @@ from wavetrail.functions.scalars import fixed
 from wavetrail.operators.filters import Filter, all_of, apply_optional, resolve_field
 
 SECOND_NS = 1_000_000_000
-DEFAULT_LIMIT = 500
 
 
 def time_range(df: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -61,7 +60,7 @@ class EventQuery:
     filters: tuple[Filter, ...] = ()
     range_ns: tuple[int, int] | None = None
     newest_first: bool = True
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
     offset: int = 0
     aggregation: Aggregation | None = None
 
@@ -71,12 +70,12 @@ class EventQuery:
         return log.where(all_of(self.filters)) if self.filters else log
 
     def rows(self, log: DataFrame) -> DataFrame:
-        """One page, ordered by time with the id as tie-break."""
+        """All rows or one page, ordered by time with the id as tie-break."""
         order = [F.desc("timestamp_ns"), F.desc("id")] if self.newest_first else [F.asc("timestamp_ns"), F.asc("id")]
         page = self.matches(log).orderBy(*order)
         if self.offset:
             page = page.offset(self.offset)
-        return page.limit(self.limit)
+        return page if self.limit is None else page.limit(self.limit)
 
     def count(self, log: DataFrame) -> DataFrame:
         return self.matches(log).agg(F.count(F.lit(1)).alias("total"))

@@ -125,8 +125,8 @@ def baseline_arrays(base: DataFrame, keys: list[str] = ["sensor"]) -> DataFrame:
     return base.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("base"))
 
 
-def anomalies(frames: DataFrame, base: DataFrame, z_threshold: float = 3.5, first: int | None = 5) -> DataFrame:
-    """Bins far from their baseline, the lowest ``first`` bins of each frame.
+def anomalies(frames: DataFrame, base: DataFrame, z_threshold: float = 3.5, first: int | None = None) -> DataFrame:
+    """Bins far from their baseline; with ``first``, for display, the lowest bins of each frame only.
 
     The baseline joins as arrays, so frames are neither exploded nor shuffled.
     """

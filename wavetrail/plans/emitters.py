@@ -258,7 +258,7 @@ def _(v):
 def _(v):
     k = F.col("k")
     m = v.ev.select("id", F.round(1200 + k * 90.0, 1).alias("freq"), (500 + k * 30.0).alias("pri"), F.round(-F.col("power") / 20, 4).alias("pw_us"))
-    return E.match_library(m, v.spark, ["id"], "freq", "pri", "pw_us")
+    return E.match_library(m, ["id"], "freq", "pri", "pw_us")
 
 
 @query(
@@ -269,7 +269,7 @@ def _(v):
 )
 def _(v):
     d = v.ev.select("id", F.round(900 + F.col("k") * 50.0, 1).alias("f"), (1 + F.col("k") % 12).cast("double").alias("bw"))
-    return E.match_drones(d, v.spark, ["id"], "f", "bw").withColumn("confidence", F.round("confidence", 6))
+    return E.match_drones(d, ["id"], "f", "bw").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
@@ -303,7 +303,7 @@ def _(v):
     PRI_CTE,
 )
 def _(v):
-    s = E.pri_stats(E.pulse_intervals(v.pdw))
+    s = E.pri_stats(E.pulse_intervals(v.pdw)).orderBy(F.desc("cnt"), "freq_mhz").limit(50)
     for c in ("mean_pri_us", "min_pri_us", "max_pri_us"):
         s = s.withColumn(c, F.round(c, 1))
     return s
@@ -531,7 +531,7 @@ def _(v):
 
     found = peaks(v.psd, -70.0).select("t_s", (F.col("hz") / 1e6).alias("freq_mhz"))
     known = E.claim_emitters(found, 0.05)
-    best = E.match_library(known, v.spark, ["emitter_mhz"], "emitter_mhz", None, None)
+    best = E.match_library(known, ["emitter_mhz"], "emitter_mhz", None, None)
     return known.join(best, "emitter_mhz").withColumn("status", E.emitter_status(known, EPOCH_S + 86400, 86400))
 
 

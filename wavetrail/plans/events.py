@@ -275,7 +275,7 @@ def _(v):
 
 @query("ord01_newest_page", f"SELECT {HEAD_SQL} FROM ev ORDER BY timestamp_ns DESC, id DESC LIMIT 500")
 def _(v):
-    return EventQuery().rows(v.ev).select(*HEAD)
+    return EventQuery(limit=500).rows(v.ev).select(*HEAD)
 
 
 @query("ord02_offset_page", f"SELECT {HEAD_SQL} FROM ev WHERE severity >= 9 ORDER BY timestamp_ns, id LIMIT 50 OFFSET 200")
@@ -341,7 +341,7 @@ def _(v):
 
 @query(
     "snk08_adhoc_sql",
-    "SELECT band, COUNT(*) AS cnt, ROUND(AVG(power), 6) AS avg_power FROM ev WHERE encrypted GROUP BY band LIMIT 10000",
+    "SELECT band, COUNT(*) AS cnt, ROUND(AVG(power), 6) AS avg_power FROM ev WHERE encrypted GROUP BY band",
 )
 def _(v):
     v.ev.createOrReplaceTempView("event_log")

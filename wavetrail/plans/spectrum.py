@@ -172,8 +172,8 @@ anom AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY bin) AS rk,
   FROM scored WHERE std_dev >= 0.1 AND abs(z_score) >= 2.5)"""
 
 
-def anomaly_rows(v):
-    return X.anomalies(v.psd, X.baseline(v.psd), 2.5)
+def anomaly_rows(v, first=None):
+    return X.anomalies(v.psd, X.baseline(v.psd), 2.5, first)
 
 
 @query(
@@ -183,7 +183,7 @@ def anomaly_rows(v):
     ANOM_CTE,
 )
 def _(v):
-    return r6(anomaly_rows(v), "delta_db", "z_score", "freq_mhz").select("frame_id", "bin", "kind", "delta_db", "z_score", "severity", "freq_mhz")
+    return r6(anomaly_rows(v, first=5), "delta_db", "z_score", "freq_mhz").select("frame_id", "bin", "kind", "delta_db", "z_score", "severity", "freq_mhz")
 
 
 PEAK_CTE = """
@@ -423,9 +423,9 @@ def _(v):
 
 @query(
     "arr17_accumulated_fingerprint",
-    """SELECT sensor, n AS sample_count, ROUND(CASE WHEN i2 + q2 > 1e-12 THEN abs(i2 - q2)/(i2 + q2) ELSE 0 END, 6) AS amplitude_imbal, ROUND(CASE WHEN i2 + q2 > 1e-12 THEN abs(iq)/(i2 + q2) ELSE 0 END, 6) AS phase_imbal,
+    """SELECT sensor, n AS sample_count, n >= 480 AS enough_samples, ROUND(CASE WHEN i2 + q2 > 1e-12 THEN abs(i2 - q2)/(i2 + q2) ELSE 0 END, 6) AS amplitude_imbal, ROUND(CASE WHEN i2 + q2 > 1e-12 THEN abs(iq)/(i2 + q2) ELSE 0 END, 6) AS phase_imbal,
         ROUND(CASE WHEN p > 1e-20 THEN 10*log10(p) ELSE -200 END, 6) AS avg_power_db, ROUND(GREATEST(pp - p*p, 0), 6) AS power_variance FROM (
-        SELECT sensor, COUNT(*) AS n, AVG(i*i) AS i2, AVG(q*q) AS q2, AVG(i*q) AS iq, AVG(i*i + q*q) AS p, AVG((i*i + q*q)*(i*i + q*q)) AS pp FROM iq GROUP BY 1) WHERE n >= 480""",
+        SELECT sensor, COUNT(*) AS n, AVG(i*i) AS i2, AVG(q*q) AS q2, AVG(i*q) AS iq, AVG(i*i + q*q) AS p, AVG((i*i + q*q)*(i*i + q*q)) AS pp FROM iq GROUP BY 1)""",
 )
 def _(v):
     i, q = F.col("i"), F.col("q")
@@ -434,11 +434,11 @@ def _(v):
         A.total(F.zip_with(i, q, lambda a, b: a * b)).alias("iq"),
         A.total(F.zip_with(i, q, lambda a, b: (a * a + b * b) * (a * a + b * b))).alias("pp"),
     )
-    sums = per.groupBy("sensor").agg(*[F.sum(c).alias(c) for c in ("n", "i2", "q2", "iq", "pp")]).where(F.col("n") >= 480)
+    sums = per.groupBy("sensor").agg(*[F.sum(c).alias(c) for c in ("n", "i2", "q2", "iq", "pp")])
     n, s = F.col("n"), F.col("i2") + F.col("q2")
     p = s / n
     return sums.select(
-        "sensor", n.alias("sample_count"),
+        "sensor", n.alias("sample_count"), (n >= 480).alias("enough_samples"),
         F.round(F.when(s / n > 1e-12, F.abs(F.col("i2") - F.col("q2")) / s).otherwise(0.0), R6).alias("amplitude_imbal"),
         F.round(F.when(s / n > 1e-12, F.abs(F.col("iq")) / s).otherwise(0.0), R6).alias("phase_imbal"),
         F.round(F.when(p > 1e-20, 10 * F.log10(p)).otherwise(-200.0), R6).alias("avg_power_db"),

@@ -71,7 +71,7 @@ def _(v):
 @query(
     "agg28_threat_score",
     f"""SELECT *, CASE WHEN score > 20 THEN 'HIGH' WHEN score >= 5 THEN 'ELEVATED' ELSE 'LOW' END AS level FROM (SELECT *, 3*new_emitters + 2*anomalies + 5*uid_mismatches + deviations AS score FROM (
-        SELECT (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) AS new_emitters, (SELECT COUNT(*) FROM anom WHERE rk <= 5) AS anomalies, (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 3) AS deviations,
+        SELECT (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) AS new_emitters, (SELECT COUNT(*) FROM anom) AS anomalies, (SELECT COUNT(*) FROM anom WHERE abs(z_score) > 3) AS deviations,
           (SELECT COUNT(*) FROM links l JOIN (SELECT uid, arg_min(fingerprint_id, (first_ns, fingerprint_id)) AS f FROM links GROUP BY 1) k ON k.uid = l.uid AND k.f <> l.fingerprint_id) AS uid_mismatches))""",
     FPC_CTE + "," + LINK_CTE + "," + ANOM_CTE,
 )
@@ -92,11 +92,11 @@ def _(v):
 @query(
     "agg31_active_talkgroups",
     f"""SELECT x.tgid, t.name, t.department, t.priority, t.encrypted, last_ns FROM (SELECT tgid, system, MAX(timestamp_ns) AS last_ns FROM gr GROUP BY 1, 2) x LEFT JOIN tg t ON t.tgid = x.tgid AND t.system = x.system
-        WHERE last_ns > {TODAY_NS} ORDER BY last_ns DESC LIMIT 100""",
+        WHERE last_ns > {TODAY_NS} ORDER BY last_ns DESC, x.tgid, x.system LIMIT 100""",
 )
 def _(v):
     last = v.gr.groupBy("tgid", "system").agg(F.max("timestamp_ns").alias("last_ns")).where(F.col("last_ns") > TODAY_NS)
-    top = last.orderBy(F.desc("last_ns")).limit(100)
+    top = last.orderBy(F.desc("last_ns"), "tgid", "system").limit(100)
     return top.join(tg_dim(v, "name", "department", "priority", "encrypted"), ["tgid", "system"], "left").drop("system")
 
 
@@ -127,13 +127,13 @@ def _(v):
 
 @query(
     "agg31f_radio_sightings",
-    f"SELECT uid, system, first_ns, last_ns, tgid FROM (SELECT uid, system, MIN(timestamp_ns) AS first_ns, MAX(timestamp_ns) AS last_ns, arg_max(tgid, (timestamp_ns, id)) AS tgid FROM gr GROUP BY 1, 2) WHERE last_ns > {TODAY_NS} ORDER BY last_ns DESC LIMIT 100",
+    f"SELECT uid, system, first_ns, last_ns, tgid FROM (SELECT uid, system, MIN(timestamp_ns) AS first_ns, MAX(timestamp_ns) AS last_ns, arg_max(tgid, (timestamp_ns, id)) AS tgid FROM gr GROUP BY 1, 2) WHERE last_ns > {TODAY_NS} ORDER BY last_ns DESC, uid, system LIMIT 100",
 )
 def _(v):
     g = v.gr.groupBy("uid", "system").agg(
         F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"), F.max_by("tgid", F.struct("timestamp_ns", "id")).alias("tgid")
     )
-    return g.where(F.col("last_ns") > TODAY_NS).orderBy(F.desc("last_ns")).limit(100)
+    return g.where(F.col("last_ns") > TODAY_NS).orderBy(F.desc("last_ns"), "uid", "system").limit(100)
 
 
 @query("agg31g_target_summary", "SELECT t.target_id, target_type, target_label, priority, COALESCE(n, 0) AS obs_count FROM targets t LEFT JOIN (SELECT target_id, COUNT(*) AS n FROM obs GROUP BY 1) o ON o.target_id = t.target_id", OBS_CTE)
@@ -163,12 +163,12 @@ def _(v):
 
 
 REPORT_SQL = f"""SELECT section, position, payload FROM (
-  SELECT 'summary' AS section, 1 AS position, concat('{{"emitter_count":', (SELECT COUNT(*) FROM fpcat), ',"anomaly_count":', (SELECT COUNT(*) FROM anom WHERE rk <= 5), ',"detections_24h":', (SELECT COUNT(*) FROM hits WHERE ts >= {TODAY}), '}}') AS payload
+  SELECT 'summary' AS section, 1 AS position, concat('{{"emitter_count":', (SELECT COUNT(*) FROM fpcat), ',"anomaly_count":', (SELECT COUNT(*) FROM anom), ',"detections_24h":', (SELECT COUNT(*) FROM hits WHERE ts >= {TODAY}), '}}') AS payload
   UNION ALL SELECT 'emitters', rn, concat('{{"fingerprint_id":"', fingerprint_id, '","capture_count":', capture_count, ',"last_ns":', last_ns, '}}') FROM (SELECT *, row_number() OVER (ORDER BY last_ns DESC, fingerprint_id) AS rn FROM fpcat) WHERE rn <= 100
-  UNION ALL SELECT 'anomalies', rn, concat('{{"frame_id":', frame_id, ',"bin":', bin, ',"kind":"', kind, '"}}') FROM (SELECT *, row_number() OVER (ORDER BY t_s DESC, bin) AS rn FROM anom WHERE rk <= 5) WHERE rn <= 100
+  UNION ALL SELECT 'anomalies', rn, concat('{{"frame_id":', frame_id, ',"bin":', bin, ',"kind":"', kind, '"}}') FROM (SELECT *, row_number() OVER (ORDER BY t_s DESC, bin) AS rn FROM anom) WHERE rn <= 100
   UNION ALL SELECT 'drones', rn, concat('{{"id":', id, ',"timestamp_ns":', timestamp_ns, '}}') FROM (SELECT *, row_number() OVER (ORDER BY timestamp_ns DESC, id DESC) AS rn FROM hits) WHERE rn <= 50
   UNION ALL SELECT 'recommendations', 1, concat('{{"text":"Investigate ', (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}), ' unknown/new emitters in catalog"}}') WHERE (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) > 0
-  UNION ALL SELECT 'recommendations', n, concat('{{"text":"Acknowledge and investigate ', (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5), ' CRITICAL anomalies"}}') FROM (SELECT CASE WHEN (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) > 0 THEN 2 ELSE 1 END AS n) WHERE (SELECT COUNT(*) FROM anom WHERE rk <= 5 AND abs(z_score) > 5) > 0)"""
+  UNION ALL SELECT 'recommendations', n, concat('{{"text":"Acknowledge and investigate ', (SELECT COUNT(*) FROM anom WHERE abs(z_score) > 5), ' CRITICAL anomalies"}}') FROM (SELECT CASE WHEN (SELECT COUNT(*) FROM fpcat WHERE first_ns >= {(EPOCH_S + 20*86400)*10**9}) > 0 THEN 2 ELSE 1 END AS n) WHERE (SELECT COUNT(*) FROM anom WHERE abs(z_score) > 5) > 0)"""
 
 
 @query("snk10_sectioned_report", f"SELECT section, position, payload, sha256(payload) AS hash FROM ({REPORT_SQL})", FPC_CTE + "," + ANOM_CTE)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -41,10 +40,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster.
 
-    A local folder is made only where the cluster names none, as in tests.
+    Work folders below it have random names; whoever owns the folder clears it when
+    the application has ended.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="run-wavetrail-")
-        spark.conf.set(CHECKPOINT_KEY, path)
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     return path.rstrip("/")

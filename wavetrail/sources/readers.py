@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from wavetrail import schemas
 from wavetrail.functions import scalars as S
 
+#: Pairs below which a recording carries too little to measure.
 MIN_IQ_PAIRS = 480
+#: Bytes of one little-endian float32 pair.
+PAIR = 8
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
@@ -56,25 +59,24 @@ def network_seed(documents: DataFrame, text: str = "value") -> tuple[DataFrame,
 
 
 def iq_files(spark: SparkSession, path: str, pairs_per_row: int = 65_536) -> DataFrame:
-    """Raw interleaved little-endian float32 files as rows of samples.
+    """Raw interleaved little-endian float32 files as rows of samples, ``part`` counting the rows of a file.
 
-    A file becomes several rows of bounded size, so long recordings spread out
-    downstream; files shorter than 480 pairs carry too little to measure.
+    A file becomes several rows of bounded size, so long recordings spread out downstream; bytes after the last whole pair are
+    ignored. ``enough_samples`` is false for files too short to measure. Spark reads a binary file whole, so a file must stay
+    below 2 GB; recorders roll files over long before that.
     """
 
     def split(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                pairs = np.frombuffer(content, dtype="<f4")
-                pairs = pairs[: len(pairs) // 2 * 2].reshape(-1, 2)
-                if len(pairs) < MIN_IQ_PAIRS:
-                    continue
-                for part, at in enumerate(range(0, len(pairs), pairs_per_row)):
+                n = len(content) // PAIR
+                pairs = np.frombuffer(content, dtype="<f4", count=2 * n).reshape(-1, 2)
+                for part, at in enumerate(range(0, n, pairs_per_row)):
                     piece = pairs[at: at + pairs_per_row].astype("float64")
-                    yield pd.DataFrame({"path": [name], "part": [part], "i": [piece[:, 0]], "q": [piece[:, 1]]})
+                    yield pd.DataFrame({"path": [name], "part": [part], "enough_samples": [n >= MIN_IQ_PAIRS], "i": [piece[:, 0]], "q": [piece[:, 1]]})
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(split, "path string, part int, i array<double>, q array<double>")
+    return raw.mapInPandas(split, "path string, part int, enough_samples boolean, i array<double>, q array<double>")
 
 
 def protocol_messages(messages: DataFrame, text: str = "message") -> DataFrame:

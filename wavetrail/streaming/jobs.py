@@ -30,11 +30,11 @@ def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Data
     return bind_event_log(read_stream(spark, path, files_per_batch))
 
 
-def run_to_end(writer, checkpoint: str, timeout_s: int = 600) -> None:
-    """Process what is there and stop; the checkpoint lets a rerun go on."""
+def run_to_end(writer, checkpoint: str) -> None:
+    """Process all that is there, however long it takes; a failure is raised, and the checkpoint lets a rerun go on."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout_s)
+        q.awaitTermination()
     finally:
         q.stop()
 
