@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.llm.batches import LOWER, SYMBOLS, U64, Totals, mix, pieces, utf8
 from wavetrail.llm.registry import query, table
+from wavetrail.llm.work import materialise
 
 #: Tokens of a window (a shorter item is one window) and how many of them may be placeholders.
 WIDTH, PLACEHOLDERS = 8, 3
@@ -195,6 +196,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least_share: float =
             break
     if found is None:
         found = spark.createDataFrame([], _ROW)
+    found = materialise(found, "benchmark-windows")  # few rows, used for places and for slots
     matched = found.join(own, ["window", "width"]).withColumn("shift", F.col("position") - F.col("item_position"))
     pair = ["row_id", "row_key", "item_id", "item_key"]
     slots = matched.select(*pair, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
