@@ -166,7 +166,7 @@ def test_geofence_hysteresis(spark):
     rows = [(i, 9, i * 10 * NS, lat, -122.0) for i, lat in enumerate(lats)]
     df = spark.createDataFrame(rows, "id long, device long, timestamp_ns long, lat double, lon double")
     for width in (15 * NS, 1000 * NS):
-        got = [(r.id, r.change, r.site_id) for r in G.site_visits(df, sites, 500.0, width).orderBy("timestamp_ns").collect()]
+        got = [(r.id, r.change, r.site_id) for r in G.site_visits(df, sites, width).orderBy("timestamp_ns").collect()]
         # 45.006 lies between one and two radii: still inside. The tick that leaves does not enter.
         assert got == [(1, "enter", 1), (3, "exit", 1), (4, "enter", 2), (6, "exit", 2), (7, "enter", 1)]
 
@@ -203,3 +203,15 @@ def test_nearest_measures_to_the_exact_catalogue_value(spark):
     probes = spark.createDataFrame([(1, 150.00004), (2, 150.0), (3, 151.0)], "id int, f double")
     got = {r.id: (r.cid, r.at) for r in nearest_in_catalogue(probes, "f", catalogue, "at", ["cid"], 0.015).collect()}
     assert got == {1: (2, 150.00004), 2: (1, 150.00001), 3: (None, None)}
+
+
+def test_geofence_missing_positions_date_line_and_idle_runs(spark):
+    from wavetrail.operators import geofence as G
+
+    sites = spark.createDataFrame([(1, 60.0, 179.999, 400.0), (2, 60.0, -179.0, 900.0)], "site_id long, lat double, lon double, radius_m double")
+    track = [(60.0, 179.9985), (None, 179.9985), (60.0, None), (60.0, -179.9995), *[(60.0, 179.999)] * 6, (60.0, 179.5), (60.0, 179.5), (60.0, -179.0), *[(61.0, 0.0)] * 4]
+    rows = [(i, "d", i, lat, lon) for i, (lat, lon) in enumerate(track)]
+    df = spark.createDataFrame(rows, "id long, device string, timestamp_ns long, lat double, lon double")
+    want = [(0, "enter", 1), (10, "exit", 1), (12, "enter", 2), (13, "exit", 2)]
+    for width in (3, 1000):
+        assert [(r.id, r.change, r.site_id) for r in G.site_visits(df, sites, width).orderBy("timestamp_ns").collect()] == want

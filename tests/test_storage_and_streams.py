@@ -140,3 +140,17 @@ def test_frequency_list_file(spark, tmp_path):
     (tmp_path / "list.json").write_text('{"conventional": [{"freq": 162.4, "name": "WX", "cls": "PUBS", "band": "VHF", "mode": "NFM"}, {"freq": 155.1, "name": "X", "cls": "COMM", "band": "VHF"}]}')
     got = readers.read_frequency_list(spark, str(tmp_path / "list.json")).orderBy("position").collect()
     assert [(r.freq, r.name, r["mode"], r.tag) for r in got] == [(162.4, "WX", "NFM", None), (155.1, "X", None, None)]
+
+
+def test_stream_new_values_by_last_sighting_over_batches(spark, views, parts, tmp_path):
+    rule = Rule(9, "band", "new_value", (P.Exists("band"),), baseline_sec=2 * 86400, field="band")
+    out = J.new_value_stream(J.log_stream(spark, parts), rule).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    J.run_to_end(out, f"{tmp_path}/cp")
+    got = sorted((r.value, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    rows = sorted((r.timestamp_ns, r.id, r.band) for r in views.ev.where("band IS NOT NULL").select("timestamp_ns", "id", "band").collect())
+    last, want = {}, []
+    for ns, i, band in rows:
+        if band not in last or ns - last[band] > 2 * 86400 * NS:
+            want.append((band, i))
+        last[band] = ns
+    assert got == sorted(want)

@@ -99,7 +99,7 @@ def _(v):
 
 GEO_CTE = """
 site AS (SELECT r_regionkey::BIGINT AS site_id, 45 + r_regionkey*0.04e0 AS lat, -122e0 AS lon, 1500e0 + 100*r_regionkey AS r FROM region),
-track AS (SELECT id, source_unit AS device, timestamp_ns, 44.98e0 + (k % 21)*0.01e0 AS lat, -122 + (k % 3)*0.005e0 AS lon, row_number() OVER (PARTITION BY source_unit ORDER BY timestamp_ns, id) AS rn FROM ev),
+track AS (SELECT id, source_unit AS device, timestamp_ns, 44.98e0 + (k % 21)*0.01e0 AS lat, -122 + (k % 3)*0.005e0 AS lon, row_number() OVER (PARTITION BY source_unit ORDER BY timestamp_ns, id) AS rn FROM ev WHERE k % 13 <> 0),
 dist AS (SELECT t.id, s.site_id, s.r, 6371000 * 2 * atan2(sqrt(a), sqrt(1 - a)) AS d FROM (
    SELECT t.id, s.site_id, s.r, POWER(sin(radians(s.lat - t.lat)/2), 2) + cos(radians(t.lat))*cos(radians(s.lat))*POWER(sin(radians(s.lon - t.lon)/2), 2) AS a FROM track t, site s) AS t, LATERAL (SELECT t.site_id AS site_id, t.r AS r) s),
 near AS (SELECT id, COALESCE(arg_min(site_id, (d, site_id)) FILTER (WHERE d <= r), -1) AS enter, COALESCE(list(site_id) FILTER (WHERE d <= 2*r), []) AS keep FROM dist GROUP BY 1),
@@ -116,8 +116,8 @@ walk AS (WITH RECURSIVE w AS (
 def _(v):
     r, k = F.col("r_regionkey").cast("long"), F.col("k")
     sites = v.table("region").select(r.alias("site_id"), (45 + r * 0.04).alias("lat"), F.lit(-122.0).alias("lon"), (1500.0 + 100 * r).alias("radius_m"))
-    track = v.ev.select("id", F.col("source_unit").alias("device"), "timestamp_ns", (44.98 + (k % 21) * 0.01).alias("lat"), (-122 + (k % 3) * 0.005).alias("lon"))
-    return G.site_visits(track, sites, 1900.0, 5 * DAY_NS)
+    track = v.ev.select("id", F.col("source_unit").alias("device"), "timestamp_ns", (44.98 + (k % 21) * 0.01).alias("lat"), F.when(k % 13 != 0, -122 + (k % 3) * 0.005).alias("lon"))
+    return G.site_visits(track, sites, 5 * DAY_NS)
 
 
 # --- sinks -----------------------------------------------------------------
@@ -202,15 +202,19 @@ def _(v):
     return v.spark.read.schema(J.TRACED).parquet(f"{path}/traced").select("id", "event_type", "trace_id", "span_id")
 
 
-NEW_TG = Rule(12, "New Talkgroup Spotter", "new_value", (P.Eq("type", "protocol.p25.grant"),), baseline_sec=86400 * 60, field="talkgroup")
+NEW_TG = Rule(12, "New Talkgroup Spotter", "new_value", (P.Eq("type", "protocol.p25.grant"),), baseline_sec=86400 * 2, field="talkgroup")
 
 
-@query("stm09_stream_new_values", "SELECT DISTINCT 12 AS rule_id, talkgroup::VARCHAR AS value FROM ev WHERE event_type = 'protocol.p25.grant'")
+@query(
+    "stm09_stream_new_values",
+    """SELECT 12 AS rule_id, id, value FROM (SELECT id, talkgroup::VARCHAR AS value, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY talkgroup ORDER BY timestamp_ns, id) AS gap
+       FROM ev WHERE event_type = 'protocol.p25.grant' AND talkgroup IS NOT NULL) WHERE gap IS NULL OR gap > 172800000000000""",
+)
 def _(v):
     path = scratch(v, "stm09")
     out = J.new_value_stream(raw_stream(v), NEW_TG).writeStream.format("parquet").option("path", f"{path}/new")
     J.run_to_end(out, f"{path}/checkpoint")
-    return v.spark.read.schema("rule_id int, id long, ts timestamp, value string").parquet(f"{path}/new").select("rule_id", "value")
+    return v.spark.read.schema("rule_id int, id long, timestamp_ns long, value string").parquet(f"{path}/new").select("rule_id", "id", "value")
 
 
 PAIR = Rule(21, "voice near emitter", "correlation", (P.Eq("type", "sigex.emitter.new"), P.Eq("band", "VHF")), 6 * 3600, second=(P.Eq("type", "protocol.p25.voice"), P.Eq("enc", True)), field="uid")

@@ -113,10 +113,35 @@ def absence_stream(log: DataFrame, rule: Rule, late: str = "10 minutes") -> Data
 
 
 def new_value_stream(log: DataFrame, rule: Rule) -> DataFrame:
-    """First sighting of each value; it counts as new again after the look-back."""
+    """Sightings of values not seen within the look-back before them.
+
+    State per value is its LAST sighting, so a value that keeps coming stays known.
+    A row older than the last sighting is known by it. State is dropped when event
+    time has passed the last sighting by the look-back.
+    """
     value = resolve_field(rule.field)[0].cast("string")
-    hits = log.where(all_of(rule.filters)).select(F.lit(rule.id).alias("rule_id"), "id", "ts", value.alias("value")).where(F.col("value").isNotNull())
-    return hits.withWatermark("ts", f"{rule.baseline_sec} seconds").dropDuplicatesWithinWatermark(["rule_id", "value"])
+    look_back = rule.baseline_sec * NS
+
+    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        new = []
+        rows = pd.concat(list(batches)).sort_values(["timestamp_ns", "id"])
+        for i, ns in zip(rows["id"], rows["timestamp_ns"]):
+            if last is None or ns - last > look_back:
+                new.append((int(key[0]), int(i), int(ns), key[1]))
+            last = int(ns) if last is None else max(last, int(ns))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + look_back) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(new, columns=["rule_id", "id", "timestamp_ns", "value"]).astype({"rule_id": "int32", "id": "int64", "timestamp_ns": "int64"})
+
+    hits = log.withWatermark("ts", f"{rule.baseline_sec} seconds").where(all_of(rule.filters))
+    hits = hits.select(F.lit(rule.id).alias("rule_id"), "id", "ts", "timestamp_ns", value.alias("value")).where(F.col("value").isNotNull())
+    return hits.groupBy("rule_id", "value").applyInPandasWithState(
+        watch, "rule_id int, id long, timestamp_ns long, value string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def correlation_stream(primary: DataFrame, secondary: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFrame:
