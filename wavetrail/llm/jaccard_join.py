@@ -1,9 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Documents are sets of distinct word shingles; equal sets are one node. All shingles have one global order, from rare to frequent, by
-counts over every document (kept in a sketch of fixed size: the order only has to be the same everywhere, so an estimate costs work,
-never a link). Two sets of Jaccard likeness t or more share a shingle among the first n - ceil(t * n) + 1 of each. Nodes that share such
-a shingle are tied together into bundles, most of which are small.
+Documents are sets of distinct word shingles; equal sets are one node. Two steps narrow the nodes down without losing a link:
+
+* Of two linked sets, at most n - ceil(t * n) shingles of one are not in the other. So of the first ``REACH`` of a node's shingles, in
+  the order of their hashes, all but that many must occur in other nodes; nodes without so many are linked with nothing.
+* The shingles of the nodes left have one global order, from rare to frequent, by counts over all these nodes (in a sketch of fixed
+  size: the order only has to be the same everywhere, so an estimate costs work, never a link). Linked nodes share a shingle among
+  the first n - ceil(t * n) + 1 of each. Nodes that share such a shingle are tied together into bundles, most of which are small.
 
 Inside a bundle the global order is cut into fragments. In each fragment the overlaps of all pairs are counted separately, as one
 product of matrices, and summed per pair; between fragments, pairs that can no longer reach their threshold are struck out. Bundles
@@ -29,7 +32,9 @@ from wavetrail.llm.work import materialise
 #: Words of a shingle, and the least likeness in hundredths.
 WORDS, PERCENT = 5, 80
 #: Cells of the sketch, in parts that are summed apart.
-CELL_BITS, PART_BITS = 20, 13
+CELL_BITS, PART_BITS = 22, 15
+#: Hundredths of a node's shingles, by hash, that are looked up in other nodes.
+REACH = 30
 #: Nodes of a bundle that one task compares, and shingles of a fragment.
 BLOCK, FRAGMENT = 1024, 4096
 
@@ -74,29 +79,85 @@ def _cells(grams: np.ndarray) -> np.ndarray:
 
 
 def survey(documents: DataFrame) -> DataFrame:
-    """One row per document (doc_id, row_key, size, node), and the sketch's counts of each task (part, counts)."""
+    """(doc_id, row_key, size, node) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            size, node = nodes_of(*shingle_sets(batch.column("text")), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(size), pa.array(node)], names=["doc_id", "row_key", "size", "node"])
+
+    return documents.mapInArrow(run, "doc_id long, row_key long, size long, node long")
+
+
+def reach(size: np.ndarray) -> np.ndarray:
+    """How many shingles of a set are looked up."""
+    lack = size - (PERCENT * size + 99) // 100
+    return np.minimum(size, lack + 1 + np.maximum(REACH * size // 100 - lack, 0))
+
+
+def lookups(documents: DataFrame) -> DataFrame:
+    """(key, node, weight, several): shingles to be looked up; weight counts those of the node that the row stands for.
+
+    Shingles that several nodes of a batch have are known to be repeated: they are counted there, in one row of the node under a key of
+    its own, and one row tells the other batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in (part for whole in batches for part in slices(whole)):
             rows, grams = shingle_sets(batch.column("text"))
             size, node = nodes_of(rows, grams, batch.num_rows)
-            counts += np.bincount(_cells(grams), minlength=len(counts))
-            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(size), pa.array(node), *none], names=names)
-        parts = [p for p in range(1 << (CELL_BITS - PART_BITS)) if counts[p << PART_BITS : (p + 1) << PART_BITS].any()]
-        packed = [zlib.compress(counts[p << PART_BITS : (p + 1) << PART_BITS].tobytes(), 1) for p in parts]
-        nulls = [pa.nulls(len(parts), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            chosen = rank < reach(size)[rows]
+            _, one = np.unique(node, return_index=True)  # equal sets are looked up once
+            unique = np.zeros(batch.num_rows, dtype=bool)
+            unique[one] = True
+            chosen &= unique[rows]
+            key, of = grams[chosen].view(np.int64), node[rows[chosen]]
+            order = np.argsort(key, kind="stable")
+            key, of = key[order], of[order]
+            head = np.ones(len(key), dtype=bool)
+            head[1:] = key[1:] != key[:-1]
+            last = np.ones(len(key), dtype=bool)
+            last[:-1] = head[1:]
+            alone = head & last
+            known, times = np.unique(of[~alone], return_counts=True)
+            own = mix(known.astype(U64) ^ U64(0x2545F4914F6CDD1D)).view(np.int64)
+            shared = head & ~last
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key[alone], key[shared], own])), pa.array(np.concatenate([of[alone], of[shared], known])),
+                    pa.array(np.concatenate([np.ones(alone.sum(), np.int32), np.zeros(shared.sum(), np.int32), times.astype(np.int32)])),
+                    pa.array(np.concatenate([np.zeros(alone.sum(), bool), np.ones(shared.sum() + len(known), bool)])),
+                ],
+                names=["key", "node", "weight", "several"],
+            )
 
-    names = ["doc_id", "row_key", "size", "node", "part", "counts"]
-    return documents.mapInArrow(run, "doc_id long, row_key long, size long, node long, part int, counts binary")
+    return documents.mapInArrow(run, "key long, node long, weight int, several boolean")
 
 
-def frequency_classes(surveyed: DataFrame) -> np.ndarray:
-    """For every cell of the sketch, the binary logarithm of its count (1 MB in all)."""
+def candidates(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (of node, n) that have enough repeated shingles to be linked with another."""
+    key = Window.partitionBy("key")
+    repeated = (F.min("node").over(key) != F.max("node").over(key)) | F.max("several").over(key)
+    counts = lookups(documents).withColumn("repeated", repeated).filter("repeated").groupBy("node").agg(F.sum("weight").alias("found"))
+    lack = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100")
+    looked = F.least(F.col("n"), lack + 1 + F.greatest(F.expr(f"({REACH} * n) div 100") - lack, F.lit(0)))
+    return nodes.join(counts, "node").filter(F.col("found") >= looked - lack).drop("found")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frequency_classes(sets: DataFrame) -> np.ndarray:
+    """For every cell of the sketch, the binary logarithm of its count over all sets (one byte each)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                np.add.at(counts, _cells(np.frombuffer(packed.as_buffer(), dtype=U64)), 1)
+        parts = [p for p in range(1 << (CELL_BITS - PART_BITS)) if counts[p << PART_BITS : (p + 1) << PART_BITS].any()]
+        packed = [zlib.compress(counts[p << PART_BITS : (p + 1) << PART_BITS].tobytes(), 1) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -105,7 +166,8 @@ def frequency_classes(surveyed: DataFrame) -> np.ndarray:
         found = [np.frexp(c.astype(np.float64))[1].astype(np.uint8).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(found, pa.binary())], names=["part", "counts"])
 
-    rows = surveyed.filter(F.col("part").isNotNull()).select("part", "counts").repartition(1 << (CELL_BITS - PART_BITS), "part").mapInArrow(run, "part int, counts binary").collect()
+    parts = 1 << (CELL_BITS - PART_BITS)
+    rows = sets.select("shingles").mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(total, "part int, counts binary").collect()  # 1 << CELL_BITS bytes
     classes = np.zeros(1 << CELL_BITS, dtype=np.uint8)
     for r in rows:
         classes[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["counts"], dtype=np.uint8)
@@ -121,21 +183,23 @@ def prefix_size(size: np.ndarray) -> np.ndarray:
     return size - (PERCENT * size + 99) // 100 + (size > 0)
 
 
-def postings(documents: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(key, node): nodes that share a key share a prefix shingle.
+def postings(sets: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(key, node): nodes that share a key share a prefix shingle of the global order.
 
     Nodes that meet inside a batch are tied to the least of them under a key of their own; only that one goes on under the shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            rows, grams = shingle_sets(batch.column("text"))
-            size, node = nodes_of(rows, grams, batch.num_rows)
+        for batch in (part for whole in batches for part in slices(whole, "shingles")):
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")], dtype=np.int64)
+            rows = np.repeat(np.arange(batch.num_rows), size)
+            grams = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=U64)
+            node = np.asarray(batch.column("node"))
             order = ordered(rows, grams, classes)
             rows, grams = rows[order], grams[order]
             rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
             chosen = rank < prefix_size(size)[rows]
-            # a cell counted once holds a shingle of one document only
+            # a cell counted once holds a shingle of one node only
             chosen &= classes[_cells(grams)] > 1
             key, of = grams[chosen].view(np.int64), node[rows[chosen]]
             order = np.lexsort((of, key))
@@ -150,7 +214,7 @@ def postings(documents: DataFrame, classes: np.ndarray) -> DataFrame:
             own = mix(ties[:, 0].astype(U64) ^ U64(0x2545F4914F6CDD1D)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[head], own, own])), pa.array(np.concatenate([of[head], ties[:, 0], ties[:, 1]]))], names=["key", "node"])
 
-    return documents.mapInArrow(run, "key long, node long")
+    return sets.mapInArrow(run, "key long, node long")
 
 
 def bundles(found: DataFrame) -> DataFrame:
@@ -206,9 +270,14 @@ def forest(linked: np.ndarray) -> np.ndarray:
 def links(members: DataFrame, classes: np.ndarray) -> DataFrame:
     """(a, b, degree_a, degree_b): forests of links; degrees count all links of a block.
 
-    members: group, side, same, node, text. A group is a bundle (or one block of it: same is true), or two blocks of a bundle, by side.
+    members: group, side, same, node, shingles. A group is a bundle (or one block of it: same is true), or two blocks of a bundle, by side.
     """
 
+    def numbers(packed: bytes) -> np.ndarray:
+        """One number for class and hash of each shingle, in the global order."""
+        grams = np.frombuffer(packed, dtype=U64)
+        return np.sort((classes[_cells(grams)].astype(U64) << U64(57) | grams >> U64(7)).view(np.int64))
+
     def settle(nodes: np.ndarray, sides: np.ndarray, same: bool, sets: list[np.ndarray]) -> tuple[list, ...]:
         first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
         if same:
@@ -230,8 +299,9 @@ def links(members: DataFrame, classes: np.ndarray) -> DataFrame:
         group = None
 
         def close() -> pa.RecordBatch:
-            nodes = np.array([h[0] for h in held])
-            a, b, degree = settle(nodes, np.array([h[1] for h in held]), held[0][2], [h[3] for h in held])
+            nodes, one = np.unique([h[0] for h in held], return_index=True)  # a node may come twice
+            rows = [held[i] for i in one.tolist()]
+            a, b, degree = settle(nodes, np.array([h[1] for h in rows]), rows[0][2], [numbers(h[3]) for h in rows])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64())], names=["a", "b", "degree"])
 
         for batch in batches:
@@ -241,7 +311,7 @@ def links(members: DataFrame, classes: np.ndarray) -> DataFrame:
                     if len(held) > 1:
                         yield close()
                     held, group = [], key
-                held.append((node, side, same, np.frombuffer(packed, dtype=np.int64)))
+                held.append((node, side, same, packed))
         if len(held) > 1:
             yield close()
 
@@ -249,25 +319,19 @@ def links(members: DataFrame, classes: np.ndarray) -> DataFrame:
     return members.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, degree long")
 
 
-def member_sets(texts: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(node, bundle, shingles): the set of one document of each node, in global order; other documents of a joined id go."""
+def member_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the set of one document of each node, by hash; other documents of a joined id go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             rows, grams = shingle_sets(batch.column("text"))
             _, node = nodes_of(rows, grams, batch.num_rows)
-            # one number for class and hash, so that order and equality of numbers are those of the global order
-            number = (classes[_cells(grams)].astype(U64) << U64(57) | grams >> U64(7)).view(np.int64)
-            number = number[np.lexsort((number, rows))]
-            ends = np.searchsorted(rows, np.arange(batch.num_rows), "right").tolist()
             keep = np.flatnonzero(node == np.asarray(batch.column("node"))).tolist()
-            raw, starts = number.tobytes(), [0, *ends[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(pa.array(keep, pa.int64())), batch.column("bundle").take(pa.array(keep, pa.int64())), pa.array([raw[8 * starts[i] : 8 * ends[i]] for i in keep], pa.binary())],
-                names=["node", "bundle", "shingles"],
-            )
+            ends = np.searchsorted(rows, np.arange(batch.num_rows), "right").tolist()
+            raw, starts = grams.tobytes(), [0, *ends[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array([raw[8 * starts[i] : 8 * ends[i]] for i in keep], pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, bundle long, shingles binary")
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 def join_similar(documents: DataFrame) -> DataFrame:
@@ -279,16 +343,16 @@ def join_similar(documents: DataFrame) -> DataFrame:
     """
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    surveyed = materialise(survey(rows), "jaccard-survey")
-    classes = frequency_classes(surveyed)
-    known = surveyed.filter(F.col("part").isNull()).select("doc_id", "row_key", "size", "node")
-    tied = materialise(bundles(postings(rows, classes)), "jaccard-bundles")
-    sizes = tied.groupBy(F.col("component").alias("bundle")).agg(F.count("*").alias("nodes"))
+    known = materialise(survey(rows), "jaccard-survey")
     # one row of each node: the least id, of equal ids any (the text's node is compared again)
     one = known.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("chosen"), F.max("size").alias("n"))
-    chosen = one.join(tied.select("node", F.col("component").alias("bundle")), "node")
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node", "bundle")
-    sets = member_sets(texts, classes).dropDuplicates(["node"]).join(sizes, "bundle")
+    chosen = materialise(candidates(rows, one), "jaccard-candidates")
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
+    found_sets = materialise(member_sets(texts), "jaccard-sets")
+    classes = frequency_classes(found_sets)
+    tied = materialise(bundles(postings(found_sets, classes)), "jaccard-bundles")
+    sizes = tied.groupBy(F.col("component").alias("bundle")).agg(F.count("*").alias("nodes"))
+    sets = found_sets.join(tied.select("node", F.col("component").alias("bundle")).join(sizes, "bundle"), "node")
     blocks = F.ceil(F.col("nodes") / BLOCK).cast("long")
     sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # a block meets itself and every other one
