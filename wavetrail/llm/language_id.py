@@ -30,18 +30,21 @@ HOST_STRENGTH, DECLARED_STRENGTH = 10.0, 10.0
 #: Documents below this posterior are rejected.
 LEAST_POSTERIOR = 0.5
 
-INPUT = ["doc_id", "text", "declared", "suffix", "host"]
+#: Letters, spaces and bytes of other scripts; numbers, addresses and signs say nothing about a language.
+_WORDY = np.zeros(256, dtype=bool)
+_WORDY[[0x20, *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every byte trigram, A-Z lowered; none crosses rows."""
+    """Bucket and row of every byte trigram of letters and spaces, A-Z lowered; none crosses rows."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = LOWER[data].astype(np.uint32)
     code = low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)
     bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = rows[:-2] == rows[2:]
+    wordy = _WORDY[data]
+    inside = (rows[:-2] == rows[2:]) & wordy[:-2] & wordy[1:-1] & wordy[2:]
     return bucket[inside].astype(np.int64), rows[:-2][inside]
 
 
