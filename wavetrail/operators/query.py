@@ -91,6 +91,14 @@ class EventQuery:
         return out.where(a.having) if a.having is not None else out
 
 
+def grouped_measures(log: DataFrame, asked: list[Aggregation], keys: list[str]) -> DataFrame:
+    """(fn, keys, agg_value) of several measures over the same groups, in one pass; values are doubles."""
+    names = [f"_m{i}" for i in range(len(asked))]
+    out = log.groupBy(*[resolve_field(k)[0].alias(k) for k in keys]).agg(*[a.measure().cast("double").alias(n) for a, n in zip(asked, names)])
+    pairs = F.array(*[F.struct(F.lit(a.function).alias("fn"), F.col(n).alias("agg_value")) for a, n in zip(asked, names)])
+    return out.select(*keys, F.inline(pairs))
+
+
 def facets(log: DataFrame, field: str, limit: int) -> DataFrame:
     """Most frequent values of one field; floats read as four decimals."""
     column, _ = resolve_field(field)

@@ -367,21 +367,17 @@ def _(v):
         rows().alias("clip_count"), F.round(F.sum("duration_sec"), 4).alias("total_duration"), F.sum("file_size_bytes").alias("total_size"),
         F.count_distinct("source_unit").alias("unique_uids"), F.max("start_time").alias("last_clip"),
     ]
-    p25 = v.rec.where(F.col("trigger_type") == "auto_p25")
-    none = F.lit(None).cast("string")
-    tg = (
-        p25.groupBy("tgid").agg(*measures).join(v.tg.select("tgid", "name"), "tgid", "left")
-        .withColumn("grouping_kind", F.lit("talkgroup")).withColumn("key", F.col("tgid").cast("string")).drop("tgid")
-    )
-    freq = (
-        v.rec.where(F.col("trigger_type") == "auto_squelch").groupBy(S.fixed(F.round("freq_mhz", 3), 3).alias("key")).agg(*measures)
-        .withColumn("grouping_kind", F.lit("frequency")).withColumn("name", none)
-    )
-    unit = (
-        p25.where(F.col("source_unit").isNotNull()).groupBy(F.concat("tgid", F.lit("/"), "source_unit").alias("key")).agg(*measures)
-        .withColumn("grouping_kind", F.lit("unit")).withColumn("name", none)
-    )
-    return tg.unionByName(freq).unionByName(unit)
+    # one row for each group that a clip counts in, so the recordings are read once
+    group = lambda kind, key: F.struct(F.lit(kind).alias("grouping_kind"), key.alias("key"), F.when(F.lit(kind == "talkgroup"), F.col("tgid")).alias("tgid"))
+    p25, squelch = F.col("trigger_type") == "auto_p25", F.col("trigger_type") == "auto_squelch"
+    groups = F.array_compact(F.array(
+        F.when(p25, group("talkgroup", F.col("tgid").cast("string"))),
+        F.when(squelch, group("frequency", S.fixed(F.round("freq_mhz", 3), 3))),
+        F.when(p25 & F.col("source_unit").isNotNull(), group("unit", F.concat("tgid", F.lit("/"), "source_unit"))),
+    ))
+    clips = v.rec.select("duration_sec", "file_size_bytes", "source_unit", "start_time", F.inline(groups))
+    names = v.tg.select("tgid", "name")
+    return clips.groupBy("grouping_kind", "key", "tgid").agg(*measures).join(names, "tgid", "left").drop("tgid")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavetrail import reference_data as ref
 from wavetrail.functions import scalars as S
 from wavetrail.operators import filters as P
-from wavetrail.operators.query import Aggregation, EventQuery, facets, multi_facets, newest, time_range
+from wavetrail.operators.query import Aggregation, EventQuery, facets, grouped_measures, multi_facets, newest, time_range
 from wavetrail.plans.registry import query
 from wavetrail.sources import sinks
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S
@@ -218,12 +218,8 @@ def _(v):
 )
 def _(v):
     asked = [("count", None), ("count_distinct", "uid"), ("sum", "k"), ("avg", "freq"), ("min", "freq"), ("max", "tg")]
-    out = None
-    for fn, field in asked:
-        part = EventQuery(aggregation=Aggregation(fn, field, ("band",))).aggregate(v.ev)
-        part = part.select(F.lit(fn).alias("fn"), "band", F.round(F.col("agg_value").cast("double"), 6).alias("agg_value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = grouped_measures(v.ev, [Aggregation(fn, field) for fn, field in asked], ["band"])
+    return out.select("fn", "band", F.round("agg_value", 6).alias("agg_value"))
 
 
 @query("agg02_page_count", "SELECT COUNT(*) AS total FROM ev WHERE event_type = 'protocol.p25.grant' AND encrypted")
@@ -238,7 +234,7 @@ def _(v):
 )
 def _(v):
     q = EventQuery((P.Like("type", "protocol.p25.%"),), aggregation=Aggregation("count", None, ("tg",), 300))
-    return q.aggregate(v.ev).orderBy("time_bucket", "tg")
+    return q.aggregate(v.ev)
 
 
 @query(

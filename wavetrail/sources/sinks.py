@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,25 +50,27 @@ def purge_table(spark: SparkSession, table: str, before_ns: int) -> None:
 
     Days before the cut are dropped as partitions, the day of the cut is replaced
     by its kept rows, and later days are not read. The kept rows go through the
-    shared folder because a table cannot be overwritten while it is read.
+    shared folder because a table cannot be overwritten while it is read. There is
+    no common commit: a purge that broke off is completed by running it again.
     """
     cut_day = F.to_date(F.timestamp_seconds(F.lit(before_ns // SECOND_NS)))
-    log = spark.table(table)
-    staging = f"{shared_dir(spark)}/purge-{table}-{before_ns}"
-    kept_after_purge(log.where(F.col("event_date") == cut_day), before_ns).write.mode("overwrite").parquet(staging)
-    kept = spark.read.schema(log.schema).parquet(staging)
     day = datetime.datetime.fromtimestamp(before_ns // SECOND_NS, datetime.timezone.utc).date().isoformat()
+    log = spark.table(table)
     # Partition names only: one short row per day of record.
     days = sorted(r["partition"].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
-    drop = [d for d in days if d < day]
+    for d in days:
+        if d < day:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE'{d}')")
+    if day not in days:
+        return
+    staging = f"{shared_dir(spark)}/purge-{table}-{uuid.uuid4().hex}"
+    kept_after_purge(log.where(F.col("event_date") == cut_day), before_ns).write.parquet(staging)
+    kept = spark.read.schema(log.schema).parquet(staging)
     if kept.isEmpty():
-        drop += [d for d in days if d == day]
-    else:
-        columns = ", ".join(c for c in log.columns if c != "event_date")
-        kept.createOrReplaceTempView("kept_rows")
-        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (event_date = DATE'{day}') SELECT {columns} FROM kept_rows")
-    for d in drop:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE'{d}')")
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE'{day}')")
+        return
+    columns = ", ".join(c for c in log.columns if c != "event_date")
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (event_date = DATE'{day}') SELECT {columns} FROM {{kept}}", kept=kept)
 
 
 def compact_grants(grants: DataFrame, talkgroups: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
