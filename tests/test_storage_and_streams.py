@@ -31,7 +31,7 @@ def parts(spark, views, tmp_path_factory):
 
 def test_stream_traces_equal_batch(spark, views, parts, tmp_path):
     log = J.log_stream(spark, parts).where(F.col("event_type").startswith("protocol.p25."))
-    J.run_to_end(J.trace_stream(log, DAY_NS).writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
+    J.run_to_end(J.trace_stream(log, DAY_NS, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     got = {r.id: (r.trace_id, r.span_id) for r in spark.read.schema(J.TRACED).parquet(f"{tmp_path}/out").collect()}
     batch = H.assign_traces(views.ev.where(F.col("event_type").startswith("protocol.p25.")), DAY_NS)
     assert got == {r.id: (r.trace_id, r.span_id) for r in batch.collect()}
@@ -57,7 +57,7 @@ def test_stream_threshold_windows(spark, views, parts, tmp_path):
 def test_stream_cooldown_over_batches(spark, views, parts, tmp_path):
     rule = Rule(5, "federal", "first_occurrence", (P.Eq("cls", "FEDL"),), cooldown_sec=43200)
     hits = matches(J.log_stream(spark, parts), [rule]).select("ts", "rule_id", "timestamp_ns")
-    J.run_to_end(J.cooldown_stream(hits, 43200).writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
+    J.run_to_end(J.cooldown_stream(hits, 43200, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     got = sorted(r.timestamp_ns for r in spark.read.schema("rule_id int, timestamp_ns long").parquet(f"{tmp_path}/out").collect())
     want, last = [], None
     for r in views.ev.where("classification = 'FEDL'").orderBy("timestamp_ns").collect():
@@ -79,7 +79,7 @@ def test_stream_distinct_windows(spark, views, parts, tmp_path):
 
 def test_stream_absence_finds_every_silence(spark, views, parts, tmp_path):
     rule = Rule(4, "quiet", "absence", (P.Eq("type", "spectrum.detect"),), 8 * 3600)
-    J.run_to_end(J.absence_stream(J.log_stream(spark, parts), rule).writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
+    J.run_to_end(J.absence_stream(J.log_stream(spark, parts), rule, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     rows = spark.read.schema("rule_id int, since_ns long, until_ns long").parquet(f"{tmp_path}/out").collect()
     times = [r.timestamp_ns for r in views.hits.orderBy("timestamp_ns").collect()]
     want = {(a, b) for a, b in zip(times, times[1:]) if b - a > 8 * 3600 * NS}

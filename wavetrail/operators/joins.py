@@ -23,14 +23,16 @@ def to_seconds_intervals(sessions: DataFrame, as_of: Column, keys: list[str]) ->
 
 
 def within_intervals(
-    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str] = [], cell_s: int = 6 * 3600
+    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 1800
 ) -> DataFrame:
     """Semi join: rows inside ANY session, once each, with the session keys.
 
     Sessions are united per key and cut into cells, so each row meets only the
     few pieces of its own cell. A row on a cell border is looked up once: it
-    belongs to the cell it starts.
+    belongs to the cell it starts. Sessions need a key, or one task would unite all.
     """
+    if not keys:
+        raise ValueError("sessions are united per key")
     cell = cell_s * 1_000_000
     spans = to_seconds_intervals(sessions, as_of, keys)
     pieces = clip_intervals(merge_intervals(spans, keys, "start_t", "end_t", cell), keys, "start_t", "end_t", cell)
@@ -40,7 +42,7 @@ def within_intervals(
 
 
 def with_intervals(
-    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 6 * 3600
+    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 1800
 ) -> DataFrame:
     """Inner join: one output row per session that covers the row."""
     cell = cell_s * 1_000_000

@@ -197,7 +197,7 @@ def _(v):
 def _(v):
     path = scratch(v, "stm04")
     log = raw_stream(v).where(F.col("event_type").startswith("protocol.p25."))
-    out = J.trace_stream(log, DAY_NS).writeStream.format("parquet").option("path", f"{path}/traced")
+    out = J.trace_stream(log, DAY_NS, "10 minutes").writeStream.format("parquet").option("path", f"{path}/traced")
     J.run_to_end(out, f"{path}/checkpoint")
     return v.spark.read.schema(J.TRACED).parquet(f"{path}/traced").select("id", "event_type", "trace_id", "span_id")
 
@@ -227,7 +227,7 @@ PAIR = Rule(21, "voice near emitter", "correlation", (P.Eq("type", "sigex.emitte
 )
 def _(v):
     path = scratch(v, "stm10")
-    out = J.correlation_stream(raw_stream(v), raw_stream(v), PAIR).writeStream.format("parquet").option("path", f"{path}/pairs")
+    out = J.correlation_stream(raw_stream(v), raw_stream(v), PAIR, "10 minutes").writeStream.format("parquet").option("path", f"{path}/pairs")
     J.run_to_end(out, f"{path}/checkpoint")
     return v.spark.read.schema("rule_id int, value string, a_id long, b_id long").parquet(f"{path}/pairs")
 
@@ -242,7 +242,7 @@ def _(v):
     path = scratch(v, "win08")
     rule = Rule(5, "Federal Activity Detected", "first_occurrence", (P.Eq("cls", "FEDL"),), cooldown_sec=12 * 3600)
     hits = matches(raw_stream(v), [rule]).select("ts", "rule_id", "timestamp_ns")
-    J.run_to_end(J.cooldown_stream(hits, rule.cooldown_sec).writeStream.format("parquet").option("path", f"{path}/fired"), f"{path}/checkpoint")
+    J.run_to_end(J.cooldown_stream(hits, rule.cooldown_sec, "10 minutes").writeStream.format("parquet").option("path", f"{path}/fired"), f"{path}/checkpoint")
     return v.spark.read.schema("rule_id int, timestamp_ns long").parquet(f"{path}/fired")
 
 

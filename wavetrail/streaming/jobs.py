@@ -1,7 +1,9 @@
 """Structured Streaming forms: the same Columns and stages as the batch jobs.
 
 Event time with watermarks takes the place of polling by the wall clock, and
-checkpoints take the place of buffers that drop what they cannot hold.
+checkpoints take the place of buffers that drop what they cannot hold. ``late``
+says how much older than the newest event a row may be: later ones are dropped
+by windows, joins and timed state, so every caller must state it.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def fan_out(stream: DataFrame, telemetry: str, detections: str, is_detection) ->
     ]
 
 
-def threshold_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10 minutes") -> DataFrame:
+def threshold_stream(log: DataFrame, rule: Rule, step_s: int, late: str) -> DataFrame:
     """Windows of a threshold rule, each emitted once when it can no longer change."""
     w = F.window("ts", f"{rule.window_sec} seconds", f"{step_s} seconds")
     counts = log.withWatermark("ts", late).where(all_of(rule.filters)).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("match_count"))
@@ -69,7 +71,7 @@ def threshold_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10 mi
     return counts.where(hit).select(F.lit(rule.id).alias("rule_id"), F.col("w.end").alias("at"), "match_count")
 
 
-def cardinality_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10 minutes") -> DataFrame:
+def cardinality_stream(log: DataFrame, rule: Rule, step_s: int, late: str) -> DataFrame:
     """Windows of a cardinality rule by an approximate distinct count.
 
     A stream cannot count distinct values exactly in bounded state.
@@ -82,7 +84,7 @@ def cardinality_stream(log: DataFrame, rule: Rule, step_s: int, late: str = "10
     return counts.where(hit).select(F.lit(rule.id).alias("rule_id"), F.col("w.end").alias("at"), *rule.group_by, "match_count")
 
 
-def absence_stream(log: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFrame:
+def absence_stream(log: DataFrame, rule: Rule, late: str) -> DataFrame:
     """A row for each silence of a rule's events longer than its window.
 
     A silence shows when event time passes the last match by the window, either
@@ -144,7 +146,7 @@ def new_value_stream(log: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def correlation_stream(primary: DataFrame, secondary: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFrame:
+def correlation_stream(primary: DataFrame, secondary: DataFrame, rule: Rule, late: str) -> DataFrame:
     """Pairs of events of two streams with the same value at most a window apart."""
     value = resolve_field(rule.field)[0].cast("string")
     side = lambda df, f, p: df.where(all_of(f)).select(
@@ -165,7 +167,7 @@ def every_stream(log: DataFrame, rules_table: Callable[[], DataFrame], path: str
 TRACED = "id long, timestamp_ns long, event_type string, trace_id long, span_id long"
 
 
-def trace_stream(log: DataFrame, gap_ns: int, late: str = "10 minutes") -> DataFrame:
+def trace_stream(log: DataFrame, gap_ns: int, late: str) -> DataFrame:
     """Trace and span of protocol events as they arrive (see ``assign_traces``).
 
     State per (talkgroup, frequency): the open trace, the last event and the span
@@ -209,7 +211,7 @@ def trace_stream(log: DataFrame, gap_ns: int, late: str = "10 minutes") -> DataF
     )
 
 
-def cooldown_stream(hits: DataFrame, rest_s: int, late: str = "10 minutes") -> DataFrame:
+def cooldown_stream(hits: DataFrame, rest_s: int, late: str) -> DataFrame:
     """Firings of each rule that lie at least ``rest_s`` after its last firing.
 
     ``hits`` needs ``ts``, ``rule_id`` and ``timestamp_ns``.
