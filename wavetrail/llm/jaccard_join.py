@@ -347,7 +347,8 @@ def join_similar(documents: DataFrame) -> DataFrame:
     # one row of each node: the least id, of equal ids any (the text's node is compared again)
     one = known.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("chosen"), F.max("size").alias("n"))
     chosen = materialise(candidates(rows, one), "jaccard-candidates")
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
+    # planned alike at every size: the texts are shuffled once, the candidates are never broadcast
+    texts = rows.hint("merge").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
     found_sets = materialise(member_sets(texts), "jaccard-sets")
     classes = frequency_classes(found_sets)
     tied = materialise(bundles(postings(found_sets, classes)), "jaccard-bundles")
