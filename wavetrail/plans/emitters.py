@@ -521,6 +521,21 @@ def _(v):
 
 @query(
     "ups08_emitter_catalogue",
+    f"""SELECT emitter_mhz, first_s, last_s, hits, id_match, emitter_type, CASE WHEN id_match IS NULL THEN 0e0 ELSE 0.5e0 END AS confidence,
+         CASE WHEN {EPOCH_S + 86400} - last_s > 86400 THEN 'GONE' WHEN {EPOCH_S + 86400} - first_s <= 86400 THEN 'NEW' ELSE 'UNKNOWN' END AS status
+       FROM (SELECT owner AS emitter_mhz, MIN(first_s) AS first_s, MAX(last_s) AS last_s, SUM(hits)::BIGINT AS hits FROM claimed GROUP BY 1) e
+       LEFT JOIN (SELECT f, arg_max(name, ref_id) AS id_match, arg_max(emitter_type, ref_id) AS emitter_type FROM (SELECT DISTINCT owner AS f FROM claimed) c JOIN lib ON c.f BETWEEN f_min AND f_max GROUP BY 1) m ON m.f = e.emitter_mhz""",
+    LIB_CTE + """,
+pks AS (SELECT t_s, (tile_center_hz - n/2.0*bin_hz + (bin + 0.5)*bin_hz)/1e6 AS mhz FROM (
+  SELECT *, lag(db) OVER w AS l, lead(db) OVER w AS r FROM bins WINDOW w AS (PARTITION BY frame_id ORDER BY bin)) WHERE db > -70 AND db > l AND db > r),
+seen AS (SELECT f, first_s, last_s, hits, row_number() OVER (ORDER BY first_s, f) AS i FROM (
+  SELECT ROUND(mhz, 6) AS f, MIN(t_s) AS first_s, MAX(t_s) AS last_s, COUNT(*) AS hits FROM pks GROUP BY 1)),
+claimed AS (WITH RECURSIVE r AS (
+  SELECT 0::BIGINT AS i, []::DOUBLE[] AS known, NULL::DOUBLE AS owner, NULL::BIGINT AS first_s, NULL::BIGINT AS last_s, NULL::BIGINT AS hits
+  UNION ALL
+  SELECT i, CASE WHEN near IS NULL THEN list_append(known, f) ELSE known END, coalesce(near, f), first_s, last_s, hits FROM (
+    SELECT s.i, r.known, s.f, list_filter(r.known, lambda e: abs(e - s.f) < 0.05)[1] AS near, s.first_s, s.last_s, s.hits FROM r JOIN seen s ON s.i = r.i + 1))
+  SELECT * FROM r WHERE i > 0)""",
 )
 def _(v):
     from wavetrail.operators.spectrum import peaks

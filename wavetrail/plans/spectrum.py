@@ -346,10 +346,7 @@ HARM_CTE = PEAK_CTE + """,
 pk AS (SELECT frame_id, list((bin + 0.5)/1000::DOUBLE ORDER BY bin) AS f FROM nb WHERE db > -70 AND db > l AND db > r GROUP BY 1)"""
 
 
-@query(
-    "joi17_harmonic_groups",
-    """SELECT frame_id, ROUND(f[i], 4) AS fundamental_mhz, list_aggregate(list_transform(h, lambda j: printf('%.4f', f[j])), 'string_agg', ',') AS harmonics FROM walk WHERE i > 0 AND len(h) > 0""",
-    HARM_CTE + """,
+WALK_CTE = HARM_CTE + """,
 walk AS (
   WITH RECURSIVE w AS (
     SELECT frame_id, f, 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS h FROM pk
@@ -358,7 +355,13 @@ walk AS (
       SELECT frame_id, f, i, used, CASE WHEN list_contains(used, i + 1) THEN []::BIGINT[] ELSE
         list_filter(range(1, len(f) + 1), lambda j: NOT list_contains(used, j) AND j <> i + 1 AND ROUND(f[j]/f[i+1]) >= 2 AND abs(f[j]/f[i+1] - ROUND(f[j]/f[i+1]))/ROUND(f[j]/f[i+1]) < 0.01e0) END AS nh
       FROM w WHERE i < len(f)))
-  SELECT * FROM w)""",
+  SELECT * FROM w)"""
+
+
+@query(
+    "joi17_harmonic_groups",
+    """SELECT frame_id, ROUND(f[i], 4) AS fundamental_mhz, list_aggregate(list_transform(h, lambda j: printf('%.4f', f[j])), 'string_agg', ',') AS harmonics FROM walk WHERE i > 0 AND len(h) > 0""",
+    WALK_CTE,
 )
 def _(v):
     text = F.array_join(F.transform("harmonics", lambda x: S.fixed(x, 4)), ",")

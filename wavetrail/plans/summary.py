@@ -14,7 +14,7 @@ from wavetrail.plans.emitters import CFO_BUCKET, FPC_CTE, LINK_CTE, OBS_CTE, RES
 from wavetrail.plans.history import DAY_NS, ROT_CTE, sessions_cte, sessions_of
 from wavetrail.plans.network import tg_dim
 from wavetrail.plans.registry import query
-from wavetrail.plans.spectrum import ANOM_CTE, anomaly_rows, harmonic_rows
+from wavetrail.plans.spectrum import ANOM_CTE, WALK_CTE, anomaly_rows, harmonic_rows
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S, ts_lit
 
 TODAY_NS = AS_OF_NS - 2 * DAY_NS
@@ -157,7 +157,20 @@ def _(v):
 # --- harmonics over time, report -------------------------------------------
 
 
-@query("ups10_harmonic_suppression")
+@query(
+    "ups10_harmonic_suppression",
+    """SELECT sensor, t_s, frame_id, f AS fundamental_mhz FROM kept WHERE keep""",
+    WALK_CTE + """,
+grp AS (SELECT s.sensor, s.t_s, w.frame_id, w.f[w.i] AS f, row_number() OVER (PARTITION BY s.sensor ORDER BY s.t_s, w.frame_id, w.f[w.i]) AS rn
+  FROM walk w JOIN (SELECT DISTINCT frame_id, sensor, t_s FROM bins) s USING (frame_id) WHERE w.i > 0 AND len(w.h) > 0),
+kept AS (WITH RECURSIVE r AS (
+  SELECT sensor, 0::BIGINT AS rn, []::STRUCT(t BIGINT, f DOUBLE)[] AS seen, false AS keep, NULL::BIGINT AS t_s, NULL::BIGINT AS frame_id, NULL::DOUBLE AS f FROM (SELECT DISTINCT sensor FROM grp)
+  UNION ALL
+  SELECT sensor, rn, CASE WHEN fresh THEN list_append(near, {'t': t_s, 'f': f}) ELSE near END, fresh, t_s, frame_id, f FROM (
+    SELECT *, len(list_filter(near, lambda k: abs(k.f - f) < 0.002)) = 0 AS fresh FROM (
+      SELECT g.sensor, g.rn, list_filter(r.seen, lambda k: k.t > g.t_s - 60) AS near, g.t_s, g.frame_id, g.f FROM r JOIN grp g ON g.sensor = r.sensor AND g.rn = r.rn + 1)))
+  SELECT * FROM r)""",
+)
 def _(v):
     return suppress_repeats(harmonic_rows(v), 0.002, 60).select("sensor", "t_s", "frame_id", "fundamental_mhz")
 
