@@ -155,12 +155,15 @@ def all_of(filters, null_passes: bool = False) -> Column:
 
 
 def apply_optional(df: DataFrame, **given) -> DataFrame:
-    """Keep rows equal to every argument that is not None; ``x__ge`` means >=."""
+    """Keep rows equal to every argument that is not None; ``x__ge`` means >=, ``x__or_unset`` equal or NULL."""
     for name, value in given.items():
         if value is None:
             continue
         if name.endswith("__ge"):
             df = df.where(F.col(name[:-4]) >= value)
+        elif name.endswith("__or_unset"):
+            column = F.col(name.removesuffix("__or_unset"))
+            df = df.where((column == value) | column.isNull())
         else:
             df = df.where(F.col(name) == value)
     return df
