@@ -25,10 +25,15 @@ def _with_key(frame: DataFrame, row_key: Column | str) -> DataFrame:
     return frame.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", key)
 
 
-def _without(docs: DataFrame, row_key: Column, rejected: DataFrame, name: str) -> DataFrame:
-    """Rows whose (doc_id, row_key) is not rejected. The rejected keys are written first, so Spark broadcasts them only if they are few."""
+def _without(docs: DataFrame, row_key: Column, rejected: DataFrame, name: str, share: bool = False) -> DataFrame:
+    """Rows whose (doc_id, row_key) is not rejected.
+
+    The rejected keys are written first, so Spark broadcasts them only if they are few; where a share of all documents goes, the
+    join is planned as a merge at every size.
+    """
     keys = materialise(_with_key(rejected, "row_key").select("_id", "_key").distinct(), name)
-    return _with_key(docs, row_key).join(keys, ["_id", "_key"], "left_anti").select(*docs.columns)
+    keyed = _with_key(docs, row_key)
+    return (keyed.hint("merge") if share else keyed).join(keys, ["_id", "_key"], "left_anti").select(*docs.columns)
 
 
 def _text_key() -> Column:
@@ -46,7 +51,7 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     first = found.filter("doc_id = component_id").groupBy(F.col("component_id").alias("_component")).agg(F.min("row_key").alias("_first"))
     placed = found.join(first, F.col("component_id") == F.col("_component"), "left")
     stays = (F.col("doc_id").isNull() & F.col("component_id").isNull()) | ((F.col("doc_id") == F.col("component_id")) & (F.col("row_key") == F.col("_first")))
-    kept = _without(docs, _text_key(), placed.filter(~F.coalesce(stays, F.lit(False))), "similar-rejected")
+    kept = _without(docs, _text_key(), placed.filter(~F.coalesce(stays, F.lit(False))), "similar-rejected", share=True)
     doubles = materialise(_with_key(found, "row_key").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key"), "similar-doubles")
     if doubles.isEmpty():
         return kept
