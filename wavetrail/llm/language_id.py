@@ -52,9 +52,14 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket in each, from (doc_id, text, language)."""
     rows = labelled.filter(F.col("language").isNotNull())
     top = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
-    languages = sorted(r.language for r in top.collect())  # at most MAX_LANGUAGES
-    place = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.filter(F.col("language").isin(languages)).select("doc_id", "language").withColumn("place", place).filter(F.col("place") <= FIT_PER_LANGUAGE)
+    counts = {r.language: r["count"] for r in top.collect()}  # at most MAX_LANGUAGES
+    languages = sorted(counts)
+    # of n documents, those with a hash in the first 4 * FIT_PER_LANGUAGE / n of its range hold the least ones and are few
+    span = 1 << 40
+    near = F.coalesce(*[F.when(F.col("language") == name, F.lit(min(span, 4 * FIT_PER_LANGUAGE * span // n))) for name, n in counts.items()], F.lit(0))
+    hashed = rows.select("doc_id", "language", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("hash")).filter(F.col("hash") < near)
+    place = F.row_number().over(Window.partitionBy("language").orderBy("hash", "doc_id"))
+    chosen = hashed.withColumn("place", place).filter(F.col("place") <= FIT_PER_LANGUAGE)
     chosen = chosen.select("doc_id", "language").distinct()
     number = {name: i for i, name in enumerate(languages)}
 
