@@ -16,7 +16,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text whose arrays are held at once (a longer text is taken alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: \x20 and \x09-\x0D separate words.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

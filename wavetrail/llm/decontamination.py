@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetrail.llm.batches import LOWER, SYMBOLS, U64, Totals, mix, pieces, utf8
+from wavetrail.llm.batches import LOWER, SYMBOLS, U64, Totals, mix, pieces, slices, utf8
 from wavetrail.llm.registry import query, table
 from wavetrail.llm.work import materialise
 
@@ -142,7 +142,7 @@ def template_windows(texts: DataFrame, widths: list[int], wanted: np.ndarray | N
             place = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
             return np.flatnonzero(wanted[place] == gram)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for width in widths:
                 yield from _emit(batch, width, keep)
 
@@ -153,7 +153,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """(row_id, row_key, tokens): canonical tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             data, offsets = utf8(batch.column(2))
             counts = [np.bincount(canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], minlength=b - a) for a, b in pieces(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["row_id", "row_key", "tokens"])

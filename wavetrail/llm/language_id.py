@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavetrail.llm.batches import LOWER, pieces, utf8
+from wavetrail.llm.batches import LOWER, pieces, slices, utf8
 from wavetrail.llm.registry import query, table
 from wavetrail.llm.work import materialise
 
@@ -65,7 +65,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(number), BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             data, offsets = utf8(batch.column(0))
             of_row = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for low, high in pieces(offsets):
@@ -88,7 +88,7 @@ def likelihoods(documents: DataFrame, model: np.ndarray) -> DataFrame:
     kept = [c for c in documents.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             data, offsets = utf8(batch.column("text"))
             n = batch.num_rows
             grams, sums = np.zeros(n, dtype=np.int64), np.zeros((n, len(model)))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavetrail.llm.batches import slices
 from wavetrail.llm.registry import query, table
 
 #: Kinds in the order in which spans of equal start are listed.
@@ -231,7 +232,7 @@ _COLUMNS = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n in _COLUMNS])
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             base, spans, layers = find_secrets(text.as_py() or "")
@@ -267,7 +268,7 @@ def redact(documents: DataFrame) -> DataFrame:
     columns = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             old = batch.column("text")
             new = [None if t is None else blanked(t) for t in old.to_pylist()]
             arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(new, old.type)}
