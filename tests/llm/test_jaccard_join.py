@@ -83,6 +83,36 @@ def test_thresholds_are_exact():
             assert linked[i, j] == (i != j and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)))
 
 
+def test_demand_holds_for_every_pair_of_sizes():
+    import numpy as np
+
+    sizes = np.arange(1, 400)
+    reach, demand = jj.reach(sizes), jj.demand(sizes)
+    assert demand.min() == 1 and (demand[jj.EVERY_SIZE :] == (reach - sizes // 5)[jj.EVERY_SIZE :]).all()
+    tight = set()
+    for n in range(1, 132):
+        for m in range(n, 5 * n // 4 + 1):
+            for o in range(-(-80 * (n + m) // 180), n + 1):
+                # extra shingles have the smallest hashes, on one side or on both
+                for a, b in ((n - o, m - o), (n - o, 0), (0, m - o)):
+                    first = set(range(min(reach[n - 1] - a, o))) if a else set(range(min(reach[n - 1], o)))
+                    common = len(first & set(range(min(reach[m - 1] - b, o))))
+                    assert common >= demand[n - 1] and common >= demand[m - 1], (n, m, o)
+                    tight |= {x for x in (n, m) if common == demand[x - 1]}
+    assert tight >= set(range(4, 100))
+
+
+def test_one_word_more_at_an_end(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = [f"w{k}x{rnd.randrange(10**9)}" for _ in range(8 if k % 2 else 9)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([f"first{k}", *text] if k % 3 else [*text, f"last{k}"]))]
+    want = brute(rows)
+    assert sum(eval(r)[3] for r in want) == 120
+    assert got(jj.join_similar(documents(spark, rows))) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

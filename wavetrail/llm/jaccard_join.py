@@ -2,8 +2,9 @@
 
 Documents are sets of distinct word shingles; equal sets are one node. Two steps narrow the nodes down without losing a link:
 
-* Of two linked sets, at most n - ceil(t * n) shingles of one are not in the other. So of the first ``REACH`` of a node's shingles, in
-  the order of their hashes, all but that many must occur in other nodes; nodes without so many are linked with nothing.
+* Of two linked sets, at most n - ceil(t * n) shingles of one are not in the other. Of each node's shingles the first ``REACH``, in the
+  order of their hashes, are looked up in those of other nodes. Each side's extra shingles may come first, so both sides decide how many
+  shared ones are among the first of both (`demand`); nodes that find fewer are linked with nothing.
 * The shingles of the nodes left have one global order, from rare to frequent, by counts over all these nodes (in a sketch of fixed
   size: the order only has to be the same everywhere, so an estimate costs work, never a link). Linked nodes share a shingle among
   the first n - ceil(t * n) + 1 of each. Nodes that share such a shingle are tied together into bundles, most of which are small.
@@ -35,6 +36,8 @@ WORDS, PERCENT = 5, 80
 CELL_BITS, PART_BITS = 22, 15
 #: Hundredths of a node's shingles, by hash, that are looked up in other nodes.
 REACH = 30
+#: Up to this size the demand is taken over all partners; from 80 on the set's own side decides: it has at most n / 10 + 2, partners n / 8.
+EVERY_SIZE = 130
 #: Nodes of a bundle that one task compares, and shingles of a fragment.
 BLOCK, FRAGMENT = 1024, 4096
 
@@ -95,6 +98,22 @@ def reach(size: np.ndarray) -> np.ndarray:
     return np.minimum(size, lack + 1 + np.maximum(REACH * size // 100 - lack, 0))
 
 
+def demand(size: np.ndarray) -> np.ndarray:
+    """How many of its looked up shingles a set has, at least, among those of any set it is linked with.
+
+    Of the o shared shingles of sets of n and m, the first reach(n) - (n - o) are looked up on one side whatever the order, the first
+    reach(m) - (m - o) on the other; both beginnings are of one order, so the smaller is common.
+    """
+
+    def least(n: int) -> int:
+        m = np.arange(-(-PERCENT * n // 100), 100 * n // PERCENT + 1)
+        both = -(-PERCENT * (n + m) // (100 + PERCENT))  # 100 o >= p (n + m - o)
+        common = np.minimum(reach(np.array([n])) - n + both, reach(m) - m + both)
+        return int(common[both <= np.minimum(n, m)].min())
+
+    return np.array([least(n) for n in size.tolist()], dtype=np.int64)
+
+
 def lookups(documents: DataFrame) -> DataFrame:
     """(key, node, weight, several): shingles to be looked up; weight counts those of the node that the row stands for.
 
@@ -140,9 +159,10 @@ def candidates(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     key = Window.partitionBy("key")
     repeated = (F.min("node").over(key) != F.max("node").over(key)) | F.max("several").over(key)
     counts = lookups(documents).withColumn("repeated", repeated).filter("repeated").groupBy("node").agg(F.sum("weight").alias("found"))
-    lack = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100")
-    looked = F.least(F.col("n"), lack + 1 + F.greatest(F.expr(f"({REACH} * n) div 100") - lack, F.lit(0)))
-    return nodes.join(counts, "node").filter(F.col("found") >= looked - lack).drop("found")
+    table = F.array(*map(F.lit, demand(np.arange(1, EVERY_SIZE + 1)).tolist()))
+    larger = 1 + F.expr(f"({REACH} * n) div 100 - (n - ({PERCENT} * n + 99) div 100)")
+    least = F.when(F.col("n") <= EVERY_SIZE, F.get(table, F.col("n").cast("int") - 1)).otherwise(larger)
+    return nodes.join(counts, "node").filter(F.col("found") >= least).drop("found")
 
 
 def frequency_classes(sets: DataFrame) -> np.ndarray:
