@@ -61,7 +61,7 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaks = decontamination.find_held(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, _text_key(), leaks, "benchmark-leaks")
 
 

@@ -109,6 +109,32 @@ def test_random_texts_in_blocks(spark, monkeypatch):
     assert len(compare(docs, items, dc.find_leaks(documents(spark, docs), bench).collect())) > 60
 
 
+def test_verbatim_copies_in_any_surroundings(spark):
+    sentences = "The train leaves the old town at noon. The bus follows it over the long bridge. The tram waits until both have gone. The driver then closes all of the doors."
+    dense = "Add 12, 7, 19, 3 and 44, then take 8, 15, 21, 9 and 2 from it."
+    mixed = sentences + " " + dense
+    items = [(1, sentences), (2, dense), (3, "1 2 3 4 5 6 7 8 9"), (4, ""), (5, mixed)]
+    docs = [
+        (1, "we read that " + sentences), (2, "See also Notes On The Transport Problem. Some text. " + sentences), (3, "so: " + dense + " Good."), (4, "a 1 2 3 4 5 6 7 8 9 b"),
+        (5, dense.replace("19", "20").replace("15", "16")), (6, sentences[:40]), (7, "9 8 7 6 5 4 3 2 1"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.find_held(documents(spark, docs), bench).collect()
+    held = {(r.doc_id, r.item_id): r for r in rows}
+    assert all(held[k].held_share == 1.0 and held[k].exact for k in ((1, 1), (2, 1), (3, 2), (4, 3)))
+    assert not {(5, 2), (6, 1), (7, 3)} & set(held) and all(r.n_held <= 60 for r in rows)
+
+
+def test_item_held_by_both_kinds_of_windows(spark):
+    # the first half copied with other names, the second verbatim where the surroundings change its template
+    first = "on monday Alice sold four boxes of green tea to the shop near Bob and went back home before the rain."
+    second = "The train leaves at noon. The bus follows it slowly. The tram waits for both. The driver closes doors."
+    doc = first.replace("Alice", "Carol") + " she read that " + second
+    bench = spark.createDataFrame([(1, first + " " + second)], "item_id long, text string")
+    (row,) = dc.find_held(documents(spark, [(1, doc)]), bench, 0.7).collect()
+    assert row.share < 0.7 <= row.held_share and row.changed_slots
+
+
 def test_query_on_given_texts(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert compare(given_documents(), items, QUERIES["op1_decontamination"](spark, SF).collect())
