@@ -59,6 +59,20 @@ def test_nested_layers_map_to_the_text():
     assert base == [] and spans == [("assign", 0, 21)]
 
 
+def test_broken_and_glued_runs():
+    noise = "".join(chr(33 + i * 37 % 90) for i in range(70))
+    secret = f"{noise} {KEY} {noise}"
+    for packed in (secret.encode(), zlib.compress(secret.encode()), gzip.compress(secret.encode()), b"\xff\x00" + secret.encode()):
+        b64 = base64.b64encode(packed).decode()
+        forms = ["\n".join(b64[i : i + w] for i in range(0, len(b64), w)) for w in (64, 76)] + ["\r\n  ".join(b64[i : i + 64] for i in range(0, len(b64), 64))]
+        forms += [glue + b64 for glue in ("c", "x/", "cfg", "cfg_", "path-")] + ["\n".join(packed.hex()[i : i + 60] for i in range(0, 2 * len(packed), 60)), "a" + packed.hex()]
+        for form in forms:
+            text = f"before: {form}\nafter all"
+            hits = [(a, b) for kind, a, b in ss.find_secrets(text)[1] if kind == "access"]
+            assert hits and all(8 <= a < b <= 8 + len(form) + 6 for a, b in hits), form
+    assert any(kind == "access" for kind, _, _ in ss.find_secrets("%FF" + "".join(f"%{ord(c):02x}" for c in KEY))[1])
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     assert ss.find_secrets("%25" * 50 + "%2525")[2] > 0
     monkeypatch.setattr(ss, "INFLATE_LIMIT", 1000)

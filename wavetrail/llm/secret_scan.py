@@ -1,7 +1,8 @@
 """Secret scans through nested encodings.
 
 A text is scanned for three kinds of secrets. A worklist then unwraps what it holds: percent escapes and ``\\uXXXX`` escapes are
-decoded in place, base64 runs become layers of their own, compressed payloads (zlib, gzip) inside base64 or hex runs are inflated. Each
+decoded in place, base64 runs become layers of their own, compressed payloads (zlib, gzip) inside base64 or hex runs are inflated. Runs
+may be broken over lines or glued to a word; bytes that are no UTF-8 are read as Latin-1. Each
 new layer is scanned like the text and unwrapped again, until nothing new appears; layers seen before (by digest) are not entered
 again, which ends cycles. Every layer keeps a map to the text, so each secret is reported as a span of the text itself.
 
@@ -17,7 +18,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -42,7 +43,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
-_HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){%d,}" % (MIN_RUN // 2))
+_HEX_RUN = re.compile(r"[0-9a-fA-F]{%d,}" % MIN_RUN)
+# runs broken over lines; the possessive quantifiers keep a long run without a line end linear
+_BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}" % MIN_RUN)
+_HEX_LINES = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[0-9a-fA-F]++)++" % MIN_RUN)
+# what every secret has, plain or encoded; unreadable layers without it are not entered
+_WORTH = re.compile(r"[A-Za-z0-9+/_.=%\\-]{8,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _ODD = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 
 Span = tuple[str, int, int]
@@ -121,10 +128,12 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(m: re.Match) -> Iterator[tuple[int, int, str]]:
-    """Each character of a run of percent escapes with its own span, or nothing if the run is no UTF-8."""
+    """Each character of a run of percent escapes with its own span; byte by byte if the run is no UTF-8."""
+    raw = unquote_to_bytes(m.group())
     try:
-        decoded = unquote_to_bytes(m.group()).decode()
+        decoded = raw.decode()
     except UnicodeDecodeError:
+        yield from ((m.start() + 3 * i, m.start() + 3 * i + 3, chr(byte)) for i, byte in enumerate(raw))
         return
     at = m.start()
     for c in decoded:
@@ -137,7 +146,9 @@ def _unicode(m: re.Match) -> Iterator[tuple[int, int, str]]:
     units = b"".join(bytes.fromhex(x) for x in m.group().split("\\u")[1:])
     try:
         decoded = units.decode("utf-16-be")
-    except UnicodeDecodeError:
+    except UnicodeDecodeError:  # half a pair of surrogates: each unit alone
+        for i in range(len(units) // 2):
+            yield m.start() + 6 * i, m.start() + 6 * i + 6, units[2 * i : 2 * i + 2].decode("utf-16-be", "replace")[:1]
         return
     at = m.start()
     for c in decoded:
@@ -146,37 +157,60 @@ def _unicode(m: re.Match) -> Iterator[tuple[int, int, str]]:
         at += width
 
 
-def _readable(payload: bytes) -> str | None:
+def _readable(payload: bytes) -> tuple[str, bool] | None:
+    """The payload's text and whether it is UTF-8; other bytes are read as Latin-1, or not at all if no secret can be in them."""
     try:
         text = payload.decode()
+        if not _ODD.search(text):
+            return text, True
     except UnicodeDecodeError:
-        return None
-    return None if _ODD.search(text) else text
+        pass
+    text = payload.decode("latin-1")
+    return (text, False) if _WORTH.search(text) else None
 
 
 def _inflate(payload: bytes) -> bytes | None:
-    """Inflated bytes; b"" for a payload beyond the limit, None for one that is not compressed."""
+    """Inflated bytes, up to the first fault; b"" for a payload beyond the limit, None for one that is not compressed."""
     if payload[:2] != b"\x1f\x8b" and not (payload[:1] == b"\x78" and len(payload) > 2 and (payload[0] << 8 | payload[1]) % 31 == 0):
         return None
-    machine = zlib.decompressobj(47)  # zlib or gzip
+    machine, out, left = zlib.decompressobj(47), [], INFLATE_LIMIT  # zlib or gzip
     try:
-        out = machine.decompress(payload, INFLATE_LIMIT)
-        return b"" if machine.unconsumed_tail else out
+        for at in range(0, len(payload), 256):
+            out.append(machine.decompress(payload[at : at + 256], left))
+            left -= len(out[-1])
+            if machine.unconsumed_tail or left <= 0:
+                return b""
+            if machine.eof:
+                break
     except zlib.error:
-        return None
+        pass
+    return b"".join(out) or None
+
+
+def _payloads(text: str) -> Iterator[tuple[Sequence[int], bytes, int, int]]:
+    """(places of the characters, bytes, characters per group, bytes per group) of runs that decode as base64 or hex, at every alignment.
+
+    A run broken over lines is taken line by line and as a whole.
+    """
 
+    def places(m: re.Match) -> Sequence[int]:
+        return [i for i, c in enumerate(m.group(), m.start()) if not c.isspace()]
 
-def _payloads(text: str) -> Iterator[tuple[int, int, bytes, int, int]]:
-    """(start, end, bytes, characters per group, bytes per group) of runs that decode as base64 or hex."""
-    for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 != 1:
+    runs = [(range(m.start(), m.end()), m.group()) for m in _BASE64.finditer(text)]
+    for at, run in runs + [(places(m), "".join(m.group().split())) for m in _BASE64_LINES.finditer(text)]:
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):  # a word may be glued to the run's front
+            part = run[skip:]
+            part = part[:-1] if len(part) % 4 == 1 else part
             try:
-                yield m.start(), m.end(), base64.b64decode(run + "=" * (-len(run) % 4), validate=True), 4, 3
+                yield at[skip:], base64.b64decode(part + "=" * (-len(part) % 4), validate=True), 4, 3
             except binascii.Error:
                 pass
-    for m in _HEX_RUN.finditer(text):
-        yield m.start(), m.end(), bytes.fromhex(m.group()), 2, 1
+    runs = [(range(m.start(), m.end()), m.group()) for m in _HEX_RUN.finditer(text)]
+    for at, run in runs + [(places(m), "".join(m.group().split())) for m in _HEX_LINES.finditer(text)]:
+        for skip in range(2):
+            part = run[skip:]
+            yield at[skip:], bytes.fromhex(part[: len(part) // 2 * 2]), 2, 1
 
 
 def unwrap(layer: Layer) -> tuple[list[Layer], list[Span]]:
@@ -185,21 +219,27 @@ def unwrap(layer: Layer) -> tuple[list[Layer], list[Span]]:
     for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode)):
         if mark in layer.text and (decoded := _replaced(layer, pattern, decode)):
             inner.append(decoded)
-    for start, end, payload, chars, size in _payloads(layer.text):
-        if (text := _readable(payload)) is not None:
-            pieces, at, byte = [], 0, 0
-            for c in text:  # the group of characters that holds this character's bytes
-                width = len(c.encode())
-                group = start + byte // size * chars, min(end, start + -(-(byte + width) // size) * chars)
-                pieces.append((at, *layer.place(*group), False))
-                at, byte = at + 1, byte + width
+    for at, payload, chars, size in _payloads(layer.text):
+        found = _readable(payload)
+        if found is not None:
+            text, utf8 = found
+            pieces, byte = [], 0
+            for i, c in enumerate(text):  # the group of characters that holds this character's bytes
+                width = len(c.encode()) if utf8 else 1
+                last = min(len(at), -(-(byte + width) // size) * chars) - 1
+                pieces.append((i, *layer.place(at[byte // size * chars], at[last] + 1), False))
+                byte += width
             inner.append(Layer(text, pieces))
-        elif (raw := _inflate(payload)) is not None:
-            place = layer.place(start, end)
-            if not raw:
-                oversized.append(("oversized", *place))
-            elif (text := _readable(raw)) is not None:
-                inner.append(Layer(text, [(0, *place, False)]))
+        if found is None or not found[1]:
+            for start in sorted({0, *(m.start() for m in _PACKED.finditer(payload))}):
+                raw = _inflate(payload[start:])
+                if raw is None:
+                    continue
+                place = layer.place(at[start // size * chars], at[-1] + 1)
+                if not raw:
+                    oversized.append(("oversized", *place))
+                elif (found_raw := _readable(raw)) is not None:
+                    inner.append(Layer(found_raw[0], [(0, *place, False)]))
     return inner, oversized
 
 
