@@ -23,6 +23,23 @@ def test_held_out_accuracy(spark):
     assert sum(got[i].kept for i in want) / len(want) > 0.98
 
 
+def test_every_label_is_a_language(spark):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for k in range(70):
+        name = "abcdefghij"[k // 10] + "klmnopqrst"[k % 10]
+        words = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), size=6)) for _ in range(12)]
+        for d, label in enumerate((name, name.upper(), name + "-XX") if k != 69 else (name,)):
+            rows.append((3 * k + d, " ".join(rnd.choice(words, size=60)), label, "one"))
+    rows.append((900, "no label", " ", "one"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {i: label.lower()[:2] for i, _, label, _ in rows[:-1]}
+    languages, _ = li.fit(df.withColumnRenamed("lang", "language"))
+    assert languages == sorted(set(want.values())) and len(languages) == 70
+    got = {r.doc_id: (r.text_lang, r.kept) for r in li.identify_documents(df).collect()}
+    assert all(got[i] == (name, True) for i, name in want.items())
+
+
 def test_likelihood_equals_a_loop(spark):
     texts = ["The ether", "", None, "ab", "é漢字x", "a" * 70_000, "12 +ab3 the, end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

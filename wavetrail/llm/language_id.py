@@ -5,8 +5,9 @@ column) declares, the suffix of the address, and the host. Host priors are smoot
 documents, from counts that grouped aggregation takes over every document. What a declaration is worth is learned the same way,
 from how often it agrees with the text.
 
-The trigram model is fitted on a bounded sample: at most ``FIT_PER_LANGUAGE`` labelled documents of each of at most
-``MAX_LANGUAGES`` languages, those of least hash. Everything else covers all documents.
+The trigram model has a class for every language that any document is labelled with; labels of one language that differ in case,
+region or script are one. It is fitted on a bounded sample: at most ``FIT_PER_LANGUAGE`` labelled documents of each language, those of
+least hash. Everything else covers all documents.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from wavetrail.llm.batches import LOWER, pieces, slices, utf8
 from wavetrail.llm.registry import query, table
 from wavetrail.llm.work import materialise
 
-FIT_PER_LANGUAGE, MAX_LANGUAGES = 500, 64
+FIT_PER_LANGUAGE = 500
 #: Hashed trigrams of the model, what is added to each count, and the weight of one trigram's evidence (neighbours overlap).
 BUCKETS, ADDED, TEMPER = 1 << 13, 0.5, 0.1
 #: Documents' worth of the wider level in a host's or suffix's prior, and of the overall share in what a declaration tells.
@@ -48,15 +49,20 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket[inside].astype(np.int64), rows[:-2][inside]
 
 
+def normal(label: Column) -> Column:
+    """The language of a label: its first part, in lower case ('EN' and 'en-US' are 'en'); null if that is empty."""
+    return F.nullif(F.lower(F.regexp_extract(label.cast("string"), "^\\s*([^\\s_-]*)", 1)), F.lit(""))
+
+
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket in each, from (doc_id, text, language)."""
-    rows = labelled.filter(F.col("language").isNotNull())
-    top = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
-    counts = {r.language: r["count"] for r in top.collect()}  # at most MAX_LANGUAGES
+    rows = labelled.withColumn("language", normal(F.col("language"))).filter(F.col("language").isNotNull())
+    counts = {r.language: r["count"] for r in rows.groupBy("language").count().collect()}  # one row a language
     languages = sorted(counts)
     # of n documents, those with a hash in the first 4 * FIT_PER_LANGUAGE / n of its range hold the least ones and are few
     span = 1 << 40
-    near = F.coalesce(*[F.when(F.col("language") == name, F.lit(min(span, 4 * FIT_PER_LANGUAGE * span // n))) for name, n in counts.items()], F.lit(0))
+    limits = [F.lit(x) for name, n in counts.items() for x in (name, min(span, 4 * FIT_PER_LANGUAGE * span // n))]
+    near = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("language")), F.lit(0)) if limits else F.lit(0)
     hashed = rows.select("doc_id", "language", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("hash")).filter(F.col("hash") < near)
     place = F.row_number().over(Window.partitionBy("language").orderBy("hash", "doc_id"))
     chosen = hashed.withColumn("place", place).filter(F.col("place") <= FIT_PER_LANGUAGE)
@@ -74,7 +80,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
 
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "language"], "left_semi")  # at most FIT_PER_LANGUAGE * MAX_LANGUAGES ids
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "language"], "left_semi")  # at most FIT_PER_LANGUAGE ids a language
     found = sample.select("text", "language").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # at most languages * BUCKETS
     counts = np.full(len(languages) * BUCKETS, ADDED)
     for r in found:
