@@ -11,4 +11,5 @@ import wavetrail.llm.relative_parse  # noqa: F401
 import wavetrail.llm.suffix_dedup  # noqa: F401
 import wavetrail.llm.jaccard_join  # noqa: F401
 import wavetrail.llm.periodic_runs  # noqa: F401
+import wavetrail.llm.quality_rules  # noqa: F401
 import corpus_pipeline  # noqa: F401
