@@ -79,7 +79,7 @@ def check(spark, rows):
         a = sorted((tuple(r)[1:7], -1.0 if r.distance is None else r.distance, r.kept) for r in got[i])
         b = sorted((e[:6], -1.0 if e[6] is None else e[6], e[6] is not None and e[6] <= qr.CUTOFF) for e in want[i])
         for (c1, d1, k1), (c2, d2, k2) in zip(a, b, strict=True):
-            assert c1 == c2 and abs(d1 - d2) < 1e-6 * (1 + d2) and k1 == k2
+            assert c1 == c2 and abs(d1 - d2) <= 1e-6 * (1 + abs(d2)) and k1 == k2
 
 
 def test_made_texts_equal_dense_algebra(spark):

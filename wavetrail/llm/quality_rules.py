@@ -35,6 +35,8 @@ SHARE, CONSISTENT = 0.75, 1.4120710602
 STEPS = 4
 #: Documents that the language's estimate counts for in that of a source.
 PSEUDO = 50
+#: Copies of a group's factors in the join with its documents.
+SALTS = 64
 #: Least spread of each statistic: words, characters a word, symbols, equal lines, repeated words.
 SPREAD = (1.0, 0.15, 0.6, 0.7, 0.7)
 #: Quantile 0.9999 of chi-square with 5 degrees of freedom.
@@ -148,8 +150,14 @@ def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _measured(rows: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with their squared distance. One row of factors a group: Spark broadcasts it by its measured size or splits hot groups."""
-    return _levels(rows.join(factors, keys), _DISTANCE).drop(*_FACTORS, *[f"y{i}" for i in _DIMS])
+    """rows with their squared distance.
+
+    Factors are few, and Spark broadcasts them by their size. Where groups are too many for that, the rows of a group meet copies of its
+    factors in ``SALTS`` tasks, so a hot group is not one task's.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars", "x0"), F.lit(SALTS)).cast("int"))
+    copies = factors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return _levels(salted.join(copies, [*keys, "salt"]), _DISTANCE).drop("salt", *_FACTORS, *[f"y{i}" for i in _DIMS])
 
 
 def _concentrate(rows: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +178,7 @@ def fit(rows: DataFrame) -> DataFrame:
         moments = materialise(_concentrate(rows, factors, language), f"quality-language-{step}")
         factors = _levels(moments, _OWN).select(*language, *_FACTORS)
     prior = moments.select(*language, *[F.col(f"e{i}").alias(f"p{i}") for i in _DIMS], *[F.col(f"v{i}{j}").alias(f"w{i}{j}") for i, j in _PAIRS])
-    own = rows.select(*group).distinct().join(factors, language)
+    own = materialise(rows.select(*group).distinct().join(factors, language), "quality-sources")
     for step in range(STEPS):
         moments = materialise(_concentrate(rows, own, group), f"quality-source-{step}")
         own = _levels(moments.join(prior, language), _DRAWN).select(*group, *_FACTORS)
