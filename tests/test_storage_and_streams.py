@@ -30,7 +30,7 @@ def parts(spark, views, tmp_path_factory):
 
 
 def test_stream_traces_equal_batch(spark, views, parts, tmp_path):
-    log = J.log_stream(spark, parts).where(F.col("event_type").startswith("protocol.p25."))
+    log = J.log_stream(spark, parts, 1).where(F.col("event_type").startswith("protocol.p25."))
     J.run_to_end(J.trace_stream(log, DAY_NS, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     got = {r.id: (r.trace_id, r.span_id) for r in spark.read.schema(J.TRACED).parquet(f"{tmp_path}/out").collect()}
     batch = H.assign_traces(views.ev.where(F.col("event_type").startswith("protocol.p25.")), DAY_NS)
@@ -39,13 +39,13 @@ def test_stream_traces_equal_batch(spark, views, parts, tmp_path):
 
 def test_stream_append_restarts_without_loss(spark, views, parts, tmp_path):
     for _ in range(2):  # the second run finds nothing new
-        J.run_to_end(J.append_log(J.log_stream(spark, parts), f"{tmp_path}/log"), f"{tmp_path}/cp")
+        J.run_to_end(J.append_log(J.log_stream(spark, parts, 1), f"{tmp_path}/log"), f"{tmp_path}/cp")
     assert spark.read.parquet(f"{tmp_path}/log").count() == views.ev.count()
 
 
 def test_stream_threshold_windows(spark, views, parts, tmp_path):
     rule = Rule(1, "grants", "threshold", (P.Eq("type", "protocol.p25.grant"),), 6 * 3600, "gte", 3.0)
-    out = J.threshold_stream(J.log_stream(spark, parts), rule, 3600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    out = J.threshold_stream(J.log_stream(spark, parts, 1), rule, 3600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
     J.run_to_end(out, f"{tmp_path}/cp")
     got = {(r["at"], r["match_count"]) for r in spark.read.schema("rule_id int, at timestamp, match_count long").parquet(f"{tmp_path}/out").collect()}
     w = F.window("ts", "6 hours", "1 hour")
@@ -56,7 +56,7 @@ def test_stream_threshold_windows(spark, views, parts, tmp_path):
 
 def test_stream_cooldown_over_batches(spark, views, parts, tmp_path):
     rule = Rule(5, "federal", "first_occurrence", (P.Eq("cls", "FEDL"),), cooldown_sec=43200)
-    hits = matches(J.log_stream(spark, parts), [rule]).select("ts", "rule_id", "timestamp_ns")
+    hits = matches(J.log_stream(spark, parts, 1), [rule]).select("ts", "rule_id", "timestamp_ns")
     J.run_to_end(J.cooldown_stream(hits, 43200, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     got = sorted(r.timestamp_ns for r in spark.read.schema("rule_id int, timestamp_ns long").parquet(f"{tmp_path}/out").collect())
     want, last = [], None
@@ -69,7 +69,7 @@ def test_stream_cooldown_over_batches(spark, views, parts, tmp_path):
 
 def test_stream_distinct_windows(spark, views, parts, tmp_path):
     rule = Rule(13, "bands", "cardinality", (P.Exists("uid"),), 6 * 3600, "gte", 3.0, field="band")
-    out = J.cardinality_stream(J.log_stream(spark, parts), rule, 3600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    out = J.cardinality_stream(J.log_stream(spark, parts, 1), rule, 3600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
     J.run_to_end(out, f"{tmp_path}/cp")
     got = {r["at"] for r in spark.read.schema("rule_id int, at timestamp, match_count long").parquet(f"{tmp_path}/out").collect()}
     w = F.window("ts", "6 hours", "1 hour")
@@ -79,7 +79,7 @@ def test_stream_distinct_windows(spark, views, parts, tmp_path):
 
 def test_stream_absence_finds_every_silence(spark, views, parts, tmp_path):
     rule = Rule(4, "quiet", "absence", (P.Eq("type", "spectrum.detect"),), 8 * 3600)
-    J.run_to_end(J.absence_stream(J.log_stream(spark, parts), rule, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
+    J.run_to_end(J.absence_stream(J.log_stream(spark, parts, 1), rule, "10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/cp")
     rows = spark.read.schema("rule_id int, since_ns long, until_ns long").parquet(f"{tmp_path}/out").collect()
     times = [r.timestamp_ns for r in views.hits.orderBy("timestamp_ns").collect()]
     want = {(a, b) for a, b in zip(times, times[1:]) if b - a > 8 * 3600 * NS}
@@ -144,7 +144,7 @@ def test_frequency_list_file(spark, tmp_path):
 
 def test_stream_new_values_by_last_sighting_over_batches(spark, views, parts, tmp_path):
     rule = Rule(9, "band", "new_value", (P.Exists("band"),), baseline_sec=2 * 86400, field="band")
-    out = J.new_value_stream(J.log_stream(spark, parts), rule).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    out = J.new_value_stream(J.log_stream(spark, parts, 1), rule).writeStream.format("parquet").option("path", f"{tmp_path}/out")
     J.run_to_end(out, f"{tmp_path}/cp")
     got = sorted((r.value, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     rows = sorted((r.timestamp_ns, r.id, r.band) for r in views.ev.where("band IS NOT NULL").select("timestamp_ns", "id", "band").collect())

@@ -13,24 +13,28 @@ GRANT = "protocol.p25.grant"
 TERMINATORS = ["TLC", "SimpleTerm"]
 
 
+def rotation_text(old_alg: Column, old_key: Column, alg: Column, key: Column, tgid: Column) -> Column:
+    """What a rotation finding says."""
+    show = lambda k: F.coalesce(k.cast("string"), F.lit("?"))
+    old, new, tg = S.algorithm_short(old_alg), S.algorithm_short(alg), tgid.cast("string")
+    changed = old_alg != alg
+    return (
+        F.when(
+            changed & ~old_key.eqNullSafe(key),
+            F.concat(F.lit("Key rotation on TG "), tg, F.lit(": "), old, F.lit(" key="), show(old_key), F.lit(" -> "), new, F.lit(" key="), show(key)),
+        )
+        .when(changed, F.concat(F.lit("Algorithm change on TG "), tg, F.lit(": "), old, F.lit(" -> "), new))
+        .otherwise(F.concat(F.lit("Key rotation on TG "), tg, F.lit(": key "), show(old_key), F.lit(" -> "), show(key)))
+    )
+
+
 def key_rotations(crypto: DataFrame, width: int = 3600 * NS) -> DataFrame:
     """Messages whose algorithm or key differs from the talkgroup's previous one."""
     msgs = crypto.withColumn("alg", S.algorithm_id(F.col("algorithm"), F.col("encrypted_flag")))
     seen = with_previous(msgs, ["system", "tgid"], ["timestamp_ns", "id"], ["alg", "key_id"], width)
     alg_changed = F.col("prev.alg") != F.col("alg")
     key_changed = ~F.col("prev.key_id").eqNullSafe(F.col("key_id"))
-    show = lambda k: F.coalesce(k.cast("string"), F.lit("?"))
-    old, new = S.algorithm_short(F.col("prev.alg")), S.algorithm_short(F.col("alg"))
-    old_key, new_key = show(F.col("prev.key_id")), show(F.col("key_id"))
-    tg = F.col("tgid").cast("string")
-    text = (
-        F.when(
-            alg_changed & key_changed,
-            F.concat(F.lit("Key rotation on TG "), tg, F.lit(": "), old, F.lit(" key="), old_key, F.lit(" -> "), new, F.lit(" key="), new_key),
-        )
-        .when(alg_changed, F.concat(F.lit("Algorithm change on TG "), tg, F.lit(": "), old, F.lit(" -> "), new))
-        .otherwise(F.concat(F.lit("Key rotation on TG "), tg, F.lit(": key "), old_key, F.lit(" -> "), new_key))
-    )
+    text = rotation_text(F.col("prev.alg"), F.col("prev.key_id"), F.col("alg"), F.col("key_id"), F.col("tgid"))
     return seen.where(F.col("prev").isNotNull() & (alg_changed | key_changed)).select(
         "id", "system", "tgid", "uid", "freq_mhz", "timestamp_ns",
         F.coalesce(F.col("prev.key_id"), F.lit(-1)).alias("old_key_id"),

@@ -159,10 +159,10 @@ def clip_events(rows: DataFrame) -> DataFrame:
 # --- network tracking ------------------------------------------------------
 
 
-def channel_parameters(parsed: DataFrame) -> DataFrame:
+def channel_parameters(parsed: DataFrame, extra: list[str] = []) -> DataFrame:
     """Channel plan announcements (ids 0 to 15)."""
     return parsed.where((F.col(P + "type") == "ChannelParamsUpdate") & (F.col(P + "id") < 16)).select(
-        "id", "timestamp_ns", F.col(P + "id").alias("channel_id"), F.col(P + "base_freq_hz").alias("base_hz"),
+        *extra, "id", "timestamp_ns", F.col(P + "id").alias("channel_id"), F.col(P + "base_freq_hz").alias("base_hz"),
         F.col(P + "spacing_hz").alias("spacing_hz"),
     )
 
@@ -174,8 +174,8 @@ def resolve_channels(rows: DataFrame, parameters: DataFrame, width: int = 3600 *
     return found.withColumn("freq_mhz", hz / F.lit(1e6)).drop("match")
 
 
-def network_grants(parsed: DataFrame, system: str) -> DataFrame:
-    """Voice grants of groups, group updates and units with their frequency."""
+def grant_entries(parsed: DataFrame, system: str, extra: list[str] = []) -> DataFrame:
+    """Voice grants of groups, group updates and units with their channel."""
     kind = F.col(P + "type")
     one = lambda tg, uid, label, emergency, enc: F.array(
         F.struct(
@@ -194,10 +194,14 @@ def network_grants(parsed: DataFrame, system: str) -> DataFrame:
     group = one(F.col(P + "talkgroup"), F.col(P + "src_unit"), "group", F.col(P + "emergency"), F.col(P + "encrypted"))
     unit = one(F.lit(0).cast("long"), F.col(P + "src_unit"), "unit", no, no)
     entries = F.when(kind == "GroupVoiceGrant", group).when(kind == "GroupVoiceUpdate", updates).when(kind == "UnitVoiceGrant", unit)
-    rows = parsed.where(kind.isin("GroupVoiceGrant", "GroupVoiceUpdate", "UnitVoiceGrant")).select(
-        "id", "timestamp_ns", F.lit(system).alias("system"), F.posexplode(entries).alias("entry", "g")
-    ).select("id", "timestamp_ns", "system", "entry", "g.*")
-    return resolve_channels(rows, channel_parameters(parsed)).withColumnRenamed("freq_mhz", "voice_freq")
+    return parsed.where(kind.isin("GroupVoiceGrant", "GroupVoiceUpdate", "UnitVoiceGrant")).select(
+        *extra, "id", "timestamp_ns", F.lit(system).alias("system"), F.posexplode(entries).alias("entry", "g")
+    ).select(*extra, "id", "timestamp_ns", "system", "entry", "g.*")
+
+
+def network_grants(parsed: DataFrame, system: str) -> DataFrame:
+    """Voice grants with their frequency."""
+    return resolve_channels(grant_entries(parsed, system), channel_parameters(parsed)).withColumnRenamed("freq_mhz", "voice_freq")
 
 
 def network_sites(parsed: DataFrame, system: str) -> DataFrame:
@@ -240,8 +244,21 @@ def network_affiliations(parsed: DataFrame, system: str) -> DataFrame:
     )
 
 
-def network_findings(parsed: DataFrame, system: str) -> DataFrame:
-    """Findings the tracker reports: identity, emergencies, registrations, denials."""
+def emergency_text() -> Column:
+    freq = F.coalesce(S.fixed(F.col("voice_freq"), 4), F.lit("?"))
+    return F.concat(F.lit("EMERGENCY grant: TG "), F.col("tgid"), F.lit(" UID "), F.col("uid"), F.lit(" freq "), freq, F.lit("MHz"))
+
+
+def session_text(duration_sec: Column, avg_signal: Column) -> Column:
+    """What the finding of a traffic session says."""
+    return F.concat(
+        F.lit("Session on "), "freq_key", F.lit(" MHz — "), F.col("hit_count"), F.lit(" hits, "), S.fixed(duration_sec, 1), F.lit("s, avg "),
+        S.fixed(avg_signal, 0), F.lit(" dB"),
+    )
+
+
+def message_findings(parsed: DataFrame, extra: list[str] = []) -> DataFrame:
+    """Findings that one message tells: identity, registrations, denials."""
     kind, uid = F.col(P + "type"), F.col(P + "src_unit")
     text = (
         F.when(
@@ -254,11 +271,11 @@ def network_findings(parsed: DataFrame, system: str) -> DataFrame:
     finding = (
         F.when(kind == "NetworkStatusBroadcast", "network_event").when(kind == "UnitRegistration", "network_event").when(kind == "DenyResponse", "access_deny")
     )
-    plain = parsed.where(finding.isNotNull()).select("id", "timestamp_ns", finding.alias("finding"), uid.alias("uid"), F.lit(None).cast("long").alias("tgid"), text.alias("summary"))
+    return parsed.where(finding.isNotNull()).select(*extra, "id", "timestamp_ns", finding.alias("finding"), uid.alias("uid"), F.lit(None).cast("long").alias("tgid"), text.alias("summary"))
+
+
+def network_findings(parsed: DataFrame, system: str) -> DataFrame:
+    """Findings the tracker reports: identity, emergencies, registrations, denials."""
     urgent = network_grants(parsed, system).where(F.col("emergency"))
-    freq = F.coalesce(S.fixed(F.col("voice_freq"), 4), F.lit("?"))
-    alarm = urgent.select(
-        "id", "timestamp_ns", F.lit("emergency_grant").alias("finding"), "uid", "tgid",
-        F.concat(F.lit("EMERGENCY grant: TG "), F.col("tgid"), F.lit(" UID "), F.col("uid"), F.lit(" freq "), freq, F.lit("MHz")).alias("summary"),
-    )
-    return plain.unionByName(alarm)
+    alarm = urgent.select("id", "timestamp_ns", F.lit("emergency_grant").alias("finding"), "uid", "tgid", emergency_text().alias("summary"))
+    return message_findings(parsed).unionByName(alarm)

@@ -2,6 +2,7 @@
 
 import wavetrail.plans.events  # noqa: F401
 import wavetrail.plans.history  # noqa: F401
+import wavetrail.plans.live  # noqa: F401
 import wavetrail.plans.listings  # noqa: F401
 import wavetrail.plans.emitters  # noqa: F401
 import wavetrail.plans.messages  # noqa: F401

@@ -24,11 +24,17 @@ from wavetrail.sources.bindings import bind_event_log
 from wavetrail.sources.sinks import with_event_date
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, schema=schemas.RAW_EVENTS) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+#: Input that one micro-batch takes at most.
+BATCH_BYTES = 64 << 30
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, schema=schemas.RAW_EVENTS) -> DataFrame:
+    """A folder of files as a stream; micro-batches are limited by bytes, or by files where that is wanted."""
+    limit = ("maxBytesPerTrigger", BATCH_BYTES) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
+
+
+def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     return bind_event_log(read_stream(spark, path, files_per_batch))
 
 
