@@ -370,6 +370,47 @@ def every_events(log: DataFrame, rules: list[Rule], depth: int = 0) -> DataFrame
     return rows.withColumnRenamed("id", "source_event_id")
 
 
+#: Columns of a log row that a derived event carries; filters on others do not match it.
+_CARRIED = {"event_type": "string", "source": "int", "severity": "int", "timestamp_ns": "long", "body": "string", "freq_mhz": "double", "talkgroup": "long", "band": "string"}
+
+
+def chain_events(log: DataFrame, rules: list[Rule], deepest: int = MAX_CHAIN_DEPTH) -> DataFrame:
+    """Derived events of derived events, to the fixpoint.
+
+    Each pass applies the rules to what the pass before added, never to older rows again. An event of the log has depth 0, a derived one
+    the depth of its source plus one; nothing at depth ``deepest`` is looked at, which ends cycles of rules. A rule with a
+    ``chain_depth`` starts at that depth. ``event_key`` names an event by the log event at its root and the rules that led to it,
+    ``source_key`` the event it was derived from; both are the same in every run. One pass over the log for each depth, no shuffle.
+    """
+    names = ["id", *_CARRIED]
+    rest = [f for f in log.schema.fields if f.name not in names]
+    known = log.select("id", *[F.col(c).cast(t).alias(c) for c, t in _CARRIED.items()], *[f.name for f in rest])
+    front = known.withColumn("event_key", F.col("id").cast("string"))
+    out = None
+    for depth in range(deepest):
+        live = [r for r in rules if r.enabled and r.chain_depth <= depth]
+        if not live:
+            continue
+        hit = matches(front, live)
+        ctx = hit.select(
+            "rule_id", "id", "timestamp_ns", "event_key", F.lit(1).cast("long").alias("count"), fixed(F.col("freq_mhz"), 4).alias("freqs"),
+            F.col("talkgroup").cast("string").alias("talkgroups"),
+            (F.col("source_unit").cast("string") if any(f.name == "source_unit" for f in rest) else F.lit(None).cast("string")).alias("uids"),
+            F.col("band").alias("bands"), F.col("freq_mhz").alias("primary_freq"), F.col("talkgroup").alias("primary_talkgroup"), F.col("band").alias("primary_band"),
+        )
+        rows = _event_rows(ctx, live, F.col("count"), F.col("timestamp_ns"), extra=["id", "event_key"])
+        added = rows.select(
+            F.concat("event_key", F.lit(">"), F.col("rule_id").cast("string")).alias("event_key"), F.col("event_key").alias("source_key"),
+            F.col("id").alias("root_id"), F.lit(depth + 1).alias("depth"), "rule_id", *_CARRIED,
+        )
+        out = added if out is None else out.unionByName(added)
+        # the next pass sees the new events only, as rows of the log without the columns they do not carry
+        front = added.select(F.col("root_id").alias("id"), *_CARRIED, *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest], "event_key")
+    if out is None:
+        raise ValueError("no enabled rule starts within the depth")
+    return out
+
+
 def _event_rows(ctx: DataFrame, rules: list[Rule], count: Column, ns: Column, extra: list[str] = []) -> DataFrame:
     names = {n: F.col(n) for n in ("freqs", "talkgroups", "uids", "bands")}
     body = render(_per_rule(rules, lambda r: r.body_template), {"count": count.cast("string"), **names})

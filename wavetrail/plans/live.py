@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavetrail.operators import filters as P
-from wavetrail.operators.rules import Rule, matches
+from wavetrail.operators.rules import Rule, matches, rule_table
 from wavetrail.plans.history import DAY_NS, ROT_CTE, sessions_cte, traces_cte
 from wavetrail.plans.messages import FIND_SQL, MSG_CTE, parsed
 from wavetrail.plans.registry import query
+from wavetrail.plans.rules import CHAIN
 from wavetrail.plans.streams import raw_stream, scratch
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S, Views
 from wavetrail.streaming import jobs as J
@@ -118,3 +119,17 @@ def silence_rows(v, log, path: str, late: str = LATE, until_s: int = END_S):
 )
 def _(v):
     return silence_rows(v, raw_stream(v), scratch(v, "stm06-live"))
+
+
+@query(
+    "stm11_stream_chain",
+    """SELECT event_key, source_key, depth, rule_id, body FROM (
+        SELECT concat(id, '>14') AS event_key, id::VARCHAR AS source_key, 1 AS depth, 14 AS rule_id, concat('Encrypted voice on TG ', talkgroup, ' at ', printf('%.4f', freq_mhz)) AS body FROM ev WHERE event_type = 'protocol.p25.voice' AND encrypted
+        UNION ALL SELECT concat(id, '>14>17'), concat(id, '>14'), 2, 17, concat('Escalated ', talkgroup, ' in ', band) FROM ev WHERE event_type = 'protocol.p25.voice' AND encrypted AND band = 'UHF'
+        UNION ALL SELECT concat(id, '>14>17>18'), concat(id, '>14>17'), 3, 18, concat('Echo of ', printf('%.4f', freq_mhz)) FROM ev WHERE event_type = 'protocol.p25.voice' AND encrypted AND band = 'UHF')""",
+)
+def _(v):
+    path = scratch(v, "stm11-chain")
+    table = rule_table(v.spark, CHAIN)
+    J.run_to_end(J.chain_stream(raw_stream(v), lambda: table, f"{path}/derived"), f"{path}/checkpoint")
+    return written(v.spark, f"{path}/derived", "event_key string, source_key string, depth int, rule_id int, body string")

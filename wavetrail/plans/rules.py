@@ -168,6 +168,31 @@ def _(v):
     return R.every_events(v.ev, [TAGGER])
 
 
+#: A chain of two rules after the tagger, and a rule that matches its own events.
+CHAIN = [
+    TAGGER,
+    R.Rule(17, "Escalation", "every", (P.Eq("type", "custom.encrypted_voice"), P.Eq("band", "UHF")), event_type="custom.escalation", severity=13, body_template="Escalated {{talkgroups}} in {{bands}}"),
+    R.Rule(18, "Echo", "every", (P.In("type", ["custom.escalation", "custom.echo"]),), event_type="custom.echo", severity=5, body_template="Echo of {{freqs}}"),
+]
+
+
+@query(
+    "stm11b_chained_rules",
+    """SELECT event_key, source_key, root_id, depth, rule_id, event_type, source, severity, timestamp_ns, body, freq_mhz, talkgroup, band FROM chain WHERE depth > 0""",
+    """chain AS (WITH RECURSIVE c AS (
+  SELECT id::VARCHAR AS event_key, NULL::VARCHAR AS source_key, id AS root_id, 0 AS depth, 0 AS rule_id, event_type, 0 AS source, 0 AS severity, timestamp_ns, '' AS body, freq_mhz, talkgroup, band, encrypted FROM ev
+  UNION ALL
+  SELECT concat(c.event_key, '>', r.id), c.event_key, root_id, depth + 1, r.id, r.type, 5, r.sev, timestamp_ns,
+    CASE r.id WHEN 14 THEN concat('Encrypted voice on TG ', talkgroup, ' at ', printf('%.4f', freq_mhz)) WHEN 17 THEN concat('Escalated ', talkgroup, ' in ', band) ELSE concat('Echo of ', printf('%.4f', freq_mhz)) END,
+    freq_mhz, talkgroup, band, NULL
+  FROM c JOIN (VALUES (14, 'custom.encrypted_voice', 9), (17, 'custom.escalation', 13), (18, 'custom.echo', 5)) r(id, type, sev)
+    ON (r.id = 14 AND c.event_type = 'protocol.p25.voice' AND c.encrypted) OR (r.id = 17 AND c.event_type = 'custom.encrypted_voice' AND c.band = 'UHF') OR (r.id = 18 AND c.event_type IN ('custom.escalation', 'custom.echo'))
+  WHERE depth < 5) SELECT * FROM c)""",
+)
+def _(v):
+    return R.chain_events(v.ev, CHAIN, 5)
+
+
 FEDL = scaled(ALERT_PRESETS[4], cooldown_sec=12 * 3600)
 
 

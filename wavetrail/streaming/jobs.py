@@ -19,7 +19,7 @@ from wavetrail import schemas
 from wavetrail.operators.filters import all_of, resolve_field
 from wavetrail.operators.history import GRANT, TERMINATORS
 from wavetrail.operators.ordered import NS
-from wavetrail.operators.rules import COMPARE, Rule, every_events, load_rules
+from wavetrail.operators.rules import COMPARE, Rule, chain_events, every_events, load_rules
 from wavetrail.sources.bindings import bind_event_log
 from wavetrail.sources.sinks import with_event_date
 
@@ -170,6 +170,11 @@ def every_stream(log: DataFrame, rules_table: Callable[[], DataFrame], path: str
     return append_batches(log, path, lambda batch: every_events(batch, load_rules(rules_table())))
 
 
+def chain_stream(log: DataFrame, rules_table: Callable[[], DataFrame], path: str):
+    """Derived events and what is derived from them, in the micro-batch of their root."""
+    return append_batches(log, path, lambda batch: chain_events(batch, load_rules(rules_table())))
+
+
 TRACED = "id long, timestamp_ns long, event_type string, trace_id long, span_id long"
 
 
