@@ -12,6 +12,7 @@ from wavetrail import reference_data as ref
 from wavetrail.functions import scalars as S
 from wavetrail.operators.joins import asof_backward
 from wavetrail.operators.ordered import NS, gap_sessions, with_position, with_previous
+from wavetrail.sources.work import stored
 
 
 def match_library(df: DataFrame, keep: list[str], freq: str, pri: str | None, pw: str | None) -> DataFrame:
@@ -142,7 +143,8 @@ def recent_grant(
     """
     given = grants.where(F.col("voice_freq").isNotNull())
     pairs = near_values(captures, "freq_mhz", given, "voice_freq", tolerance_mhz)
-    probes = captures.join(pairs, "freq_mhz").select("capture_id", "timestamp_ns", "voice_freq")
+    # the as-of join reads its probes twice
+    probes = stored(captures.join(pairs, "freq_mhz").select("capture_id", "timestamp_ns", "voice_freq"), "probes")
     found = asof_backward(
         probes, given.withColumnRenamed("id", "grant_id"), ["voice_freq"], "timestamp_ns",
         ["grant_id", "tgid", "uid", "system"], max(width, window_ns), tie="grant_id",
@@ -159,10 +161,11 @@ def uid_links(captures: DataFrame, grants: DataFrame, window_ns: int, cfo_bucket
     fp = S.fingerprint_id(F.col("cfo_hz"), F.col("iq_amplitude_imbal"), F.col("iq_phase_imbal"), cfo_bucket, resolution)
     ids = captures.select("capture_id", fp.alias("fingerprint_id"))
     seen = recent_grant(captures, grants, window_ns).where(F.col("uid") > 0).join(ids, "capture_id")
-    links = seen.groupBy("uid", "fingerprint_id").agg(
+    grouped = seen.groupBy("uid", "fingerprint_id").agg(
         F.count(F.lit(1)).alias("observation_count"), F.min(F.struct("timestamp_ns", "capture_id")).alias("first"),
         F.max("timestamp_ns").alias("last_ns"),
     )
+    links = stored(grouped, "links")
     claim = links.groupBy("fingerprint_id").agg(F.min_by("uid", "first").alias("claimed_by"))
     return links.join(claim, "fingerprint_id").select(
         "uid", "fingerprint_id", "observation_count", F.col("first.timestamp_ns").alias("first_ns"), "last_ns", "claimed_by"

@@ -21,6 +21,7 @@ from wavetrail.functions.scalars import fixed
 from wavetrail.operators.filters import Filter, all_of, resolve_field
 from wavetrail.operators.ordered import NS
 from wavetrail.operators.spacing import spaced_rows
+from wavetrail.sources.work import stored
 
 EPSILON = 2.220446049250313e-16
 COMPARE = {
@@ -143,18 +144,26 @@ def window_counts(log: DataFrame, rules: list[Rule], step_s: int, start_s: int,
         grid(log.sparkSession, rules, step_s, start_s, end_s).join(cells, ["rule_id", "cell"], "left").fillna(0, ["n", "edges"])
         .withColumn("run", F.sum("n").over(upto)).select("rule_id", "cell", "run", "edges")
     )
-    m = _per_rule(rules, lambda r: max(r.window_sec // step_s, 1)).cast("long")
-    b = _per_rule(rules, lambda r: max(r.baseline_sec // step_s, r.window_sec // step_s, 1)).cast("long")
-    past = lambda a: totals.select("rule_id", F.col("cell").alias(f"c_{a}"), F.col("run").alias(f"run_{a}"), F.col("edges").alias(f"edges_{a}"))
-    now = totals.where(F.col("cell") >= start_s // step_s).withColumn("c_w", F.col("cell") - m).withColumn("c_b", F.col("cell") - b)
-    seen = now.join(past("w"), ["rule_id", "c_w"]).join(past("b"), ["rule_id", "c_b"])
-    return seen.select(
+    window = lambda r: max(r.window_sec // step_s, 1)
+    baseline = lambda r: max(r.baseline_sec // step_s, window(r))
+    # the grid has every cell of every rule, so a cell m steps back is the m-th row before
+    here = F.struct("run", "edges")
+    seen = totals.withColumn("w", _steps_back(here, rules, window, upto)).withColumn("b", _steps_back(here, rules, baseline, upto))
+    return seen.where(F.col("cell") >= start_s // step_s).select(
         "rule_id", (F.col("cell") * step_s).alias("at_s"),
-        (F.col("run") - F.col("run_w") + F.col("edges_w")).alias("current"),
-        (F.col("run_w") - F.col("run_b") + F.col("edges_b")).alias("older"),
+        (F.col("run") - F.col("w.run") + F.col("w.edges")).alias("current"),
+        (F.col("w.run") - F.col("b.run") + F.col("b.edges")).alias("older"),
     )
 
 
+def _steps_back(value: Column, rules: list[Rule], steps, ordered) -> Column:
+    """A value as many rows before as the row's rule looks back."""
+    out = F.lit(None)
+    for n in sorted({steps(r) for r in rules}):
+        out = F.when(F.col("rule_id").isin([r.id for r in rules if steps(r) == n]), F.lag(value, n).over(ordered)).otherwise(out)
+    return out
+
+
 def counted_firings(log: DataFrame, rules: list[Rule], step_s: int, start_s: int, end_s: int) -> DataFrame:
     """Threshold, absence and rate-change rules at every evaluation time."""
     seen = window_counts(log, rules, step_s, start_s, end_s)
@@ -353,6 +362,7 @@ def derived_events(firings: DataFrame, log: DataFrame, rules: list[Rule], step_s
     inside = hit.join(cells.select("rule_id", "at_s", "cell", "late", "_m"), ["rule_id", "cell"]).where(
         (F.col("late") < F.col("_m")) | (F.col("edge") == 1)
     )
+    inside = stored(inside.select("rule_id", "at_s", "id", "timestamp_ns", "freq_mhz", "talkgroup", "band", "source_unit"), "inside")
     ctx = firings.join(context(inside, ["rule_id", "at_s"]), ["rule_id", "at_s"], "left")
     return _event_rows(ctx, rules, F.col("match_count"), F.col("at_s") * NS)
 

@@ -17,6 +17,7 @@ from wavetrail.operators.spacing import spaced_rows
 from wavetrail.plans.history import DAY_NS
 from wavetrail.plans.registry import query
 from wavetrail.sources.bindings import AS_OF, AS_OF_NS, EPOCH_S, REC_AS_OF, ts_lit
+from wavetrail.sources.work import stored
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 CFO_BUCKET, RESOLUTION = 50.0, 0.05
@@ -164,7 +165,7 @@ def _(v):
     FPC_CTE + "," + LINK_CTE,
 )
 def _(v):
-    return E.uid_mismatches(links(v))
+    return E.uid_mismatches(stored(links(v), "uid-links"))
 
 
 @query(

@@ -10,6 +10,7 @@ from wavetrail.operators.spacing import spaced_rows
 from wavetrail.plans.presets import ALERT_PRESETS, EVENT_PRESETS, scaled
 from wavetrail.plans.registry import query
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S
+from wavetrail.sources.work import stored
 
 STEP, SIX, DAY = 3600, 6 * 3600, 86400
 START, END = EPOCH_S + DAY, AS_OF_NS // 10**9
@@ -125,7 +126,7 @@ RULES = [BURST, SPIKE, SILENCE, RATE]
 
 
 def counted(v):
-    return R.counted_firings(v.ev, RULES, STEP, START, END)
+    return stored(R.counted_firings(v.ev, RULES, STEP, START, END), "counted")
 
 
 @query("win08_cooldown", "SELECT rule_id, at_s FROM walk", COUNTS + f",\nfires AS ({FIRES_SQL})," + COOL_CTE)
@@ -135,7 +136,7 @@ def _(v):
 
 def cooled(v):
     fires = counted(v)
-    return fires.join(R.after_cooldown(fires, RULES), ["rule_id", "at_s"], "left_semi")
+    return stored(fires.join(R.after_cooldown(fires, RULES), ["rule_id", "at_s"], "left_semi"), "cooled")
 
 
 COND = {1: "encrypted", 6: "event_type = 'protocol.p25.grant'", 4: SPARSE, 8: "TRUE"}
@@ -223,8 +224,8 @@ ctx AS (SELECT i.rule_id, i.at_s, COUNT(*) AS count, arg_max(freq_mhz, (timestam
 
 
 def burst_firings(v):
-    fires = R.counted_firings(v.ev, BOTH, STEP, START, END)
-    return fires.join(R.after_cooldown(fires, BOTH), ["rule_id", "at_s"], "left_semi")
+    fires = stored(R.counted_firings(v.ev, BOTH, STEP, START, END), "burst")
+    return stored(fires.join(R.after_cooldown(fires, BOTH), ["rule_id", "at_s"], "left_semi"), "burst-fired")
 
 
 @query(
@@ -234,7 +235,7 @@ def burst_firings(v):
 )
 def _(v):
     links = R.source_links(burst_firings(v), v.ev, BOTH, STEP)
-    inside = links.join(v.ev.withColumnRenamed("id", "event_id"), "event_id").withColumnRenamed("event_id", "id")
+    inside = stored(links.join(v.ev.withColumnRenamed("id", "event_id"), "event_id").withColumnRenamed("event_id", "id"), "burst-inside")
     return R.context(inside, ["rule_id", "at_s"])
 
 
@@ -266,7 +267,7 @@ def _(v):
 @query("udx02_rule_defined_events", "SELECT rule_id, at_s FROM walk", B_FIRES)
 def _(v):
     rules = R.load_rules(R.rule_table(v.spark, BOTH))
-    fires = R.counted_firings(v.ev, rules, STEP, START, END)
+    fires = stored(R.counted_firings(v.ev, rules, STEP, START, END), "ruled")
     return R.after_cooldown(fires, rules)
 
 

@@ -16,6 +16,7 @@ from wavetrail.plans.network import tg_dim
 from wavetrail.plans.registry import query
 from wavetrail.plans.spectrum import ANOM_CTE, WALK_CTE, anomaly_rows, harmonic_rows
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S, ts_lit
+from wavetrail.sources.work import stored
 
 TODAY_NS = AS_OF_NS - 2 * DAY_NS
 TODAY = "TIMESTAMP '2024-01-29'"
@@ -79,7 +80,7 @@ def _(v):
     one = counters([
         (catalogue(v).where(F.col("first_ns") >= (EPOCH_S + 20 * 86400) * 10**9), {"new_emitters": rows()}),
         (anomaly_rows(v), {"anomalies": rows(), "deviations": tally(F.abs("z_score") > 3)}),
-        (E.uid_mismatches(links(v)), {"uid_mismatches": rows()}),
+        (E.uid_mismatches(stored(links(v), "uid-links")), {"uid_mismatches": rows()}),
     ])
     score = 3 * F.col("new_emitters") + 2 * F.col("anomalies") + 5 * F.col("uid_mismatches") + F.col("deviations")
     scored = one.withColumn("score", score)
@@ -199,7 +200,7 @@ def top(df, order, n, section, fields):
 
 
 def report(v):
-    cat, anomalies = catalogue(v), anomaly_rows(v)
+    cat, anomalies = stored(catalogue(v), "catalogue"), stored(anomaly_rows(v), "anomalies")
     new = tally(F.col("first_ns") >= (EPOCH_S + 20 * 86400) * 10**9)
     facts = counters([
         (cat, {"emitter_count": rows(), "new_emitters": new}),
