@@ -9,5 +9,6 @@ import wavetrail.plans.messages  # noqa: F401
 import wavetrail.plans.network  # noqa: F401
 import wavetrail.plans.rules  # noqa: F401
 import wavetrail.plans.spectrum  # noqa: F401
+import wavetrail.plans.storage  # noqa: F401
 import wavetrail.plans.streams  # noqa: F401
 import wavetrail.plans.summary  # noqa: F401

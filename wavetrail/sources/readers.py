@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavetrail import schemas
 from wavetrail.functions import scalars as S
@@ -18,7 +19,7 @@ PAIR = 8
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """The stored log; ``event_date`` folders prune on time."""
-    return spark.read.schema(schemas.EVENT_LOG.add("event_date", "date")).parquet(path)
+    return spark.read.schema(T.StructType([*schemas.EVENT_LOG.fields, T.StructField("event_date", T.DateType())])).parquet(path)
 
 
 def frequency_list(documents: DataFrame, text: str = "value") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavetrail import schemas
@@ -61,6 +62,33 @@ def append_batches(stream: DataFrame, path: str, make: Callable[[DataFrame], Dat
     return stream.writeStream.foreachBatch(write)
 
 
+DETECTION_KEY = ["mission_id", "sensor", "t_s", "center_hz"]
+
+
+def merge_once(stream: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], key: list[str] = DETECTION_KEY, bucket_s: int = 3600, first_batch: int = 0):
+    """Rows of each micro-batch whose key is not stored yet, whenever it came before.
+
+    Rows lie in folders by batch and by bucket of ``t_s``. A batch is compared with the buckets it touches and with older batches only, so
+    the cost does not follow the age of the table, and a repeated batch finds what it found before and overwrites itself. A further stream
+    into the same table numbers its batches from ``first_batch``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, batch_id = batch.sparkSession, first_batch + number
+        fresh = make(batch).dropDuplicates(key).withColumn("bucket", F.expr(f"t_s div {bucket_s}L"))
+        staged = f"{path}/_staged/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(staged)
+        fresh = spark.read.schema(fresh.schema).parquet(staged)
+        if batch_id:
+            schema = T.StructType([*fresh.schema.fields, T.StructField("batch", T.LongType())])
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # the hours of one batch
+            known = spark.read.schema(schema).parquet(path).where((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+            fresh = fresh.join(known.select("bucket", *key), ["bucket", *key], "left_anti").select(*fresh.columns)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
 def fan_out(stream: DataFrame, telemetry: str, detections: str, is_detection) -> list:
     """All rows to telemetry, detections to their own sink; neither loses rows."""
     return [
