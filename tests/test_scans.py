@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wavetrail.operators import emitters as E
@@ -14,6 +15,7 @@ from wavetrail.operators import history as H
 from wavetrail.operators import ordered as O
 from wavetrail.operators.harmonics import suppress_repeats
 from wavetrail.operators.joins import asof_backward
+from wavetrail.operators import spacing
 from wavetrail.operators.spacing import spaced_rows
 
 NS = 10**9
@@ -70,23 +72,42 @@ def test_merge_intervals(spark, spans, width):
 
 @FEW
 @given(
-    values=st.lists(st.integers(0, 500), min_size=1, max_size=80), distance=st.integers(1, 40), width=st.integers(1, 200), strict=st.booleans()
+    values=st.lists(st.integers(0, 500), min_size=1, max_size=150), distance=st.integers(1, 200), rows=st.integers(1, 9), block=st.integers(1, 4),
+    strict=st.booleans(),
 )
-def test_spaced_rows(spark, values, distance, width, strict):
-    df = spark.createDataFrame([(1, v) for v in values], "key long, v long")
-    want, last = [], None
-    for v in sorted(set(values)):
-        if last is None or (v - last > distance if strict else v - last >= distance):
-            want.append(v)
-            last = v
-    got = spaced_rows(df, "key", "v", distance, width, strict)
-    assert sorted(r.v for r in got.collect()) == want
+def test_spaced_rows(spark, values, distance, rows, block, strict):
+    """Slices of a few rows, also where the distance spans many of them."""
+    df = spark.createDataFrame([(v % 2, v) for v in values], "key long, v long")
+    want = []
+    for key in (0, 1):
+        last = None
+        for v in sorted({v for v in values if v % 2 == key}):
+            if last is None or (v - last > distance if strict else v - last >= distance):
+                want.append(v)
+                last = v
+    before = spacing.SLICE_ROWS, spacing.BLOCK
+    try:
+        spacing.SLICE_ROWS, spacing.BLOCK = rows, block
+        got = sorted(r.v for r in spaced_rows(df, "key", "v", distance, strict).collect())
+    finally:
+        spacing.SLICE_ROWS, spacing.BLOCK = before
+    assert got == sorted(want)
+
+
+def test_a_key_with_all_rows_in_one_hour_is_cut_by_rows(spark):
+    """A third of a million matches of one rule within an hour: no slice holds more than the stated number of values."""
+    df = spark.range(400_000).select(F.lit(7).alias("key"), (F.col("id") * 9_000_000).alias("v"))
+    assert sorted(r.v for r in spaced_rows(df, "key", "v", 60 * NS).collect())[:3] == [0, 60_003_000_000, 120_006_000_000]
+    ranged = df.repartitionByRange("key", "v").sortWithinPartitions("key", "v")
+    slices = ranged.mapInArrow(spacing._cut("key", "v", pa.int64()), "key int, _first long, _values array<bigint>")
+    sizes = [r.n for r in slices.select(F.size("_values").alias("n")).collect()]
+    assert max(sizes) <= spacing.SLICE_ROWS and sum(sizes) == 400_000 and len(sizes) >= 7
 
 
 def test_spaced_rows_keeps_nanoseconds(spark):
     base = 1_706_000_000_000_000_001
     df = spark.createDataFrame([(1, base), (1, base + 60 * NS - 1), (1, base + 60 * NS)], "key long, v long")
-    assert sorted(r.v for r in spaced_rows(df, "key", "v", 60 * NS, 3600 * NS).collect()) == [base, base + 60 * NS]
+    assert sorted(r.v for r in spaced_rows(df, "key", "v", 60 * NS).collect()) == [base, base + 60 * NS]
 
 
 def trace_loop(rows, gap):

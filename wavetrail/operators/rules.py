@@ -290,7 +290,7 @@ def after_cooldown(candidates: DataFrame, rules: list[Rule], time: str = "at_s",
         ids = [r.id for r in rules if r.cooldown_sec == rest]
         part = candidates.where(F.col("rule_id").isin(ids)).select("rule_id", time)
         if rest > 0:
-            part = spaced_rows(part, "rule_id", time, rest * unit, max(rest * 64, 86400) * unit)
+            part = spaced_rows(part, "rule_id", time, rest * unit)
         parts.append(part.distinct())
     return reduce(DataFrame.unionByName, parts)
 

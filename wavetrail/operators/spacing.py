@@ -5,18 +5,23 @@ window function states it. A slice of the ordered values turns into a small step
 function (value the slice is entered at -> last value it keeps). The functions
 are chained in blocks, the blocks along the key, and then every slice picks its
 values on its own; no task sees more than one block of functions or one slice.
-Slices travel as one sorted array per (key, slice), so Python sees whole batches
-of slices at a time.
+Slices are cut by number of rows, not by time, and travel as one sorted array each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavetrail.sources.work import stored
 
+SLICE_ROWS = 65_536  # distinct values that one slice holds
 BLOCK = 32  # slices chained in one task
 
 
@@ -84,36 +89,71 @@ def _carries(tables, last, distance, strict: bool, np_type: str) -> list:
     return before
 
 
-def spaced_rows(
-    df: DataFrame, key: str, value: str, distance: float, slice_width: float, strict: bool = False
-) -> DataFrame:
+def _cut(key: str, value: str, kind: pa.DataType):
+    """Sorted rows to slices of at most ``SLICE_ROWS`` distinct values of one key."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, current, pending, size, last = None, None, [], 0, None
+
+        def row() -> pa.RecordBatch:
+            values = np.concatenate(pending)
+            columns = [pa.array([current], schema.field(0).type), pa.array([values[0]], kind), pa.array([values], pa.list_(kind))]
+            return pa.RecordBatch.from_arrays(columns, [key, "_first", "_values"])
+
+        for batch in batches:
+            schema = batch.schema
+            keys, values = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            if not len(values):
+                continue
+            ends = np.r_[np.flatnonzero(np.asarray(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)))) + 1, len(keys)]
+            low = 0
+            for high in ends.tolist():
+                own = keys[low].as_py()
+                if pending and (own != current):
+                    yield row()
+                    pending, size = [], 0
+                if own != current:
+                    current, last = own, None
+                piece = values[low:high]
+                piece = piece[np.r_[last is None or piece[0] != last, piece[1:] != piece[:-1]]]
+                low = high
+                while len(piece):
+                    part, piece = piece[: SLICE_ROWS - size], piece[SLICE_ROWS - size :]
+                    pending.append(part)
+                    size, last = size + len(part), part[-1]
+                    if size == SLICE_ROWS:
+                        yield row()
+                        pending, size = [], 0
+        if pending:
+            yield row()
+
+    return slices
+
+
+def spaced_rows(df: DataFrame, key: str, value: str, distance: float, strict: bool = False) -> DataFrame:
     """Distinct ``(key, value)`` pairs kept by the greedy rule.
 
     A value is kept when it is at least ``distance`` (more than it, if
     ``strict``) above the last kept value of its key. ``value`` is an integer
-    or double column; ``key`` must not be NULL.
+    or double column; ``key`` must not be NULL. The rows are exchanged once, by
+    ranges of equal size, so a key with any share of the rows, at any density in
+    time, is cut into slices of at most ``SLICE_ROWS`` values.
     """
-    dtype = dict(df.dtypes)[value]
-    if dtype == "double":
-        np_type, width = "float64", float(max(slice_width, distance))
-        cell = F.floor(F.col(value) / F.lit(width)).cast("long")
-    else:  # whole numbers stay whole: nanoseconds do not fit a double
-        np_type, distance, width = "int64", int(distance), int(max(slice_width, distance))
-        cell = F.expr(f"{value} div {width}L")
-    slices = (
-        df.select(key, value).where(F.col(value).isNotNull()).withColumn("_cell", cell)
-        .groupBy(key, "_cell").agg(F.array_sort(F.collect_set(value)).alias("_values"))
-    )
+    dtype, key_type = dict(df.dtypes)[value], dict(df.dtypes)[key]
+    # whole numbers stay whole: nanoseconds do not fit a double
+    np_type, distance = ("float64", float(distance)) if dtype == "double" else ("int64", int(distance))
+    kind = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[dtype]
+    ranged = df.select(key, value).where(F.col(value).isNotNull()).repartitionByRange(key, value).sortWithinPartitions(key, value)
+    slices = stored(ranged.mapInArrow(_cut(key, value, kind), f"`{key}` {key_type}, _first {dtype}, _values array<{dtype}>"), "slices")
 
     step_type = f"array<struct<upto: {dtype}, exit: {dtype}>>"
 
     @F.pandas_udf(step_type)
-    def slice_steps(values: pd.Series, cells: pd.Series) -> pd.Series:
-        return pd.Series([_slice_steps(np.asarray(v, dtype=np_type), c * width, distance, strict) for v, c in zip(values, cells)])
+    def slice_steps(values: pd.Series, firsts: pd.Series) -> pd.Series:
+        return pd.Series([_slice_steps(np.asarray(v, dtype=np_type), first, distance, strict) for v, first in zip(values, firsts)])
 
     @F.pandas_udf(step_type)
-    def block_steps(tables: pd.Series, blocks: pd.Series) -> pd.Series:
-        starts = blocks * BLOCK * width
+    def block_steps(tables: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([
             _block_steps([_table(x["s"], np_type) for x in t], start, distance, strict) for t, start in zip(tables, starts)
         ])
@@ -146,12 +186,11 @@ def spaced_rows(
 
     # Slices chain inside blocks, blocks chain along the key, and the carries go back down.
     listed = lambda c, s: F.array_sort(F.collect_list(F.struct(F.col(c).alias("c"), F.col(s).alias("s")))).alias("_t")
-    blocks = (
-        slices.withColumn("_s", slice_steps("_values", "_cell")).withColumn("_block", F.expr(f"floor(_cell / {BLOCK})"))
-        .groupBy(key, "_block").agg(listed("_cell", "_s"))
-    )
-    chains = blocks.withColumn("_bs", block_steps("_t", "_block")).groupBy(key).agg(listed("_block", "_bs"))
+    along = F.row_number().over(Window.partitionBy(key).orderBy("_first"))  # one row a slice
+    steps = slices.withColumn("_s", slice_steps("_values", "_first")).select(key, "_first", "_s").withColumn("_block", F.floor((along - 1) / BLOCK))
+    blocks = steps.groupBy(key, "_block").agg(listed("_first", "_s"), F.min("_first").alias("_start"))
+    chains = blocks.withColumn("_bs", block_steps("_t", "_start")).groupBy(key).agg(listed("_block", "_bs"))
     nothing = F.array(F.lit(None).cast(dtype))
     into_blocks = spread(chains.withColumn("_b", carries("_t", nothing)), "_block")
-    into_slices = spread(blocks.join(into_blocks, [key, "_block"]).withColumn("_b", carries("_t", "_before")), "_cell")
-    return slices.join(into_slices, [key, "_cell"]).select(key, F.explode(picked("_values", "_before")).alias(value))
+    into_slices = spread(blocks.join(into_blocks, [key, "_block"]).withColumn("_b", carries("_t", "_before")), "_first")
+    return slices.join(into_slices, [key, "_first"]).select(key, F.explode(picked("_values", "_before")).alias(value))

@@ -483,7 +483,7 @@ w AS (WITH RECURSIVE r AS (SELECT grp, l, l[1] AS x FROM vals UNION ALL SELECT g
 )
 def _(v):
     e = v.ev.select((F.col("k") % 4).alias("grp"), F.round("power", 2).alias("x"))
-    return spaced_rows(e, "grp", "x", 1.005, 25.0, strict=True)
+    return spaced_rows(e, "grp", "x", 1.005, strict=True)
 
 
 @query(
@@ -504,7 +504,7 @@ def _(v):
     sites = v.table("supplier").select(system.alias("system"), (851 + (s % 50) * 0.0125).alias("control"), F.to_json(alt).alias("alt_json"))
     alts = sites.select("system", F.explode(F.from_json("alt_json", "array<struct<freq_mhz: double>>")).alias("a")).select("system", F.col("a.freq_mhz").alias("f"))
     every = sites.select("system", F.col("control").alias("f")).unionByName(alts).where(F.col("f") > 0)
-    kept = spaced_rows(every.select("system", F.round("f", 6).alias("freq_mhz")), "system", "freq_mhz", 0.0001, 1.0)
+    kept = spaced_rows(every.select("system", F.round("f", 6).alias("freq_mhz")), "system", "freq_mhz", 0.0001)
     return kept
 
 

@@ -304,4 +304,4 @@ def _(v):
 )
 def _(v):
     rows = v.ev.select(F.col("source_unit").alias("uid"), "timestamp_ns")
-    return spaced_rows(rows, "uid", "timestamp_ns", 43200 * 10**9, 5 * DAY * 10**9)
+    return spaced_rows(rows, "uid", "timestamp_ns", 43200 * 10**9)

@@ -438,7 +438,7 @@ def fire(found: DataFrame, path: str, rest_s: int):
         carried = spark.createDataFrame([], "rule_id int, timestamp_ns long")
         if batch_id:
             carried = spark.read.schema(carried.schema).parquet(f"{path}/carry/batch={batch_id - 1}")
-        kept = spaced_rows(times.unionByName(carried), "rule_id", "timestamp_ns", rest_s * NS, rest_s * NS)
+        kept = spaced_rows(times.unionByName(carried), "rule_id", "timestamp_ns", rest_s * NS)
         kept.join(carried, ["rule_id", "timestamp_ns"], "left_anti").write.mode("overwrite").parquet(f"{path}/fired/batch={batch_id}")
         last = spark.read.schema(carried.schema).parquet(f"{path}/fired/batch={batch_id}").unionByName(carried)
         last.groupBy("rule_id").agg(F.max("timestamp_ns").alias("timestamp_ns")).write.mode("overwrite").parquet(f"{path}/carry/batch={batch_id}")
