@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wavetrail.operators import geofence as G
 from wavetrail.operators import history as H
 from wavetrail.operators import messages as M
+from wavetrail.operators import rules as R
 from wavetrail.plans import live as PL
+from wavetrail.plans import rules as PR
 from wavetrail.plans.history import DAY_NS, sessions_of
 from wavetrail.plans.messages import parsed
+from wavetrail.plans.streams import fixes, geo_sites
 from wavetrail.streaming import jobs as J
 from wavetrail.streaming import live as L
 
@@ -75,6 +79,26 @@ def test_analysis(views, mixed, tmp_path):
     assert rows(got.select("finding", "id", "summary")) == rows(want)
 
 
+def test_counted_rules(views, log, tmp_path):
+    want = R.counted_firings(views.ev, PR.RULES, PR.STEP, PR.START, PR.END)
+    assert rows(PL.counted_rows(views, log, str(tmp_path), PATIENT, UNTIL)) == rows(want.select("rule_id", "at_s", "match_count"))
+
+
+def test_new_values(views, log, tmp_path):
+    last, want = {}, []
+    for r in views.gr.where("tgid IS NOT NULL").orderBy("timestamp_ns", "id").collect():
+        if r.timestamp_ns - last.get(r.tgid, -(10**19)) > 2 * DAY_NS:
+            want.append((12, r.id, str(r.tgid)))
+        last[r.tgid] = r.timestamp_ns
+    assert rows(PL.new_value_rows(views, log, str(tmp_path), PATIENT, UNTIL)) == sorted(map(repr, want))
+
+
+def test_site_visits(views, log, tmp_path):
+    want = G.site_visits(fixes(views.ev).drop("ts"), geo_sites(views))
+    got = PL.visit_rows(views, log, str(tmp_path), PATIENT, UNTIL)
+    assert rows(got) == rows(want.select("device", "id", "timestamp_ns", "change", "site_id"))
+
+
 def test_late_rows_have_a_sink_of_their_own(views, log, tmp_path):
     """With ten minutes of patience, files that come late are reported row by row, and every row is in one of the two sinks."""
     p25 = views.ev.where(F.col("event_type").startswith("protocol.p25."))

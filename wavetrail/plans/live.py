@@ -9,8 +9,8 @@ from wavetrail.operators.rules import Rule, matches, rule_table
 from wavetrail.plans.history import DAY_NS, ROT_CTE, sessions_cte, traces_cte
 from wavetrail.plans.messages import FIND_SQL, MSG_CTE, parsed
 from wavetrail.plans.registry import query
-from wavetrail.plans.rules import CHAIN
-from wavetrail.plans.streams import raw_stream, scratch
+from wavetrail.plans.rules import CHAIN, COUNTS, END, FIRES_SQL, RULES, START, STEP
+from wavetrail.plans.streams import GEO_CTE, NEW_TG, fixes, geo_sites, raw_stream, scratch
 from wavetrail.sources.bindings import AS_OF_NS, EPOCH_S, Views
 from wavetrail.streaming import jobs as J
 from wavetrail.streaming import live as L
@@ -133,3 +133,40 @@ def _(v):
     table = rule_table(v.spark, CHAIN)
     J.run_to_end(J.chain_stream(raw_stream(v), lambda: table, f"{path}/derived"), f"{path}/checkpoint")
     return written(v.spark, f"{path}/derived", "event_key string, source_key string, depth int, rule_id int, body string")
+
+
+def counted_rows(v, log, path: str, late: str = LATE, until_s: int = END_S):
+    make = lambda found: found.select(F.col("key").cast("int").alias("rule_id"), F.expr("timestamp_ns div 1000000000").alias("at_s"), F.col("hit_count").alias("match_count"))
+    replay(v, path, lambda beats: L.write_findings(L.counted(log, RULES, beats, late, STEP, START, END), path, make), until_s)
+    return written(v.spark, f"{path}/findings", "rule_id int, at_s long, match_count long")
+
+
+@query("stm07_live_counted_rules", FIRES_SQL, COUNTS)
+def _(v):
+    return counted_rows(v, raw_stream(v), scratch(v, "stm07-live"))
+
+
+def new_value_rows(v, log, path: str, late: str = LATE, until_s: int = END_S):
+    make = lambda found: found.select(F.lit(NEW_TG.id).alias("rule_id"), "id", F.col("key").alias("value"))
+    replay(v, path, lambda beats: L.write_findings(L.new_values(log, NEW_TG, beats, late), path, make), until_s)
+    return written(v.spark, f"{path}/findings", "rule_id int, id long, value string")
+
+
+@query(
+    "stm09_live_new_values",
+    """SELECT 12 AS rule_id, id, value FROM (SELECT id, talkgroup::VARCHAR AS value, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY talkgroup ORDER BY timestamp_ns, id) AS gap
+       FROM ev WHERE event_type = 'protocol.p25.grant' AND talkgroup IS NOT NULL) WHERE gap IS NULL OR gap > 172800000000000""",
+)
+def _(v):
+    return new_value_rows(v, raw_stream(v), scratch(v, "stm09-live"))
+
+
+def visit_rows(v, log, path: str, late: str = LATE, until_s: int = END_S):
+    make = lambda found: found.select(F.col("key").cast("long").alias("device"), "id", "timestamp_ns", F.col("finding").alias("change"), F.col("channel_id").alias("site_id"))
+    replay(v, path, lambda beats: L.write_findings(L.site_visits(fixes(log), geo_sites(v), beats, late), path, make), until_s)
+    return written(v.spark, f"{path}/findings", "device long, id long, timestamp_ns long, change string, site_id long")
+
+
+@query("stm16_live_geofence", "SELECT device, id, timestamp_ns, change, site_id FROM walk", GEO_CTE)
+def _(v):
+    return visit_rows(v, raw_stream(v), scratch(v, "stm16-live"))

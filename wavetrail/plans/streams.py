@@ -112,12 +112,20 @@ walk AS (WITH RECURSIVE w AS (
   FROM w JOIN steps s ON s.device = w.device AND s.rn = w.rn + 1) SELECT * FROM w WHERE change IS NOT NULL)"""
 
 
+def geo_sites(v):
+    r = F.col("r_regionkey").cast("long")
+    return v.table("region").select(r.alias("site_id"), (45 + r * 0.04).alias("lat"), F.lit(-122.0).alias("lon"), (1500.0 + 100 * r).alias("radius_m"))
+
+
+def fixes(log):
+    """Positions of devices by event."""
+    k = F.col("k")
+    return log.select("id", "ts", F.col("source_unit").alias("device"), "timestamp_ns", (44.98 + (k % 21) * 0.01).alias("lat"), F.when(k % 13 != 0, -122 + (k % 3) * 0.005).alias("lon"))
+
+
 @query("stm16_geofence_sessions", "SELECT device, id, timestamp_ns, change, site_id FROM walk", GEO_CTE)
 def _(v):
-    r, k = F.col("r_regionkey").cast("long"), F.col("k")
-    sites = v.table("region").select(r.alias("site_id"), (45 + r * 0.04).alias("lat"), F.lit(-122.0).alias("lon"), (1500.0 + 100 * r).alias("radius_m"))
-    track = v.ev.select("id", F.col("source_unit").alias("device"), "timestamp_ns", (44.98 + (k % 21) * 0.01).alias("lat"), F.when(k % 13 != 0, -122 + (k % 3) * 0.005).alias("lon"))
-    return G.site_visits(track, sites, 5 * DAY_NS)
+    return G.site_visits(fixes(v.ev).drop("ts"), geo_sites(v), 5 * DAY_NS)
 
 
 # --- sinks -----------------------------------------------------------------

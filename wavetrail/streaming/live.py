@@ -22,10 +22,11 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from wavetrail.functions import scalars as S
 from wavetrail.operators import messages as M
-from wavetrail.operators.filters import all_of
+from wavetrail.operators.filters import all_of, resolve_field
+from wavetrail.operators.geofence import near_sites
 from wavetrail.operators.history import GRANT, TERMINATORS, rotation_text
 from wavetrail.operators.ordered import NS
-from wavetrail.operators.rules import Rule
+from wavetrail.operators.rules import EPSILON, Rule, matches
 from wavetrail.operators.spacing import spaced_rows
 
 MS = 1_000_000
@@ -163,6 +164,94 @@ class Traces(Tracker):
         return []
 
 
+class NewValues(Tracker):
+    """Sightings of a value that was not seen within the look-back before them."""
+
+    def __init__(self, look_back_ns: int):
+        self.look_back_ns = look_back_ns
+
+    def step(self, memory, row):
+        known, memory["last"] = "last" in memory, row["timestamp_ns"]
+        return [] if known else [{"finding": "new_value"}]
+
+    def deadline(self, memory):
+        return memory["last"] + self.look_back_ns if memory else None
+
+    def expire(self, memory):
+        memory.clear()
+        return []
+
+
+class Visits(Tracker):
+    """Enter the nearest site within its radius, leave beyond twice that (see ``geofence.near_sites``)."""
+
+    def step(self, memory, row):
+        keep = [int(s) for s in row["note"].split(",") if s]
+        at = memory.get("site")
+        if at is None:
+            if row["channel_id"] is None:
+                return []
+            memory["site"] = row["channel_id"]
+            return [{"finding": "enter", "channel_id": row["channel_id"]}]
+        if at in keep:
+            return []
+        memory.clear()
+        return [{"finding": "exit", "channel_id": at}]
+
+
+class Counted(Tracker):
+    """Threshold, absence and rate-change rules at every evaluation time (see ``rules.window_counts``).
+
+    The memory is one count per cell of the longest look back.
+    """
+
+    TESTS = {
+        "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b,
+        "eq": lambda a, b: abs(a - b) < EPSILON, "ne": lambda a, b: abs(a - b) >= EPSILON,
+    }
+
+    def __init__(self, rule: Rule, step_s: int, start_s: int, end_s: int | None):
+        self.rule, self.step_ns = rule, step_s * NS
+        self.first, self.last = start_s // step_s, None if end_s is None else end_s // step_s
+        self.window = max(rule.window_sec // step_s, 1)
+        self.baseline = max(rule.baseline_sec // step_s, self.window)
+
+    def step(self, memory, row):
+        memory.setdefault("next", self.first)
+        if row["rank"] == 1:
+            cell = memory.setdefault("cells", {}).setdefault(str(row["timestamp_ns"] // self.step_ns), [0, 0])
+            cell[0] += row["low_ns"]
+            cell[1] += row["high_ns"]
+        return []
+
+    def deadline(self, memory):
+        if "next" not in memory or (self.last is not None and memory["next"] > self.last):
+            return None
+        return memory["next"] * self.step_ns
+
+    def expire(self, memory):
+        at, cells = memory["next"], memory.setdefault("cells", {})
+        n = lambda low, high: sum(cells.get(str(c), (0, 0))[0] for c in range(low + 1, high + 1))
+        edge = lambda c: cells.get(str(c), (0, 0))[1]
+        begin, base = at - self.window, at - self.baseline
+        current, older = n(begin, at) + edge(begin), n(base, begin) + edge(base)
+        memory["next"] = at + 1
+        memory["cells"] = {c: v for c, v in cells.items() if int(c) > base}
+        if not self.fires(current, older):
+            return []
+        return [{"finding": "fired", "timestamp_ns": at * self.step_ns, "hit_count": current}]
+
+    def fires(self, current: int, older: int) -> bool:
+        r = self.rule
+        if r.kind == "threshold":
+            return self.TESTS[r.op](float(current), float(r.value))
+        if r.kind == "absence":
+            return current == 0
+        scale = r.window_sec / (r.baseline_sec - r.window_sec) if r.baseline_sec > r.window_sec else 1.0
+        usual = older * scale
+        return usual >= 1 and abs((current - usual) / usual * 100) >= r.percent
+
+
 class Silences(Tracker):
     """Stretches without a match longer than the window, each told once; heartbeats start the watch, so a rule that never matches is silent too."""
 
@@ -262,8 +351,7 @@ class InOrder(StatefulProcessor):
         yield self._table(key, found, False)
 
     def _overdue(self, tracker: Tracker, memory: dict, now: int, found: list) -> None:
-        deadline = tracker.deadline(memory)
-        if deadline is not None and deadline < now:
+        while (deadline := tracker.deadline(memory)) is not None and deadline < now:
             found += tracker.expire(memory)
 
     def _wake(self, ns: int) -> None:
@@ -287,14 +375,15 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def keyed(df: DataFrame, tracker: str, key: Column, rank: int = 1, **values: Column | str) -> DataFrame:
+def keyed(df: DataFrame, tracker: str | Column, key: Column, rank: int = 1, **values: Column | str) -> DataFrame:
     """A stream's rows for a tracker; needs ``ts``, ``timestamp_ns`` and ``id``. Rows without a key are left out."""
     given = {n: F.col(v) if isinstance(v, str) else v for n, v in values.items()}
     # whole numbers with nulls reach pandas as doubles, which hold 53 bits: columns that need more are never null
     filled = {"low_ns": F.lit(0), "high_ns": F.lit(0)}
     columns = [F.coalesce(given.get(n, F.lit(None)), filled.get(n, F.lit(None))).cast(t).alias(n) for n, t in GIVEN.items()]
     place = ["timestamp_ns", F.lit(rank).alias("rank"), F.coalesce("id", F.lit(-1)).cast("long").alias("id")]
-    return df.select("ts", F.lit(tracker).alias("tracker"), key.cast("string").alias("key"), *place, *columns).where("key IS NOT NULL")
+    name = F.lit(tracker) if isinstance(tracker, str) else tracker
+    return df.select("ts", name.alias("tracker"), key.cast("string").alias("key"), *place, *columns).where("key IS NOT NULL")
 
 
 def heartbeats(beats: DataFrame) -> DataFrame:
@@ -405,6 +494,49 @@ def silences(log: DataFrame, rules: list[Rule], beats: DataFrame, late: str, cel
     return follow(parts, trackers, late)
 
 
+def counted(log: DataFrame, rules: list[Rule], beats: DataFrame, late: str, step_s: int, start_s: int, end_s: int | None = None) -> DataFrame:
+    """Firings of threshold, absence and rate-change rules, as ``rules.counted_firings`` gives them; heartbeats start the rules.
+
+    Matches are counted per rule and cell inside every Arrow batch before they are exchanged, in one pass for all rules.
+    """
+    name = F.concat(F.lit("rule:"), F.col("rule_id").cast("string"))
+    cells = matches(log, rules).select("rule_id", "timestamp_ns").mapInPandas(_counts(step_s * NS), "rule_id int, end_ns long, n long, edges long")
+    timed = cells.select("rule_id", F.timestamp_micros(F.expr("end_ns div 1000")).alias("ts"), F.col("end_ns").alias("timestamp_ns"), F.lit(None).cast("long").alias("id"), "n", "edges")
+    # a cell's row must not move event time beyond what was seen
+    timed = timed.withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {step_s} SECONDS"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ids = F.explode(F.array(*[F.lit(r.id) for r in rules])).alias("rule_id")
+    beat = beats.select(F.col("ts").cast("timestamp").alias("ts"), (micros * 1000).alias("timestamp_ns"), F.lit(None).cast("long").alias("id"), ids)
+    trackers = {f"rule:{r.id}": Counted(r, step_s, start_s, end_s) for r in rules}
+    return follow([keyed(timed, name, F.col("rule_id"), low_ns="n", high_ns="edges"), keyed(beat, name, F.col("rule_id"), rank=0)], trackers, late)
+
+
+def _counts(step: int):
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ns = batch["timestamp_ns"]
+            cell = (ns + step - 1) // step * step
+            grouped = pd.DataFrame({"rule_id": batch["rule_id"], "end_ns": cell, "edge": (ns % step == 0).astype("int64")}).groupby(["rule_id", "end_ns"])["edge"]
+            out = grouped.agg(["size", "sum"]).reset_index()
+            yield out.rename(columns={"size": "n", "sum": "edges"}).astype({"n": "int64", "edges": "int64"})
+
+    return reduce
+
+
+def new_values(log: DataFrame, rule: Rule, beats: DataFrame, late: str) -> DataFrame:
+    """Sightings of a field's values that were not seen within the rule's look-back before them. State per value: its last sighting."""
+    value = resolve_field(rule.field)[0].cast("string")
+    hits = log.where(all_of(rule.filters))
+    return follow([keyed(hits, "value", value), heartbeats(beats)], {"value": NewValues(rule.baseline_sec * NS)}, late)
+
+
+def site_visits(positions: DataFrame, sites: DataFrame, beats: DataFrame, late: str) -> DataFrame:
+    """Enter and exit events of devices as their positions arrive; ``channel_id`` is the site. State per device: the site it is at."""
+    near = near_sites(positions, sites)
+    keep = F.concat_ws(",", F.transform("keep", lambda s: s.cast("string")))
+    return follow([keyed(near, "visit", F.col("device"), channel_id="enter", note=keep), heartbeats(beats)], {"visit": Visits()}, late)
+
+
 def _first_and_last(cell: int):
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
