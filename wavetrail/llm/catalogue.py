@@ -13,4 +13,3 @@ import wavetrail.llm.jaccard_join  # noqa: F401
 import wavetrail.llm.periodic_runs  # noqa: F401
 import wavetrail.llm.quality_rules  # noqa: F401
 import wavetrail.llm.conversation_repair  # noqa: F401
-import corpus_pipeline  # noqa: F401

@@ -1,10 +1,8 @@
-"""Substring de-duplication over words by relative Lempel-Ziv parsing.
+"""Substring de-duplication over words: every window of ``LENGTH`` words that an earlier document has is removed.
 
-Every document is parsed against the documents before it. Reference blocks are phrases of words between content-defined triggers (see
-`repeats`), and every block of every document is in the index. A document is parsed from left to right: as long as the next block is one that an
-earlier document has, it extends the factor; other blocks are literals. Inside a factor every window of ``LENGTH`` words is a copy. A
-window at a factor's boundary may still be a copy of a place where other blocks meet; those whose trigger the index knows are
-checked one by one against all blocks with that trigger. Runs of windows found either way are the duplicate spans.
+The dealt method, a relative Lempel-Ziv parse, is not built: there are no factors and no reference positions. Documents are cut into
+phrases of words between content-defined triggers (see `repeats`); a phrase whose digest an earlier document has is a copy as a whole, and the
+windows of other phrases are compared one by one with all windows that share their trigger. Rows are exact.
 """
 
 from __future__ import annotations
