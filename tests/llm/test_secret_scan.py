@@ -1,6 +1,9 @@
 import base64
 import gzip
+import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -73,6 +76,62 @@ def test_broken_and_glued_runs():
     assert any(kind == "access" for kind, _, _ in ss.find_secrets("%FF" + "".join(f"%{ord(c):02x}" for c in KEY))[1])
 
 
+def test_short_lines_and_deep_chains():
+    secret = f"some words {KEY} and more of them to fill the lines"
+    b64 = base64.b64encode(secret.encode()).decode()
+    for width in (5, 12, 16):
+        text = "a b\n" + "\n".join(b64[i : i + width] for i in range(0, len(b64), width)) + "\nend of it"
+        assert any(kind == "access" for kind, _, _ in ss.find_secrets(text)[1]), width
+    assert ss.find_secrets("%252541KIAABCDEFGHIJKLMNOP")[1] == [("access", 0, 26)]
+    assert ("access", 0, 24) in ss.find_secrets("%%341KIAABCDEFGHIJKLMNOP")[1]  # the 4 of %41 is an escape
+    assert ("access", 0, 26) in ss.find_secrets("%%%3341KIAABCDEFGHIJKLMNOP")[1]
+
+
+def test_long_encoded_texts_take_little_time_and_memory():
+    start = time.monotonic()
+    deep = "x %" + "25" * 500_000 + "41KIAABCDEFGHIJKLMNOP y"
+    assert ("access", 2, len(deep) - 2) in ss.find_secrets(deep)[1]
+    half = random.Random(6).randbytes(1_000_000)
+    run = base64.b64encode(half + f" {KEY} ".encode() + half).decode()
+    tracemalloc.start()
+    hits = [(a, b) for kind, a, b in ss.find_secrets("x " + run)[1] if kind == "access"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (a, b), *_ = hits
+    assert abs(a - 2 - len(run) / 2) < 30 and b - a < 40
+    assert peak < 40 * len(run) and time.monotonic() - start < 60
+
+
+def by_pieces(text):
+    """All spans of two fixed wrappings, from a map of every character."""
+    out = set(plain(text))
+    chars, i = [], 0
+    while i < len(text):
+        if re.match(r"%[0-7][0-9A-Fa-f]", text[i : i + 3]):
+            chars.append((chr(int(text[i + 1 : i + 3], 16)), i, i + 3))
+            i += 3
+        else:
+            chars.append((text[i], i, i + 1))
+            i += 1
+    decoded = "".join(c for c, _, _ in chars)
+    if decoded != text:
+        out |= {(k, chars[a][1], chars[b - 1][2]) for k, a, b in plain(decoded)}
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0]), s[2]))
+
+
+@given(st.lists(st.sampled_from(["password", "=", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "%41", "%3d", "%20", " ", "é", ";"]), max_size=10).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_spans_of_escapes_equal_a_map_of_characters(text):
+    runs = re.findall(r"[A-Za-z0-9+/_-]{16,}", text + " " + by_decoding(text))
+    got = ss.find_secrets(text)[1]
+    want = by_pieces(text)
+    assert set(want) <= set(got) and (runs or got == want)
+
+
+def by_decoding(text):
+    return urllib.parse.unquote(text)
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     assert ss.find_secrets("%25" * 50 + "%2525")[2] > 0
     monkeypatch.setattr(ss, "INFLATE_LIMIT", 1000)

@@ -4,7 +4,11 @@ A text is scanned for three kinds of secrets. A worklist then unwraps what it ho
 decoded in place, base64 runs become layers of their own, compressed payloads (zlib, gzip) inside base64 or hex runs are inflated. Runs
 may be broken over lines or glued to a word; bytes that are no UTF-8 are read as Latin-1. Each
 new layer is scanned like the text and unwrapped again, until nothing new appears; layers seen before (by digest) are not entered
-again, which ends cycles. Every layer keeps a map to the text, so each secret is reported as a span of the text itself.
+again, which ends cycles. Every layer maps its places to the layer it came from, by arithmetic or by one entry a decoded escape, so each
+secret is reported as a span of the text itself and memory follows the text by a small factor.
+
+An escape that escapes an escape (``%2541``) is decoded in one step however deep the chain is, and what decoding makes anew is followed
+to its end in one pass: a secret holds no percent sign, so none is lost between the steps.
 
 One text is handled by one task, in a few passes; nothing is shuffled. Inflating stops at ``INFLATE_LIMIT`` bytes per layer; a
 payload beyond it is not scanned but reported as kind ``oversized``, so nothing is dropped unseen.
@@ -17,10 +21,12 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +46,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Equal to runs filtered by length: such a run can only begin at its left end, or at the first AKIA in it.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# the innermost escape of a chain ends it: %2541 is one unit
+_UNIT = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}")
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_DIGITS = frozenset("0123456789abcdefABCDEF")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
 _HEX_RUN = re.compile(r"[0-9a-fA-F]{%d,}" % MIN_RUN)
 # runs broken over lines; the possessive quantifiers keep a long run without a line end linear
-_BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}" % MIN_RUN)
-_HEX_LINES = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[0-9a-fA-F]++)++" % MIN_RUN)
+# (lines as long as a run, or three and more short ones)
+_BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++){2,}+)={0,2}" % MIN_RUN)
+_HEX_LINES = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{%d,}+(?:[ \t]*+\r?\n[ \t]*+[0-9a-fA-F]++)++|[0-9a-fA-F]{4,}+(?:[ \t]*+\r?\n[ \t]*+[0-9a-fA-F]++){2,}+)" % MIN_RUN)
 # what every secret has, plain or encoded; unreadable layers without it are not entered
 _WORTH = re.compile(r"[A-Za-z0-9+/_.=%\\-]{8,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
@@ -68,80 +78,138 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 
 class Layer:
-    """Decoded text, and for each of its pieces (start in it) the span of the original text it came from.
+    """Text, and how its places map to the layer it was decoded from; the root is the text itself."""
 
-    A piece of kind `plain` maps character by character, any other as a whole.
-    """
+    parent: Layer | None = None
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
-        self.text, self.pieces = text, pieces  # (start here, original start, original end, plain), in order
+    def __init__(self, text: str):
+        self.text = text
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the parent's text that [start, end) came from."""
+        return start, end
 
     def place(self, start: int, end: int) -> tuple[int, int]:
-        """The original span of [start, end) of this layer."""
-        low = high = None
-        at = self._find(start)
-        while at < len(self.pieces) and self.pieces[at][0] < end:
-            here, left, right, plain = self.pieces[at]
-            stop = self.pieces[at + 1][0] if at + 1 < len(self.pieces) else len(self.text)
-            a, b = (left + max(0, start - here), left + min(stop, end) - here) if plain else (left, right)
-            low, high = (a, b) if low is None else (min(low, a), max(high, b))
-            at += 1
-        return (low, high) if low is not None else (0, 0)
-
-    def _find(self, position: int) -> int:
-        low, high = 0, len(self.pieces)
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.pieces[middle][0] <= position else (low, middle)
-        return low
-
-
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every match decoded in place; None if nothing was."""
-    out, pieces, at, length = [], [], 0, 0
-
-    def keep(start: int, end: int) -> None:
+        """The span of the original text that [start, end) came from."""
+        layer: Layer | None = self
+        while layer is not None:
+            start, end = layer.up(start, end)
+            layer = layer.parent
+        return start, end
+
+
+class Replaced(Layer):
+    """Escapes decoded in place. Pieces alternate between kept text, which maps character by character, and decoded characters."""
+
+    def __init__(self, parent: Layer, text: str, here: array, left: array, right: array, plain: bytearray):
+        super().__init__(text)
+        self.parent, self.here, self.left, self.right, self.plain = parent, here, left, right, plain
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        first = bisect_right(self.here, start) - 1
+        last = bisect_right(self.here, end - 1) - 1 if end > start else first
+        low = self.left[first] + (start - self.here[first] if self.plain[first] else 0)
+        high = self.left[last] + (end - self.here[last]) if self.plain[last] else self.right[last]
+        return low, high
+
+
+class Payload(Layer):
+    """A decoded run; `groups` of characters became as many bytes each, so a place is a matter of arithmetic."""
+
+    def __init__(self, parent: Layer, text: str, at: Sequence[int], chars: int, size: int, utf8: bool):
+        super().__init__(text)
+        self.parent, self.at, self.chars, self.size = parent, at, chars, size
+        self.bytes_before = None
+        if utf8 and not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+            self.bytes_before = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        if self.bytes_before is not None:
+            start, end = int(self.bytes_before[start]), int(self.bytes_before[end])
+        last = min(len(self.at), -(-max(end, start + 1) // self.size) * self.chars) - 1
+        return self.at[start // self.size * self.chars], self.at[last] + 1
+
+
+class Inflated(Layer):
+    """Inflated bytes: every place maps to the whole compressed run."""
+
+    def __init__(self, parent: Layer, text: str, span: tuple[int, int]):
+        super().__init__(text)
+        self.parent, self.span = parent, span
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        return self.span
+
+
+def _replaced(layer: Layer, decoded: Iterator[tuple[int, int, str]]) -> Layer | None:
+    """The layer with every (start, end) of `decoded` replaced by its text; None if there is none."""
+    out, at, length = [], 0, 0
+    here, left, right, plain = array("q"), array("q"), array("q"), bytearray()
+
+    def add(start: int, end: int, text: str, kept: bool) -> None:
         nonlocal length
-        if end <= start:
-            return
-        k = layer._find(start)
-        while k < len(layer.pieces) and layer.pieces[k][0] < end:
-            here, left, right, plain = layer.pieces[k]
-            stop = layer.pieces[k + 1][0] if k + 1 < len(layer.pieces) else len(layer.text)
-            a, b = max(start, here), min(end, stop)
-            pieces.append((length + a - start, left + a - here, left + b - here, True) if plain else (length + a - start, left, right, False))
-            k += 1
-        out.append(layer.text[start:end])
-        length += end - start
-
-    for m in pattern.finditer(layer.text):
-        for start, end, decoded in decode(m):
-            keep(at, start)
-            pieces.append((length, *layer.place(start, end), False))
-            out.append(decoded)
-            length += len(decoded)
-            at = end
+        here.append(length)
+        left.append(start)
+        right.append(end)
+        plain.append(kept)
+        out.append(text)
+        length += len(text)
+
+    for start, end, text in decoded:
+        if start > at:
+            add(at, start, layer.text[at:start], True)
+        add(start, end, text, False)
+        at = end
     if at == 0:
         return None
-    keep(at, len(layer.text))
-    return Layer("".join(out), pieces)
+    if at < len(layer.text):
+        add(at, len(layer.text), layer.text[at:], True)
+    return Replaced(layer, "".join(out), here, left, right, plain)
+
+
+def _escapes(pattern: re.Pattern, decode, text: str) -> Iterator[tuple[int, int, str]]:
+    for m in pattern.finditer(text):
+        yield from decode(m)
 
 
 def _percent(m: re.Match) -> Iterator[tuple[int, int, str]]:
-    """Each character of a run of percent escapes with its own span; byte by byte if the run is no UTF-8."""
-    raw = unquote_to_bytes(m.group())
+    """Each character of a run of percent escapes with its own span; byte by byte if the run is no UTF-8.
+
+    An escaped percent sign in front of two digits is an escape again: such a chain of any depth is one byte.
+    """
+    units = [(u.start(), u.end()) for u in _UNIT.finditer(m.string, m.start(), m.end())]
+    raw = bytes(int(m.string[end - 2 : end], 16) for _, end in units)
     try:
         decoded = raw.decode()
     except UnicodeDecodeError:
-        yield from ((m.start() + 3 * i, m.start() + 3 * i + 3, chr(byte)) for i, byte in enumerate(raw))
+        yield from ((start, end, chr(byte)) for (start, end), byte in zip(units, raw, strict=True))
         return
-    at = m.start()
+    at = 0
     for c in decoded:
-        width = 3 * len(c.encode())
-        yield at, at + width, c
+        width = len(c.encode())
+        yield units[at][0], units[at + width - 1][1], c
         at += width
 
 
+def _percent_to_the_end(text: str) -> Iterator[tuple[int, int, str]]:
+    """Percent escapes decoded until none is left, also those that decoding makes; every reduction shortens the stack, so time is linear.
+
+    Characters beyond ASCII are left as bytes here; the layers before this one hold them decoded.
+    """
+    first = text.find("%")
+    stack: list[tuple[str, int, int]] = []
+    for i in range(first, len(text)):
+        stack.append((text[i], i, i + 1))
+        while len(stack) > 2 and stack[-3][0] == "%" and stack[-2][0] in _DIGITS and stack[-1][0] in _DIGITS:
+            (_, start, _), (a, _, _), (b, _, end) = stack[-3:]
+            stack[-3:] = [(chr(int(a + b, 16)), start, end)]
+    for c, start, end in stack:
+        if end - start > 1:
+            yield start, end, c
+
+
 def _unicode(m: re.Match) -> Iterator[tuple[int, int, str]]:
     units = b"".join(bytes.fromhex(x) for x in m.group().split("\\u")[1:])
     try:
@@ -194,7 +262,7 @@ def _payloads(text: str) -> Iterator[tuple[Sequence[int], bytes, int, int]]:
     """
 
     def places(m: re.Match) -> Sequence[int]:
-        return [i for i, c in enumerate(m.group(), m.start()) if not c.isspace()]
+        return array("q", (i for i, c in enumerate(m.group(), m.start()) if not c.isspace()))
 
     runs = [(range(m.start(), m.end()), m.group()) for m in _BASE64.finditer(text)]
     for at, run in runs + [(places(m), "".join(m.group().split())) for m in _BASE64_LINES.finditer(text)]:
@@ -217,29 +285,24 @@ def unwrap(layer: Layer) -> tuple[list[Layer], list[Span]]:
     """The layers directly inside a layer, and payloads too large to inflate."""
     inner, oversized = [], []
     for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode)):
-        if mark in layer.text and (decoded := _replaced(layer, pattern, decode)):
+        if mark in layer.text and (decoded := _replaced(layer, _escapes(pattern, decode, layer.text))):
+            if mark == "%" and _PERCENT.search(decoded.text):  # decoding made new escapes: all that follow at once
+                inner.append(_replaced(layer, _percent_to_the_end(layer.text)))
             inner.append(decoded)
     for at, payload, chars, size in _payloads(layer.text):
         found = _readable(payload)
         if found is not None:
-            text, utf8 = found
-            pieces, byte = [], 0
-            for i, c in enumerate(text):  # the group of characters that holds this character's bytes
-                width = len(c.encode()) if utf8 else 1
-                last = min(len(at), -(-(byte + width) // size) * chars) - 1
-                pieces.append((i, *layer.place(at[byte // size * chars], at[last] + 1), False))
-                byte += width
-            inner.append(Layer(text, pieces))
+            inner.append(Payload(layer, found[0], at, chars, size, found[1]))
         if found is None or not found[1]:
             for start in sorted({0, *(m.start() for m in _PACKED.finditer(payload))}):
                 raw = _inflate(payload[start:])
                 if raw is None:
                     continue
-                place = layer.place(at[start // size * chars], at[-1] + 1)
+                span = at[start // size * chars], at[-1] + 1
                 if not raw:
-                    oversized.append(("oversized", *place))
+                    oversized.append(("oversized", *layer.place(*span)))
                 elif (found_raw := _readable(raw)) is not None:
-                    inner.append(Layer(found_raw[0], [(0, *place, False)]))
+                    inner.append(Inflated(layer, found_raw[0], span))
     return inner, oversized
 
 
@@ -247,7 +310,7 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span], int]:
     """Secrets of the text itself, of the text and all layers (as spans of the text), and the number of layers entered."""
     base = scan(text)
     spans, seen, layers = set(base), {hashlib.sha256(text.encode()).digest()}, 0
-    work = deque([Layer(text, [(0, 0, len(text), True)])])
+    work = deque([Layer(text)])
     while work:
         inner, oversized = unwrap(work.popleft())
         spans.update(oversized)
