@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 from support import SF, given_documents
@@ -93,6 +96,51 @@ def test_fusion_equals_a_loop(spark):
     assert got == sorted(want)
 
 
+def test_fit_equals_a_loop(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    rows = [(i, "".join(rnd.choice(list("abcde 1é"), size=int(rnd.integers(0, 80)))), str(rnd.choice(["en", "EN-gb", "de", "fr_CA", " "]))) for i in range(90)]
+    rows += [(90, None, "de"), (91, "abcabc", None), (None, "abc", "de"), (92, "", "xx"), (0, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, language string").repartition(4)
+
+    def check(chosen):
+        languages, model = li.fit(df)
+        assert languages == ["de", "en", "fr", "xx"]
+        for name, logs in zip(languages, model):
+            own = Counter(b for i, text, label in rows for b in buckets((text or "").encode()) if chosen(i, label) == name)
+            counts = np.array([own.get(b, 0) + li.ADDED for b in range(li.BUCKETS)])
+            np.testing.assert_allclose(logs, np.log(counts / counts.sum()), rtol=1e-12)
+
+    def language(label):
+        return re.match("[^ _-]*", (label or "").strip()).group().lower()
+
+    check(lambda i, label: language(label) if i is not None else None)  # a document without id is not fitted
+    # a bound that bites: the documents of least hash, all rows of them
+    monkeypatch.setattr(li, "FIT_PER_LANGUAGE", 7)
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
+    hashes[None] = 42  # the hash of null: such a row takes a place, but is not fitted
+    held = {}
+    for name in ("de", "en", "fr", "xx"):
+        own = [i for i, _, label in rows if language(label) == name]
+        limit = min(1 << 40, 4 * 7 * (1 << 40) // len(own))
+        held[name] = set(sorted((i for i in own if hashes[i] < limit), key=hashes.get)[:7])
+    assert sum(map(len, held.values())) < 25
+    check(lambda i, label: language(label) if i is not None and i in held.get(language(label), ()) else None)
+
+
+def test_page_evidence_equals_a_loop(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    odd = [(-1, None, None), (-2, "", ""), (-3, "HTTP://A.Example.ORG:80/x", "<HTML class=a LANG='De-at'>x<script>var a</script >y</HTML>"), (-4, "no address", "<p>a<style>b</style>c")]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    got = {r.doc_id: (r.text, r.declared, r.suffix, r.host) for r in li.page_evidence(pages).collect()}
+    for r in pages.collect():
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", r.url or "")
+        host = host.group(1).lower() if host else None
+        suffix = re.search(r"\.([a-z]+)$", host or "")
+        lang = re.search(r"""<html[^>]*\slang=["']?([a-z]+)""", r.html or "", re.I)
+        text = None if r.html is None else re.sub(r"<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ", r.html, flags=re.I | re.S)
+        assert got[r.page_id] == (text, lang.group(1).lower() if lang else None, suffix.group(1) if suffix else None, host)
+
+
 def test_queries(spark):
     out = QUERIES["op5_language_id"](spark, SF).collect()
     assert sorted(r.doc_id for r in out) == sorted(i for i, _ in given_documents())

@@ -55,7 +55,7 @@ def normal(label: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each bucket in each, from (doc_id, text, language)."""
+    """Languages, and the log probability of each bucket in each, from (doc_id, text, language); rows without doc_id are not fitted."""
     rows = labelled.withColumn("language", normal(F.col("language"))).filter(F.col("language").isNotNull())
     counts = {r.language: r["count"] for r in rows.groupBy("language").count().collect()}  # one row a language
     languages = sorted(counts)
@@ -67,30 +67,48 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     place = F.row_number().over(Window.partitionBy("language").orderBy("hash", "doc_id"))
     chosen = hashed.withColumn("place", place).filter(F.col("place") <= FIT_PER_LANGUAGE)
     chosen = chosen.select("doc_id", "language").distinct()
-    number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(number), BUCKETS), dtype=np.int64)
+        counts: dict[str, np.ndarray] = {}
         for batch in (part for whole in batches for part in slices(whole)):
             data, offsets = utf8(batch.column(0))
-            of_row = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
+            of_row = np.array(batch.column(1).to_pylist(), dtype=object)
             for low, high in pieces(offsets):
                 bucket, row = trigrams(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                counts += np.bincount(of_row[low:high][row] * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
+                for name in set(of_row[low:high]):
+                    own = np.bincount(bucket[(of_row[low:high] == name)[row]], minlength=BUCKETS)
+                    counts[name] = counts[name] + own if name in counts else own
+        yield _vectors(counts)
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(part, np.int64) for part in parts.column("counts").to_pylist())
+        return pa.Table.from_batches([_vectors({parts.column("language")[0].as_py(): total})])
 
     sample = rows.join(F.broadcast(chosen), ["doc_id", "language"], "left_semi")  # at most FIT_PER_LANGUAGE ids a language
-    found = sample.select("text", "language").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # at most languages * BUCKETS
-    counts = np.full(len(languages) * BUCKETS, ADDED)
-    for r in found:
-        counts[r["at"]] += r["n"]
-    counts = counts.reshape(len(languages), BUCKETS)
+    kind = "language string, counts binary"
+    found = sample.select("text", "language").mapInArrow(count, kind).groupBy("language").applyInArrow(add, kind).collect()  # one row a language
+    of = {r["language"]: np.frombuffer(r["counts"], np.int64) for r in found}
+    counts = np.array([of.get(name, np.zeros(BUCKETS)) + ADDED for name in languages]).reshape(len(languages), BUCKETS)
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def _vectors(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(list(counts), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in counts.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["language", "counts"])
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    shifted = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return shifted / shifted.sum(axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
 def likelihoods(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """Adds n_grams and likelihood (log, one per language) to all columns but text."""
+    """Adds n_grams, likelihood (log, one per language) and by_text (the shares that these alone give) to all columns but text."""
     kept = [c for c in documents.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +121,42 @@ def likelihoods(documents: DataFrame, model: np.ndarray) -> DataFrame:
                 grams[low:high] = np.bincount(row, minlength=high - low)
                 for k, logs in enumerate(model):
                     sums[low:high, k] = np.bincount(row, weights=logs[bucket], minlength=high - low)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(model)), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(grams), values], names=[*kept, "n_grams", "likelihood"])
+            columns = [*(batch.column(c) for c in kept), pa.array(grams), _lists(sums), _lists(_softmax(TEMPER * sums))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_grams", "likelihood", "by_text"])
 
     types = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in kept)
-    return documents.mapInArrow(score, f"{types}, n_grams long, likelihood array<double>")
+    return documents.mapInArrow(score, f"{types}, n_grams long, likelihood array<double>, by_text array<double>")
+
+
+def _totals(rows: DataFrame, keys: list[str], values: str, docs: Column) -> DataFrame:
+    """(keys, docs, counts): documents and element sums of an array per group, added up before the exchange."""
+    each = rows.select(*keys, docs.alias("docs"), F.posexplode(values).alias("k", "value"))
+    sums = each.groupBy(*keys, "k").agg(F.sum("docs").alias("docs"), F.sum("value").alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("k", "value")))  # one element a language
+    return sums.groupBy(*keys).agg(F.max("docs").alias("docs"), F.transform(listed, lambda x: x["value"]).alias("counts"))
 
 
-def _softmax(logs: Column) -> Column:
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+def _fused(languages: list[str]):
+    """Posterior, best languages and fit from likelihoods, priors and what the declaration tells, one pass over each batch."""
+    names = pa.array(languages, pa.string())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, by_text, prior, given = (
+                np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, len(languages)) for c in ("likelihood", "by_text", "prior", "given")
+            )
+            if not batch.num_rows:
+                continue
+            fused = _softmax(TEMPER * logs + np.log(prior) + np.log(given))
+            grams, posterior = np.asarray(batch.column("n_grams")), fused.max(axis=1)
+            mean = np.where(grams > 0, logs.max(axis=1) / np.maximum(grams, 1) + np.log(BUCKETS), 0.0)
+            columns = [
+                batch.column("doc_id"), batch.column("row_key"), names.take(pa.array(fused.argmax(axis=1))), names.take(pa.array(by_text.argmax(axis=1))),
+                batch.column("declared"), pa.array(posterior), pa.array(mean), pa.array((posterior >= LEAST_POSTERIOR) & (mean > 0)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "lang", "text_lang", "declared", "posterior", "fit", "kept"])
 
-def _summed(values: str, n: int) -> Column:
-    return F.array(*[F.sum(F.col(values)[k]) for k in range(n)])
+    return run
 
 
 def identify(documents: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
@@ -128,50 +168,41 @@ def identify(documents: DataFrame, languages: list[str], model: np.ndarray) -> D
     wider level; equal likelihoods take the first language; repeated rows are judged alike; no rows give no rows.
     """
     n = len(languages)
-    names = F.array(*map(F.lit, languages))
     # an address or host that is missing falls into its level's own group
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.col("text").cast("string").alias("text"), F.col("declared").cast("string").alias("declared"),
         F.coalesce(F.col("suffix").cast("string"), F.lit("")).alias("suffix"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"),
     )
-    scored = likelihoods(rows, model).withColumn("by_text", _softmax(F.transform("likelihood", lambda x: x * TEMPER)))
-    scored = materialise(scored, "language-scores")
+    scored = materialise(likelihoods(rows, model), "language-scores")
 
     told = scored.filter("n_grams > 0")
-    by_host = materialise(told.groupBy("suffix", "host").agg(F.count("*").alias("docs"), _summed("by_text", n).alias("counts")), "language-hosts")
-    by_suffix = by_host.groupBy("suffix").agg(F.sum("docs").alias("suffix_docs"), _summed("counts", n).alias("suffix_counts"))
-    total = by_suffix.agg(F.sum("suffix_docs").alias("docs"), _summed("suffix_counts", n).alias("counts")).first()
+    by_host = materialise(_totals(told, ["suffix", "host"], "by_text", F.lit(1)), "language-hosts")
+    by_suffix = materialise(_totals(by_host, ["suffix"], "counts", F.col("docs")), "language-suffixes")
+    total = _totals(by_suffix, [], "counts", F.col("docs")).first()
     docs = float(total.docs or 0)
     overall = [((c or 0.0) + 1.0) / (docs + n) for c in (total.counts or [0.0] * n)]
 
     def smoothed(counts: Column, number: Column, wider: Column) -> Column:
         return F.zip_with(counts, wider, lambda c, w: (c + HOST_STRENGTH * w) / (number + HOST_STRENGTH))
 
-    suffixes = by_suffix.select("suffix", smoothed(F.col("suffix_counts"), F.col("suffix_docs"), F.array(*map(F.lit, overall))).alias("suffix_prior"))
+    suffixes = by_suffix.select("suffix", smoothed(F.col("counts"), F.col("docs"), F.array(*map(F.lit, overall))).alias("suffix_prior"))
     hosts = by_host.join(suffixes, "suffix").select("suffix", "host", smoothed(F.col("counts"), F.col("docs"), F.col("suffix_prior")).alias("host_prior"))
-    of_declared = told.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("declared_docs"), _summed("by_text", n).alias("declared_counts"))
+    of_declared = _totals(told.filter(F.col("declared").isNotNull()), ["declared"], "by_text", F.lit(1))
     declarations = of_declared.select(
         "declared",
         F.zip_with(
-            "declared_counts", F.array(*map(F.lit, [p * docs for p in overall])),
-            lambda c, of_language: (c + DECLARED_STRENGTH * F.col("declared_docs") / F.lit(max(docs, 1.0))) / (of_language + DECLARED_STRENGTH),
+            "counts", F.array(*map(F.lit, [p * docs for p in overall])),
+            lambda c, of_language: (c + DECLARED_STRENGTH * F.col("docs") / F.lit(max(docs, 1.0))) / (of_language + DECLARED_STRENGTH),
         ).alias("declared_given"),
     )
     # hosts and declarations are joined without a hint: broadcast if small at run time, else split where a host is hot
     joined = scored.join(hosts, ["suffix", "host"], "left").join(suffixes, "suffix", "left").join(declarations, "declared", "left")
     prior = F.coalesce("host_prior", "suffix_prior", F.array(*map(F.lit, overall)))
     given = F.coalesce("declared_given", F.array_repeat(F.lit(1.0), n))
-    evidence = F.zip_with(F.zip_with("likelihood", prior, lambda x, p: TEMPER * x + F.log(p)), given, lambda x, g: x + F.log(g))
-
-    def best(values: Column) -> Column:
-        return F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
-
-    fused = joined.withColumn("fused", _softmax(evidence))
-    mean = F.when(F.col("n_grams") > 0, F.array_max("likelihood") / F.col("n_grams") + F.lit(float(np.log(BUCKETS)))).otherwise(0.0)
-    return fused.select(
-        "doc_id", "row_key", best(F.col("fused")).alias("lang"), best(F.col("by_text")).alias("text_lang"), "declared",
-        F.array_max("fused").alias("posterior"), mean.alias("fit"), ((F.array_max("fused") >= LEAST_POSTERIOR) & (mean > 0)).alias("kept"),
-    )
+    evidence = joined.select("doc_id", "row_key", "declared", "n_grams", "likelihood", "by_text", prior.alias("prior"), given.alias("given"))
+    key_type = documents.schema["row_key"].dataType.simpleString()
+    kind = f"doc_id long, row_key {key_type}, lang string, text_lang string, declared string, posterior double, fit double, kept boolean"
+    return evidence.mapInArrow(_fused(languages), kind)
 
 
 def document_evidence(documents: DataFrame) -> DataFrame:
