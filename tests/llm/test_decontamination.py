@@ -138,3 +138,23 @@ def test_item_held_by_both_kinds_of_windows(spark):
 def test_query_on_given_texts(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert compare(given_documents(), items, QUERIES["op1_decontamination"](spark, SF).collect())
+
+
+def test_a_shared_prompt_makes_no_pairs(spark):
+    # every item and document opens with one prompt, which is less than half of an item; a tenth of the documents hold an item
+    rnd = random.Random(4)
+    prompt = "please read this question with care and then answer in full words"
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    items = [(i, prompt + " " + " ".join(rnd.choices(words, k=20))) for i in range(200)]
+    docs = [(i, items[i][1] if i % 10 == 0 else prompt + " " + " ".join(rnd.choices(words, k=20))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = documents(spark, docs)
+    rows = dc.find_held(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(0, 200, 10)} and all(r.held_share == 1.0 for r in rows)
+    own = dc.template_windows(dc._texts(bench, "item_id"), [8]).withColumnsRenamed({"row_id": "item_id", "row_key": "item_key", "position": "item_position", "begins": "item_begins", "ends": "item_ends", "slots": "item_slots"})
+    sizes = own.groupBy("item_id", "item_key").agg({"*": "count"}).selectExpr("item_id", "item_key", "`count(1)` div 2 as item_windows", "`count(1)` div 2 as item_plain_windows")
+    found = dc.template_windows(dc._texts(frame, "doc_id"), [8])
+    assert dc.candidate_pairs(found, own, sizes, 0.5).count() == 20
+    # where the prompt is most of the item, every pair is a hit and none is lost
+    short = spark.createDataFrame([(i, prompt + f" {words[i]}") for i in range(20)], "item_id long, text string")
+    assert dc.find_held(frame, short).count() == 20 * 200

@@ -10,6 +10,10 @@ nor on how many placeholders a window has, so every verbatim copy is found. A wi
 
 The benchmark's window hashes are the stated query set. They filter the documents' windows inside the scan, in blocks of at most
 ``FILTER_HASHES`` (a pass over the documents each), so only windows that match are shuffled.
+
+A document that holds a share of an item's windows holds one of any n - share * n + 1 of them. So documents and items first meet on those
+windows of the item alone that the fewest documents have; all windows are compared only for the pairs found that way. A prompt that
+many items and documents share makes no pairs unless it is that large a part of the item. No pair is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavetrail.llm.batches import LOWER, SYMBOLS, U64, Totals, mix, pieces, slices, utf8
@@ -210,6 +214,48 @@ def _texts(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(F.col(key).cast("long").alias("row_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join whose keys may be null on both sides."""
+    renamed = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns])
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    return left.join(renamed, condition, how).drop(*[f"r_{c}" for c in keys])
+
+
+_ITEM, _DOCUMENT, _WINDOW = ["item_id", "item_key"], ["row_id", "row_key"], ["window", "width", "plain"]
+
+
+def _prefix(units: DataFrame, order: list[str], needed: Column) -> DataFrame:
+    """Of an item's n units the first n - needed + 1: whoever holds `needed` of them holds one of these."""
+    item = Window.partitionBy(*_ITEM)
+    ranked = units.withColumn("_rank", F.row_number().over(item.orderBy(*order))).withColumn("_units", F.count(F.lit(1)).over(item))
+    return ranked.filter(F.col("_rank") <= F.col("_units") - F.greatest(needed, F.lit(1)) + 1).drop("_rank", "_units")
+
+
+def candidate_pairs(found: DataFrame, own: DataFrame, sizes: DataFrame, least_share: float) -> DataFrame:
+    """Pairs of document and item that may reach the share in template or plain windows: those that meet on a rare part of the item.
+
+    Windows are ordered by the number of places that documents have them at. A plain window is met by itself or by a template window that
+    stands for it, so it is as frequent as all of these together.
+    """
+    places = found.groupBy(*_WINDOW).agg(F.count(F.lit(1)).alias("places"))
+    weighed = own.drop("item_slots").join(places, _WINDOW, "left").fillna(0, ["places"])
+    weighed = _on(weighed, sizes, _ITEM)
+
+    def needed(windows: str) -> Column:
+        return F.ceil(F.col(windows) * least_share - 1e-9)
+
+    templates = _prefix(weighed.filter("NOT plain"), ["places", "item_position"], needed("item_windows")).select(*_ITEM, *_WINDOW)
+    start = F.explode(F.when(F.col("plain"), F.array("item_position")).otherwise(F.sequence(F.col("item_begins"), F.col("item_ends") - 1)))
+    met = weighed.select(*_ITEM, *_WINDOW, "places", "item_plain_windows", start.alias("start"))
+    # one row for each start of a plain window, at most WIDTH + 1 windows stand for it
+    starts = met.groupBy(*_ITEM, "start").agg(F.sum("places").alias("places"), F.max("item_plain_windows").alias("plain_windows"), F.collect_set(F.struct(*_WINDOW)).alias("windows"))
+    plain = _prefix(starts, ["places", "start"], needed("plain_windows")).select(*_ITEM, F.inline("windows"))
+    met = templates.unionByName(plain).distinct()
+    return found.select(*_DOCUMENT, *_WINDOW).join(met, _WINDOW).select(*_DOCUMENT, *_ITEM).distinct()
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, row_key, item_id, n_windows, share, changed_slots, exact) of documents that hold the template of a benchmark item.
 
@@ -240,6 +286,8 @@ def find_held(documents: DataFrame, benchmark: DataFrame, least_share: float = L
         F.col("row_id").alias("item_id"), F.col("row_key").alias("item_key"), F.col("position").alias("item_position"), "window", "width", "plain",
         F.col("begins").alias("item_begins"), F.col("ends").alias("item_ends"), F.col("slots").alias("item_slots"),
     )
+    own = materialise(own, "benchmark-own")
+    sizes = own.groupBy(*_ITEM).agg(F.count_if(~F.col("plain")).alias("item_windows"), F.count_if("plain").alias("item_plain_windows"))
     texts = _texts(documents, "doc_id")
     found, after = None, None
     hashes = own.select("window").distinct()
@@ -256,9 +304,10 @@ def find_held(documents: DataFrame, benchmark: DataFrame, least_share: float = L
     if found is None:
         found = spark.createDataFrame([], _ROW)
     found = materialise(found, "benchmark-windows")  # few rows, used for places and for slots
-    every = found.join(own, ["window", "width", "plain"])
+    pairs = materialise(candidate_pairs(found, own, sizes, least_share), "benchmark-pairs")
+    every = _on(_on(pairs, own, _ITEM), found.drop("begins", "ends"), [*_DOCUMENT, *_WINDOW])
     matched = every.filter("NOT plain").withColumn("shift", F.col("position") - F.col("item_position"))
-    pair = ["row_id", "row_key", "item_id", "item_key"]
+    pair = [*_DOCUMENT, *_ITEM]
     slots = matched.select(*pair, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
     slots = slots.select(*pair, "shift", F.col("slot.item_slots").alias("old"), F.col("slot.slots").alias("new")).distinct()
     by_value = slots.groupBy(*pair, "shift", "old").agg(F.count("*").alias("values"), F.max((F.col("old") != F.col("new")).cast("int")).alias("changed"))
@@ -277,17 +326,8 @@ def find_held(documents: DataFrame, benchmark: DataFrame, least_share: float = L
     by_template = kept.select(*pair, F.explode(F.sequence(F.col("item_begins"), F.col("item_ends") - 1)).alias("start"))
     starts = by_template.unionByName(every.filter("plain").select(*pair, F.col("item_begins").alias("start")))
     held = starts.groupBy(*pair).agg(F.count_distinct("start").alias("n_held"))
-    of_item = own.groupBy("item_id", "item_key")
-    sizes = of_item.agg(F.count_if(~F.col("plain")).alias("item_windows"), F.count_if("plain").alias("item_plain_windows"))
-
-    def on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-        renamed = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns])
-        condition = F.lit(True)
-        for c in keys:
-            condition = condition & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-        return left.join(renamed, condition, how).drop(*[f"r_{c}" for c in keys])
 
-    out = on(on(on(held, hits, pair, "left"), changed, pair, "left"), sizes, ["item_id", "item_key"])
+    out = _on(_on(_on(held, hits, pair, "left"), changed, pair, "left"), sizes, _ITEM)
     out = out.select(
         F.col("row_id").alias("doc_id"), "row_key", "item_id", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),
         F.coalesce(F.try_divide("n_windows", "item_windows"), F.lit(0.0)).alias("share"), F.coalesce("changed_slots", F.lit(0)).cast("long").alias("changed_slots"),
