@@ -65,3 +65,44 @@ def test_schedule_is_even(spark):
         assert sum(s.stop - s.start for s in own) == words
     for n in (100, 400, 800):  # every beginning of the mix is near the shares
         assert abs(sum(s.key == "a" for s in slots[:n]) / n - 900 / 1208) < 0.02
+
+
+def test_sequence_is_the_mix(spark):
+    """The pieces fill the slots of the schedule without a gap or an overlap, add up to what is taken, and every beginning is near the weights."""
+    rows = [(i, " ".join([f"w{i}"] * (1 + i * 7 % 23)), "abc"[i % 3], 0) for i in range(900)] + [(5000, "z " * 300, "a", 0), (5001, None, "a", 0), (None, "x y", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position int").repartition(4)
+    weights, block = mixing.repeating_weights(df), 16
+    pieces = mixing.mixed_sequence(df, weights, block=block).orderBy("position", "start_word").collect()
+    taken, first, last, slots = defaultdict(int), {}, {}, defaultdict(list)
+    for p in pieces:
+        n = p.last_word - p.first_word + 1
+        assert n > 0
+        taken[p.doc_id] += n
+        first.setdefault(p.doc_id, p.position)
+        last[p.doc_id] = p.position
+        slots[p.position].append(p)
+    out = mixing.mix(df, weights, block=block).collect()
+    for r in out:
+        assert (taken.get(r.doc_id, 0), first.get(r.doc_id), last.get(r.doc_id)) == (r.taken, r.first_position, r.last_position)
+    totals = defaultdict(int)
+    for held in slots.values():
+        assert len({p.source_key for p in held}) == 1
+        at = 0
+        for p in held:
+            assert p.start_word == at
+            at += p.last_word - p.first_word + 1
+        assert at <= block
+        totals[held[0].source_key] += 1
+    seen = defaultdict(int)
+    for n, position in enumerate(sorted(slots), 1):
+        seen[slots[position][0].source_key] += 1
+        assert all(abs(seen[key] - n * share / len(slots)) < 6 for key, share in totals.items())
+
+
+def test_words_of_a_document_come_in_order(spark):
+    """Within one pass over a stream the words of a document stand in the mix in their own order, each once."""
+    df = spark.createDataFrame([(1, "w " * 100, "a"), (2, "w " * 37, "a"), (3, "w " * 50, "b")], "doc_id long, text string, source string")
+    pieces = mixing.mixed_sequence(df, mixing.repeating_weights(df), block=8).orderBy("position", "start_word").collect()
+    for doc, size in ((1, 100), (2, 37), (3, 50)):
+        words = [w for p in pieces if p.doc_id == doc for w in range(p.first_word, p.last_word + 1)]
+        assert words[:size] == list(range(min(size, len(words)))) and words[size:] == list(range(len(words[size:])))

@@ -3,7 +3,8 @@
 Every source is a stream of its documents in hashed order, cut into blocks of equally many words. The points frac(i * golden ratio),
 mapped through the cumulative target shares, say which source slot i takes from, so every stretch of the mix is close to the target
 weights. The slots of a source are ranked, and rank r takes block r of its stream (again from the start once the stream is
-used up). A source stops at its target: its last slot is cut.
+used up). A source stops at its target: its last slot is cut. `mixed_sequence` joins slots and streams: it says which words of which document
+stand at which position of the mix, and what the mix takes of a document is the sum of its pieces there.
 
 Running totals and ranks are taken in two levels (hashed buckets of a stream, stretches of slots), so no source is ordered by one
 task, however large it is. The same input always gives the same mix.
@@ -71,8 +72,8 @@ def streams(documents: DataFrame) -> DataFrame:
 def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """(position, key, rank, block, start, stop) of every slot, from (key, source_size, target).
 
-    start and stop are words of the source's stream. Positions order the mix; slots that the points leave out at the end of the sequence
-    follow after it.
+    start and stop are words of the source's stream. Positions order the mix and no two slots share one; slots that the points leave out
+    follow after all points, and points that a used up source would get are left out, so positions have gaps.
     """
     size, words = F.col("source_size"), F.floor("target")
     plan = (
@@ -85,7 +86,7 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS)
     plan = plan.withColumn("upto", F.sum("slots").over(Window.orderBy("key")))  # one row per source
     total = plan.agg(F.max("upto")).first()[0] or 0
     intervals = plan.select(
-        "key", "source_size", "blocks", "passes", "rest", "slots",
+        "key", "source_size", "blocks", "passes", "rest", "slots", (F.col("upto") - F.col("slots")).alias("before"),
         ((F.col("upto") - F.col("slots")) / F.lit(float(max(total, 1)))).alias("low"), (F.col("upto") / F.lit(float(max(total, 1)))).alias("high"),
     )
     cells = intervals.select("key", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
@@ -103,8 +104,8 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS)
         intervals.join(drawn_of, "key", "left")
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .filter(F.col("drawn") < F.col("slots"))
-        .select("key", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("rank"))
-        .select((F.lit(total) + F.col("rank")).alias("position"), "key", "rank")
+        .select("key", "before", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("rank"))
+        .select((F.lit(total) + F.col("before") + F.col("rank")).alias("position"), "key", "rank")
     )
     start = F.col("block") * block
     stop = F.least(start + block, F.when(F.floor(F.col("rank") / F.col("blocks")) < F.col("passes"), F.col("source_size")).otherwise(F.col("rest")))
@@ -117,38 +118,65 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK_WORDS)
     )
 
 
-def mix(documents: DataFrame, weights: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, row_key, source_key, size, source_size, target, taken): the words that the mix takes of every document.
-
-    documents: doc_id, source, text; other columns are ignored. weights: key (see `source_key`) and weight, one row per source; a
-    source without a weight has a target of 0. Null text has size 0, null source is a source, repeated rows are documents of
-    their own, no rows give no rows.
-    """
-    spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), source_key(F.col("source")).alias("key"), count_words(F.col("text")).alias("size"))
+def _placed(documents: DataFrame, weights: DataFrame, budget: float, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """The documents in their streams, and the sources with their targets, both written."""
+    text = F.col("text").cast("string")
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), source_key(F.col("source")).alias("key"), count_words(text).alias("size"))
     sized = materialise(sized, "mixing-sizes")
     totals = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     totals = totals.join(weights.select("key", F.col("weight").cast("double").alias("weight")), "key", "left").fillna(0.0, ["weight"])
     targets = materialise(source_targets(materialise(totals, "mixing-sources"), budget, repeats), "mixing-targets")
-    placed = materialise(streams(sized), "mixing-streams")
-    slots = schedule(spark, targets, block).select("key", "block", F.col("start").alias("slot_start"), F.col("stop").alias("slot_stop"))
+    return materialise(streams(sized), "mixing-streams"), targets
+
 
+def _sequence(placed: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """(position, start_word, doc_id, row_key, key, start, first_word, last_word): the pieces of documents that the slots hold."""
+    slots = schedule(placed.sparkSession, targets, block).select("position", "key", "block", F.col("start").alias("slot_start"), F.col("stop").alias("slot_stop"))
     end = F.col("start") + F.col("size")
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     pieces = placed.filter(F.col("size") > 0).withColumn("end", end).withColumn("block", F.explode(touched))
-    overlap = F.greatest(F.least("end", "slot_stop") - F.greatest("start", "slot_start"), F.lit(0))
-    taken = (
+    low, high = F.greatest("start", "slot_start"), F.least("end", "slot_stop")
+    return (
         pieces.join(slots, ["key", "block"])
-        .groupBy("key", "start")  # one document, since its size is not 0
-        .agg(F.sum(overlap).alias("taken"))
-        .withColumnRenamed("start", "taken_start")
-        .withColumnRenamed("key", "taken_key")
+        .filter(low < high)
+        .select("position", (low - F.col("slot_start")).alias("start_word"), "doc_id", "row_key", "key", "start", (low - F.col("start")).alias("first_word"), (high - F.col("start") - 1).alias("last_word"))
     )
+
+
+def mixed_sequence(documents: DataFrame, weights: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
+    """(position, start_word, doc_id, row_key, source_key, first_word, last_word): the mix itself, in order of (position, start_word).
+
+    Words first_word to last_word of a document (from 0) stand in the slot of that position from its word start_word on. Slots are full
+    but for the last block of a stream and the last slot before a target. Input and odd rows as in `mix`; nothing is ordered as a whole.
+    """
+    placed, targets = _placed(documents, weights, budget, repeats)
+    return _sequence(placed, targets, block).drop("start").withColumnRenamed("key", "source_key")
+
+
+def mix(documents: DataFrame, weights: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, row_key, source_key, size, source_size, target, taken, first_position, last_position): each document's part of the mix.
+
+    documents: doc_id, source, text; other columns are ignored. weights: key (see `source_key`) and weight, one row per source; a
+    source without a weight has a target of 0. Positions are those of the first and last slot with a piece of the document, null if
+    nothing is taken. Null text has size 0, null source is a source, repeated rows are documents of their own, no rows give no rows.
+    """
+    placed, targets = _placed(documents, weights, budget, repeats)
+    taken = (
+        _sequence(placed, targets, block)
+        .groupBy(F.col("key").alias("taken_key"), F.col("start").alias("taken_start"))  # one document, since its size is not 0
+        .agg(
+            F.sum(F.col("last_word") - F.col("first_word") + 1).alias("taken"),
+            F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+        )
+    )
     return (
         placed.join(taken, (F.col("size") > 0) & (F.col("key") == F.col("taken_key")) & (F.col("start") == F.col("taken_start")), "left")
         .join(targets.select("key", "source_size", "target"), "key")
-        .select("doc_id", "row_key", F.col("key").alias("source_key"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    )
+        .select(
+            "doc_id", "row_key", F.col("key").alias("source_key"), "size", "source_size", "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position", "last_position",
+        )
+    )
 
 
 def repeating_weights(documents: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
@@ -179,11 +207,36 @@ WITH d AS (
 ), p AS (
     SELECT d.*, coalesce(sum(size) OVER (PARTITION BY key ORDER BY substr(md5('{SEED}:' || doc_id), 1, {BUCKET_DIGITS}), md5('{SEED}:' || doc_id), doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
-)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
+), q AS (
+    SELECT key, source_size AS n, floor(target)::BIGINT // greatest(source_size, 1) AS passes, floor(target)::BIGINT % greatest(source_size, 1) AS rest,
+        (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
+    FROM t WHERE source_size > 0 AND floor(target) > 0
+), i AS (
+    SELECT key, blocks, slots, CAST(sum(slots) OVER (ORDER BY key) AS BIGINT) AS upto, CAST(sum(slots) OVER () AS BIGINT) AS total
+    FROM (SELECT *, passes * blocks + (rest + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS slots FROM q)
+), x AS (
+    SELECT position, y - floor(y) AS x
+    FROM (SELECT range AS position, CAST(range + 1 AS DOUBLE) * CAST({GOLDEN} AS DOUBLE) AS y FROM range((SELECT coalesce(max(total), 0) FROM i)))
+), r AS (
+    SELECT key, position, row_number() OVER (PARTITION BY key ORDER BY position) - 1 AS rank
+    FROM x JOIN i ON CAST(upto - slots AS DOUBLE) / CAST(total AS DOUBLE) <= x AND x < CAST(upto AS DOUBLE) / CAST(total AS DOUBLE)
+), z AS (
+    SELECT key, position, rank FROM r
+    UNION ALL
+    SELECT key, total + upto - slots + rank, rank
+    FROM (SELECT *, unnest(range(drawn, slots)) AS rank FROM i JOIN (SELECT i.key, count(r.key) AS drawn FROM i LEFT JOIN r USING (key) GROUP BY i.key) USING (key))
+), f AS (
+    SELECT p.*, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
         size * (floor(target)::BIGINT // greatest(source_size, 1))
-        + greatest(0, least(start + size, floor(target)::BIGINT % greatest(source_size, 1)) - start) END AS BIGINT) AS taken
-FROM p JOIN t USING (key)
+        + greatest(0, least(start + size, floor(target)::BIGINT % greatest(source_size, 1)) - start) END AS BIGINT) AS taken,
+        start // {BLOCK_WORDS} AS first_rank,
+        CASE WHEN rest > start THEN passes * blocks + (least(start + size, rest) - 1) // {BLOCK_WORDS}
+            ELSE (passes - 1) * blocks + (start + size - 1) // {BLOCK_WORDS} END AS last_rank
+    FROM p JOIN t USING (key) LEFT JOIN q USING (key)
+)
+SELECT doc_id, size, source_size, target, taken,
+    CASE WHEN taken > 0 THEN a.position END AS first_position, CASE WHEN taken > 0 THEN b.position END AS last_position
+FROM f LEFT JOIN z a ON a.key = f.key AND a.rank = first_rank LEFT JOIN z b ON b.key = f.key AND b.rank = last_rank
 """
 
 
