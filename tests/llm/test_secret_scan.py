@@ -7,6 +7,7 @@ import tracemalloc
 import urllib.parse
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -134,9 +135,48 @@ def by_decoding(text):
 
 def test_cycles_and_bombs_end(monkeypatch):
     assert ss.find_secrets("%25" * 50 + "%2525")[2] > 0
-    monkeypatch.setattr(ss, "INFLATE_LIMIT", 1000)
+    monkeypatch.setattr(ss, "PIECE", 1000)
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
-    assert ss.find_secrets("x " + bomb)[1] == [("oversized", 2, 2 + len(bomb))]
+    # what is beyond the first piece is scanned too, and the run that the pieces cut is reported
+    assert ss.find_secrets("x " + bomb)[1] == [("hex", 2, 2 + len(bomb)), ("oversized", 2, 2 + len(bomb))]
+
+
+@pytest.mark.parametrize("secret", [f"see {KEY} there", "x secret: abcdefgh1234 y", "h " + "0123456789abcdef" * 2 + " i"])
+def test_secrets_on_the_cuts_of_pieces(secret, monkeypatch):
+    monkeypatch.setattr(ss, "PIECE", 1000)
+    monkeypatch.setattr(ss, "OVERLAP", 100)
+    kind = ss.scan(secret)[0][0]
+    for at in range(850, 1060):
+        for raw in (secret, base64.b64encode(secret.encode()).decode(), base64.b64encode(zlib.compress(secret.encode())).decode()):
+            run = base64.b64encode(zlib.compress((". " * 1000)[:at].encode() + raw.encode() + b" ." * 2000)).decode()
+            assert ss.find_secrets(f"ab: {run} c")[1] == [(kind, 4, 4 + len(run))]
+
+
+def test_pieces_are_the_payload(monkeypatch):
+    monkeypatch.setattr(ss, "PIECE", 64)
+    monkeypatch.setattr(ss, "OVERLAP", 8)
+    rng = random.Random(5)
+    for n in (0, 1, 63, 64, 65, 128, 500, 5000):
+        raw = "".join(rng.choice("ab cd. \n") for _ in range(n)).encode()
+        pieces = list(ss._inflate(memoryview(zlib.compress(raw))))
+        whole = b""
+        for piece, _ in pieces:
+            assert len(piece) <= 64 or piece is pieces[-1][0]
+            assert not whole or any(whole.endswith(piece[:k]) and raw.startswith(whole + piece[k:]) for k in range(8, len(piece)))
+            k = next((k for k in range(len(piece), -1, -1) if whole.endswith(piece[:k]) and raw.startswith(whole + piece[k:])), None)
+            whole += piece[k:]
+        assert whole == raw
+    # up to the first fault
+    broken = bytearray(zlib.compress(bytes(rng.randrange(97, 123) for _ in range(4000)), 1))
+    broken[1500:] = b"\xff" * (len(broken) - 1500)
+    assert 100 < sum(len(p) for p, _ in ss._inflate(memoryview(bytes(broken))))
+
+
+def test_a_payload_is_scanned_to_its_end():
+    deep = zlib.compress(b"token = abcdefgh99 ", 9)
+    raw = b". " * (40 << 19) + base64.b64encode(deep) + b" ." * (5 << 19) + KEY.encode()
+    run = base64.b64encode(zlib.compress(raw)).decode()
+    assert ss.find_secrets("ab " + run)[1] == [("assign", 3, 3 + len(run)), ("access", 3, 3 + len(run))]
 
 
 def test_rows(spark):

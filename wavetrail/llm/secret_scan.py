@@ -10,8 +10,10 @@ secret is reported as a span of the text itself and memory follows the text by a
 An escape that escapes an escape (``%2541``) is decoded in one step however deep the chain is, and what decoding makes anew is followed
 to its end in one pass: a secret holds no percent sign, so none is lost between the steps.
 
-One text is handled by one task, in a few passes; nothing is shuffled. Inflating stops at ``INFLATE_LIMIT`` bytes per layer; a
-payload beyond it is not scanned but reported as kind ``oversized``, so nothing is dropped unseen.
+One text is handled by one task, in a few passes; nothing is shuffled. A payload is inflated to its end, however large, in pieces of
+``PIECE`` bytes: one piece and what it holds are scanned at a time. A piece begins with the encoded run that the one before it breaks off
+in. Only a run of more than half a piece inside an inflated payload is cut: its parts are scanned, and as something compressed may go on
+across the cut, the place is reported as kind ``oversized`` too, so nothing is dropped unseen.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,8 @@ from wavetrail.llm.registry import query, table
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "oversized")
-INFLATE_LIMIT = 64 << 20
+#: Bytes inflated at a time, and how many of them the next piece has again at least (a secret with its name fits).
+PIECE, OVERLAP = 16 << 20, 1 << 16
 #: What stands for a secret that was blanked.
 BLANK = "[secret]"
 #: Shortest run that is tried as base64 or hex.
@@ -60,6 +64,8 @@ _HEX_LINES = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{%d,}+(?:[ \t]*+\r?\n[ \
 # what every secret has, plain or encoded; unreadable layers without it are not entered
 _WORTH = re.compile(r"[A-Za-z0-9+/_.=%\\-]{8,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_IN_RUN = np.zeros(256, dtype=bool)
+_IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-%\\\r\n")] = True
 _ODD = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 
 Span = tuple[str, int, int]
@@ -237,22 +243,42 @@ def _readable(payload: bytes) -> tuple[str, bool] | None:
     return (text, False) if _WORTH.search(text) else None
 
 
-def _inflate(payload: bytes) -> bytes | None:
-    """Inflated bytes, up to the first fault; b"" for a payload beyond the limit, None for one that is not compressed."""
+def _next_start(piece: bytes) -> tuple[int, bool]:
+    """Where the next piece starts in this one, and whether that cuts an encoded run; it is never in the first half."""
+    outside = ~_IN_RUN[np.frombuffer(piece, dtype=np.uint8)]
+    run = len(piece) - int(outside[::-1].argmax()) if outside.any() else 0
+    overlap = len(piece) - min(OVERLAP, len(piece) // 2)
+    return (overlap, True) if run < len(piece) // 2 else (min(run, overlap), False)
+
+
+def _inflate(payload: memoryview) -> Iterator[tuple[bytes, bool]]:
+    """Inflated bytes up to the first fault, piece by piece, each with whether its end cuts an encoded run; none if not compressed."""
     if payload[:2] != b"\x1f\x8b" and not (payload[:1] == b"\x78" and len(payload) > 2 and (payload[0] << 8 | payload[1]) % 31 == 0):
-        return None
-    machine, out, left = zlib.decompressobj(47), [], INFLATE_LIMIT  # zlib or gzip
+        return
+    machine, held, fresh = zlib.decompressobj(47), bytearray(), False  # zlib or gzip
     try:
         for at in range(0, len(payload), 256):
-            out.append(machine.decompress(payload[at : at + 256], left))
-            left -= len(out[-1])
-            if machine.unconsumed_tail or left <= 0:
-                return b""
+            feed = bytes(payload[at : at + 256])
+            while feed and not machine.eof:
+                part = machine.decompress(feed, PIECE - len(held))
+                held += part
+                fresh |= bool(part)
+                feed = machine.unconsumed_tail
+                if len(held) >= PIECE:
+                    piece = bytes(held)
+                    start, cut = _next_start(piece)
+                    yield piece, cut
+                    held, fresh = bytearray(piece[start:]), False
             if machine.eof:
                 break
+        else:
+            tail = machine.flush()
+            held += tail
+            fresh |= bool(tail)
     except zlib.error:
         pass
-    return b"".join(out) or None
+    if fresh:
+        yield bytes(held), False
 
 
 def _payloads(text: str) -> Iterator[tuple[Sequence[int], bytes, int, int]]:
@@ -281,9 +307,19 @@ def _payloads(text: str) -> Iterator[tuple[Sequence[int], bytes, int, int]]:
             yield at[skip:], bytes.fromhex(part[: len(part) // 2 * 2]), 2, 1
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], list[Span]]:
-    """The layers directly inside a layer, and payloads too large to inflate."""
-    inner, oversized = [], []
+Pieces = Iterator[tuple[Layer | None, Span | None]]
+
+
+def _pieces(layer: Layer, span: tuple[int, int], inflated: Iterable[tuple[bytes, bool]]) -> Pieces:
+    """A layer for each readable piece, and a span of the text where a piece cuts a run."""
+    for raw, cut in inflated:
+        found = _readable(raw)
+        yield found and Inflated(layer, found[0], span), ("oversized", *layer.place(*span)) if cut else None
+
+
+def unwrap(layer: Layer) -> tuple[list[Layer], list[Pieces]]:
+    """The layers directly inside a layer, and payloads that inflate to more than one piece."""
+    inner, large = [], []
     for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode)):
         if mark in layer.text and (decoded := _replaced(layer, _escapes(pattern, decode, layer.text))):
             if mark == "%" and _PERCENT.search(decoded.text):  # decoding made new escapes: all that follow at once
@@ -295,25 +331,34 @@ def unwrap(layer: Layer) -> tuple[list[Layer], list[Span]]:
             inner.append(Payload(layer, found[0], at, chars, size, found[1]))
         if found is None or not found[1]:
             for start in sorted({0, *(m.start() for m in _PACKED.finditer(payload))}):
-                raw = _inflate(payload[start:])
-                if raw is None:
+                inflated = _inflate(memoryview(payload)[start:])
+                first = next(inflated, None)
+                if first is None:
                     continue
                 span = at[start // size * chars], at[-1] + 1
-                if not raw:
-                    oversized.append(("oversized", *layer.place(*span)))
-                elif (found_raw := _readable(raw)) is not None:
+                if len(first[0]) >= PIECE:
+                    large.append(_pieces(layer, span, chain([first], inflated)))
+                elif (found_raw := _readable(first[0])) is not None:
                     inner.append(Inflated(layer, found_raw[0], span))
-    return inner, oversized
+    return inner, large
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span], int]:
     """Secrets of the text itself, of the text and all layers (as spans of the text), and the number of layers entered."""
     base = scan(text)
     spans, seen, layers = set(base), {hashlib.sha256(text.encode()).digest()}, 0
-    work = deque([Layer(text)])
-    while work:
-        inner, oversized = unwrap(work.popleft())
-        spans.update(oversized)
+    work, waiting = deque([Layer(text)]), []
+    while work or waiting:
+        if work:
+            inner, large = unwrap(work.popleft())
+            waiting += large
+        else:  # the next piece only when all that the last one held is done
+            found = next(waiting[-1], None)
+            if found is None:
+                waiting.pop()
+                continue
+            inner = [found[0]] if found[0] else []
+            spans.update([found[1]] if found[1] else [])
         for layer in inner:
             # the same content elsewhere in the text is another place, so the place counts for payload layers
             place = layer.place(0, len(layer.text))
