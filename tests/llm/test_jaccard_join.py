@@ -122,3 +122,44 @@ def test_components(spark):
 def test_empty_table_and_query(spark):
     assert jj.join_similar(documents(spark, [(1, "x")]).limit(0)).count() == 0
     assert got(QUERIES["op4_jaccard_join"](spark, SF)) == brute(given_documents())
+
+
+def test_a_common_passage_ties_no_bundles_and_blocks_are_not_copied(spark):
+    rnd = random.Random(9)
+    passage = " ".join(f"common{i}" for i in range(14))
+    rows = []
+    for f in range(40):
+        base = [f"w{f}x{i}" for i in range(60)]
+        for k in range(3):
+            text = list(base)
+            text[rnd.randrange(60)] = f"edit{f}x{k}"
+            rows.append((3 * f + k, " ".join([*text, passage])))
+    docs = documents(spark, rows).selectExpr("doc_id", "xxhash64(text) row_key", "text")
+    nodes = jj.survey(docs).selectExpr("node", "size AS n", "doc_id AS chosen")
+    sets = jj.member_sets(docs.join(nodes.selectExpr("chosen AS doc_id", "node"), "doc_id").select("text", "node"))
+    shared = jj.shared_sets(sets, nodes)
+    sizes = [r["count"] for r in jj.bundles(shared).groupBy("component").count().collect()]
+    assert sizes == [3] * 40
+    stored = spark.createDataFrame([], "bundle long, block long, nodes binary, sizes binary, ends binary, numbers binary")
+    plan = jj.links_across(stored)._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    import time
+    from pathlib import Path
+
+    from wavetrail.llm.work import CLEANUP, materialise
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(str(d)) for d in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*")}
+    before = files()
+    out = materialise(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "released")
+    assert spark.conf.get(CLEANUP) == "false"
+    for _ in range(50):
+        left = {f for f in files() - before if f.stat().st_size}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7

@@ -5,24 +5,25 @@ Documents are sets of distinct word shingles; equal sets are one node. Two steps
 * Of two linked sets, at most n - ceil(t * n) shingles of one are not in the other. Of each node's shingles the first ``REACH``, in the
   order of their hashes, are looked up in those of other nodes. Each side's extra shingles may come first, so both sides decide how many
   shared ones are among the first of both (`demand`); nodes that find fewer are linked with nothing.
-* The shingles of the nodes left have one global order, from rare to frequent, by counts over all these nodes (in a sketch of fixed
-  size: the order only has to be the same everywhere, so an estimate costs work, never a link). Linked nodes share a shingle among
-  the first n - ceil(t * n) + 1 of each. Nodes that share such a shingle are tied together into bundles, most of which are small.
+* The shingles of the nodes left have one global order, from rare to frequent, by exact counts over all these nodes. Linked nodes share a
+  shingle among the first n - ceil(t * n) + 1 of each. Shingles that one node alone has come first and meet nothing: they are only
+  counted, and a node with too many of them goes. Nodes that share such a shingle are tied together into bundles, most of which are small.
 
 Inside a bundle the global order is cut into fragments. In each fragment the overlaps of all pairs are counted separately, as one
 product of matrices, and summed per pair; between fragments, pairs that can no longer reach their threshold are struck out. Bundles
-beyond ``BLOCK`` nodes are dealt to several tasks as pairs of blocks. Only a spanning forest of the links and the number of links
-leave a task, never all pairs.
+beyond ``BLOCK`` nodes (or ``BLOCK_BYTES``) are cut into blocks, stored once, and every two blocks of a bundle meet in a product of the
+table of blocks with itself, which reads it again instead of shuffling a copy for each pair. Only a spanning forest of the links and
+the number of links leave a task, never all pairs.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavetrail.llm.batches import LOWER, U64, Totals, mix, pieces, slices, utf8, word_hashes, words
@@ -32,14 +33,15 @@ from wavetrail.llm.work import materialise
 
 #: Words of a shingle, and the least likeness in hundredths.
 WORDS, PERCENT = 5, 80
-#: Cells of the sketch, in parts that are summed apart.
-CELL_BITS, PART_BITS = 22, 15
 #: Hundredths of a node's shingles, by hash, that are looked up in other nodes.
 REACH = 30
 #: Up to this size the demand is taken over all partners; from 80 on the set's own side decides: it has at most n / 10 + 2, partners n / 8.
 EVERY_SIZE = 130
-#: Nodes of a bundle that one task compares, and shingles of a fragment.
-BLOCK, FRAGMENT = 1024, 4096
+#: Nodes and bytes of a block (a larger set is taken alone), and shingles of a fragment.
+BLOCK, BLOCK_BYTES, FRAGMENT = 1024, 8 << 20, 4096
+#: Pairs of blocks that are handed to Python at once.
+PAIRS = 2
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +79,6 @@ def nodes_of(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, mix(mix(one) + mix(two + size.astype(U64))).view(np.int64)
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> U64(64 - CELL_BITS)).astype(np.int64)
-
-
 def survey(documents: DataFrame) -> DataFrame:
     """(doc_id, row_key, size, node) of every document."""
 
@@ -165,92 +163,49 @@ def candidates(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(counts, "node").filter(F.col("found") >= least).drop("found")
 
 
-def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For every cell of the sketch, the binary logarithm of its count over all sets (one byte each)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        for batch in batches:
-            for packed in batch.column(0):
-                np.add.at(counts, _cells(np.frombuffer(packed.as_buffer(), dtype=U64)), 1)
-        parts = [p for p in range(1 << (CELL_BITS - PART_BITS)) if counts[p << PART_BITS : (p + 1) << PART_BITS].any()]
-        packed = [zlib.compress(counts[p << PART_BITS : (p + 1) << PART_BITS].tobytes(), 1) for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
-                sums[part] = sums[part] + own if part in sums else own
-        found = [np.frexp(c.astype(np.float64))[1].astype(np.uint8).tobytes() for c in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(found, pa.binary())], names=["part", "counts"])
-
-    parts = 1 << (CELL_BITS - PART_BITS)
-    rows = sets.select("shingles").mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(total, "part int, counts binary").collect()  # 1 << CELL_BITS bytes
-    classes = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-    for r in rows:
-        classes[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["counts"], dtype=np.uint8)
-    return classes
-
-
-def ordered(rows: np.ndarray, grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Positions of the shingles by row and global order: rare classes first, then by hash."""
-    return np.lexsort((grams, classes[_cells(grams)], rows))
-
+def shared_sets(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, n, shingles): of each node that may still be linked, the shingles that other nodes have too, in the global order.
 
-def prefix_size(size: np.ndarray) -> np.ndarray:
-    return size - (PERCENT * size + 99) // 100 + (size > 0)
-
-
-def postings(sets: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(key, node): nodes that share a key share a prefix shingle of the global order.
-
-    Nodes that meet inside a batch are tied to the least of them under a key of their own; only that one goes on under the shingle.
+    A shingle is one number of its frequency class and its hash, so numbers of rare shingles come first. Shingles of one node are not
+    listed: n - size(shingles) says how many there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "shingles")):
             size = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")], dtype=np.int64)
-            rows = np.repeat(np.arange(batch.num_rows), size)
-            grams = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=U64)
-            node = np.asarray(batch.column("node"))
-            order = ordered(rows, grams, classes)
-            rows, grams = rows[order], grams[order]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            chosen = rank < prefix_size(size)[rows]
-            # a cell counted once holds a shingle of one node only
-            chosen &= classes[_cells(grams)] > 1
-            key, of = grams[chosen].view(np.int64), node[rows[chosen]]
-            order = np.lexsort((of, key))
-            key, of = key[order], of[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-            key, of = key[new], of[new]
-            head = np.ones(len(key), dtype=bool)
-            head[1:] = key[1:] != key[:-1]
-            leader = of[head][np.cumsum(head) - 1]
-            ties = np.unique(np.stack([leader[~head], of[~head]], axis=1), axis=0) if (~head).any() else np.zeros((0, 2), np.int64)
-            own = mix(ties[:, 0].astype(U64) ^ U64(0x2545F4914F6CDD1D)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[head], own, own])), pa.array(np.concatenate([of[head], ties[:, 0], ties[:, 1]]))], names=["key", "node"])
+            grams = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(np.asarray(batch.column("node")), size))], names=["gram", "node"])
+
+    times = F.count("*").over(Window.partitionBy("gram"))
+    rows = sets.mapInArrow(run, "gram long, node long").withColumn("times", times).filter("times > 1")
+    number = F.shiftleft(F.floor(F.log2("times")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned("gram", 7))
+    # a node may come twice
+    listed = rows.select("node", number.alias("number")).groupBy("node").agg(F.array_sort(F.collect_set("number")).alias("shingles"))
+    return listed.join(sizes.select("node", "n"), "node").filter(F.expr("n - size(shingles)") < _prefix()).select("node", "n", "shingles")
 
-    return sets.mapInArrow(run, "key long, node long")
+
+def _prefix() -> Column:
+    return F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
 
 
 def bundles(found: DataFrame) -> DataFrame:
-    """(node, bundle): nodes tied by shared keys."""
+    """(node, component): nodes tied by a shingle among the first of both; found: node, n, shingles (see `shared_sets`)."""
+    first = F.slice("shingles", 1, (_prefix() - (F.col("n") - F.size("shingles"))).cast("int"))
+    keys = found.select("node", F.explode(first).alias("key"))
     least = F.min("node").over(Window.partitionBy("key"))
-    return components(found.withColumn("least", least).filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    return components(keys.withColumn("least", least).filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
 
 
-def compare(own: list[np.ndarray], other: list[np.ndarray] | None) -> np.ndarray:
+def compare(own: list[np.ndarray], other: list[np.ndarray] | None, size: np.ndarray | None = None) -> np.ndarray:
     """True for every linked pair of sets (of one list, or of two); sets hold numbers of the global order, ascending.
 
-    The order is cut into fragments; each adds its partial overlaps, and pairs that cannot be linked any more are struck out.
+    size: of both lists, where sets have elements that are not listed as no other set has them. The order is cut into fragments; each
+    adds its partial overlaps, and pairs that cannot be linked any more are struck out.
     """
     both = own if other is None else own + other
-    size = np.array([len(s) for s in both])
-    row, token = np.repeat(np.arange(len(both)), size), np.concatenate(both)
+    listed = np.array([len(s) for s in both])
+    size = listed if size is None else size
+    row, token = np.repeat(np.arange(len(both)), listed), np.concatenate(both)
     tokens, column, times = np.unique(token, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
@@ -287,56 +242,90 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def links(members: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(a, b, degree_a, degree_b): forests of links; degrees count all links of a block.
+def _close(nodes: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+    """(a, b, degree) of the nodes b that have links in a square matrix."""
+    degree = full.sum(axis=1)
+    label, at = forest(full), np.flatnonzero(degree)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[label[at]], pa.int64()), pa.array(nodes[at], pa.int64()), pa.array(degree[at], pa.int64())], names=["a", "b", "degree"])
 
-    members: group, side, same, node, shingles. A group is a bundle (or one block of it: same is true), or two blocks of a bundle, by side.
-    """
 
-    def numbers(packed: bytes) -> np.ndarray:
-        """One number for class and hash of each shingle, in the global order."""
-        grams = np.frombuffer(packed, dtype=U64)
-        return np.sort((classes[_cells(grams)].astype(U64) << U64(57) | grams >> U64(7)).view(np.int64))
-
-    def settle(nodes: np.ndarray, sides: np.ndarray, same: bool, sets: list[np.ndarray]) -> tuple[list, ...]:
-        first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        if same:
-            linked = compare(sets, None)
-            full, degree = linked, linked.sum(axis=1)
-        elif len(first) and len(second):
-            linked = compare([sets[i] for i in first], [sets[i] for i in second])
-            full = np.zeros((len(nodes), len(nodes)), dtype=bool)
-            full[np.ix_(first, second)] = linked
-            full |= full.T
-            degree = full.sum(axis=1)
-        else:
-            return [], [], []
-        label, at = forest(full), np.flatnonzero(degree)
-        return nodes[label[at]].tolist(), nodes[at].tolist(), degree[at].tolist()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """((bundle, block), nodes, sizes, sets) of rows (bundle, block, node, n, shingles) that come block by block."""
+    held: list[tuple] = []
+    at = None
+    for batch in batches:
+        lists = batch.column("shingles")
+        ends, numbers = np.asarray(lists.offsets), np.asarray(lists.values)
+        columns = [batch.column(c).to_pylist() for c in ("bundle", "block", "node", "n")]
+        for i, (bundle, block, node, n) in enumerate(zip(*columns, strict=True)):
+            if (bundle, block) != at:
+                if held:
+                    yield at, np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
+                held, at = [], (bundle, block)
+            held.append((node, n, numbers[ends[i] : ends[i + 1]].copy()))
+    if held:
+        yield at, np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
+
+
+def links_inside(members: DataFrame) -> DataFrame:
+    """(a, b, degree): forests of links inside each block; degrees count its links. members: bundle, block, node, n, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group = None
+        for _, nodes, sizes, sets in _blocks(batches):
+            if len(nodes) > 1:
+                yield _close(nodes, compare(sets, None, sizes))
 
-        def close() -> pa.RecordBatch:
-            nodes, one = np.unique([h[0] for h in held], return_index=True)  # a node may come twice
-            rows = [held[i] for i in one.tolist()]
-            a, b, degree = settle(nodes, np.array([h[1] for h in rows]), rows[0][2], [numbers(h[3]) for h in rows])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64())], names=["a", "b", "degree"])
+    return _by_block(members).mapInArrow(run, "a long, b long, degree long")
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("group", "side", "same", "node", "shingles")]
-            for key, side, same, node, packed in zip(*columns, strict=True):
-                if key != group:
-                    if len(held) > 1:
-                        yield close()
-                    held, group = [], key
-                held.append((node, side, same, packed))
-        if len(held) > 1:
-            yield close()
 
+def _by_block(members: DataFrame) -> DataFrame:
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, degree long")
+    return members.repartition(partitions, "bundle", "block").sortWithinPartitions("bundle", "block").select("bundle", "block", "node", "n", "shingles")
+
+
+def packed_blocks(members: DataFrame) -> DataFrame:
+    """(bundle, block, nodes, sizes, ends, numbers): one row for each block, all its sets in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bundle, block), nodes, sizes, sets in _blocks(batches):
+            ends = np.cumsum([len(s) for s in sets])
+            binary = [pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (nodes, sizes, ends, np.concatenate(sets))]
+            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([block], pa.int64()), *binary], names=["bundle", "block", "nodes", "sizes", "ends", "numbers"])
+
+    return _by_block(members).mapInArrow(run, "bundle long, block long, nodes binary, sizes binary, ends binary, numbers binary")
+
+
+def links_across(blocks: DataFrame) -> DataFrame:
+    """(a, b, degree): as `links_inside`, of links between every two blocks of a bundle; blocks: see `packed_blocks`.
+
+    The table meets itself partition by partition and is read again each time: nothing is copied or shuffled.
+    """
+    parts = ["nodes", "sizes", "ends", "numbers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = ([np.frombuffer(batch.column(f"{c}{side}")[i].as_buffer(), dtype=np.int64) for c in parts] for side in (1, 2))
+                own, other = np.split(one[3], one[2][:-1]), np.split(two[3], two[2][:-1])
+                nodes, k = np.concatenate([one[0], two[0]]), len(own)
+                full = np.zeros((len(nodes), len(nodes)), dtype=bool)
+                full[:k, k:] = compare(own, other, np.concatenate([one[1], two[1]]))
+                yield _close(nodes, full | full.T)
+
+    one, two = (blocks.select(*[F.col(c).alias(f"{c}{side}") for c in blocks.columns]) for side in (1, 2))
+    pairs = one.join(two.hint("shuffle_replicate_nl"), F.expr("bundle1 = bundle2 AND block1 < block2"))
+    return pairs.select(*[f"{c}{side}" for side in (1, 2) for c in parts]).mapInArrow(run, "a long, b long, degree long")
+
+
+@contextmanager
+def _few_rows_at_once(spark: SparkSession):
+    """Rows of several megabytes reach Python a few at a time."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(PAIRS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def member_sets(texts: DataFrame) -> DataFrame:
@@ -370,19 +359,18 @@ def join_similar(documents: DataFrame) -> DataFrame:
     # planned alike at every size: the texts are shuffled once, the candidates are never broadcast
     texts = rows.hint("merge").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
     found_sets = materialise(member_sets(texts), "jaccard-sets")
-    classes = frequency_classes(found_sets)
-    tied = materialise(bundles(postings(found_sets, classes)), "jaccard-bundles")
-    sizes = tied.groupBy(F.col("component").alias("bundle")).agg(F.count("*").alias("nodes"))
-    sets = found_sets.join(tied.select("node", F.col("component").alias("bundle")).join(sizes, "bundle"), "node")
-    blocks = F.ceil(F.col("nodes") / BLOCK).cast("long")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # a block meets itself and every other one
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
-    members = sets.withColumn("pair", F.explode(meets)).select(
-        F.xxhash64("bundle", "pair.i", "pair.j").alias("group"), F.when(F.col("block") == F.col("pair.i"), 0).otherwise(1).alias("side"),
-        (F.col("pair.i") == F.col("pair.j")).alias("same"), "node", "shingles",
-    )
-    found = materialise(links(members, classes), "jaccard-links")
+    shared = materialise(shared_sets(found_sets, chosen), "jaccard-shared")
+    tied = materialise(bundles(shared), "jaccard-bundles").select("node", F.col("component").alias("bundle"))
+    sets = shared.join(tied, "node")
+    sizes = sets.groupBy("bundle").agg(F.count("*").alias("nodes"), F.sum(8 * F.size("shingles").cast("long")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")
+    sizes = materialise(sizes.select("bundle", blocks.alias("blocks")), "jaccard-sizes")
+    members = sets.join(sizes, "bundle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    found = materialise(links_inside(members), "jaccard-links")
+    if not sizes.filter("blocks > 1").isEmpty():
+        stored = materialise(packed_blocks(members.filter("blocks > 1")), "jaccard-blocks")
+        with _few_rows_at_once(documents.sparkSession):
+            found = found.unionByName(materialise(links_across(stored), "jaccard-links-across"))
     reached = components(found.select("a", "b"))
     degrees = found.groupBy(F.col("b").alias("node")).agg(F.sum("degree").alias("n_links"))
     of_node = one.select("node", "chosen").join(reached, "node", "left").select("node", "chosen", F.coalesce("component", "node").alias("component"))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: With this, Spark removes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -26,7 +28,15 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as Parquet and reads it again: it is computed once, and a lost executor costs no recomputation of it."""
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Writes a frame as Parquet and reads it again: it is computed once, and a lost executor costs no recomputation of it.
+
+    Its shuffle files go as soon as it is written, so a job of many steps takes the disk of its largest step.
+    """
+    conf = df.sparkSession.conf
+    path, before = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
