@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.functions import scalars as S
 from wavetrail.operators.joins import asof_backward
+from wavetrail.sources.work import stored
 
 P = "payload."
 
@@ -194,28 +195,40 @@ def grant_entries(parsed: DataFrame, system: str, extra: list[str] = []) -> Data
     group = one(F.col(P + "talkgroup"), F.col(P + "src_unit"), "group", F.col(P + "emergency"), F.col(P + "encrypted"))
     unit = one(F.lit(0).cast("long"), F.col(P + "src_unit"), "unit", no, no)
     entries = F.when(kind == "GroupVoiceGrant", group).when(kind == "GroupVoiceUpdate", updates).when(kind == "UnitVoiceGrant", unit)
-    return parsed.where(kind.isin("GroupVoiceGrant", "GroupVoiceUpdate", "UnitVoiceGrant")).select(
+    return parsed.where(kind.isin(*GRANTS)).select(
         *extra, "id", "timestamp_ns", F.lit(system).alias("system"), F.posexplode(entries).alias("entry", "g")
     ).select(*extra, "id", "timestamp_ns", "system", "entry", "g.*")
 
 
+PLAN = "ChannelParamsUpdate"
+GRANTS = ["GroupVoiceGrant", "GroupVoiceUpdate", "UnitVoiceGrant"]
+STATUS = ["NetworkStatusBroadcast", "RfssStatusBroadcast", "AdjacentSite", "AltControlChannel"]
+
+
+def _kept(parsed: DataFrame, kinds: list[str], name: str) -> DataFrame:
+    """The messages of some kinds, stored: what follows reads them several times, and parsing is the dearest part of it."""
+    return stored(parsed.where(F.col(P + "type").isin(*kinds)), name)
+
+
 def network_grants(parsed: DataFrame, system: str) -> DataFrame:
     """Voice grants with their frequency."""
+    parsed = _kept(parsed, [*GRANTS, PLAN], "grants")
     return resolve_channels(grant_entries(parsed, system), channel_parameters(parsed)).withColumnRenamed("freq_mhz", "voice_freq")
 
 
 def network_sites(parsed: DataFrame, system: str) -> DataFrame:
     """Latest known attributes of every site, from four kinds of message."""
+    parsed = _kept(parsed, [*STATUS, PLAN], "sites")
     kind = F.col(P + "type")
     alts = F.coalesce(F.col(P + "channels"), F.array().cast("array<struct<channel_id: bigint, channel_num: bigint, talkgroup: bigint>>"))
     main = F.array(F.struct(F.col(P + "channel_id").alias("channel_id"), F.col(P + "channel_num").alias("channel_num"), F.lit(None).cast("int").alias("alt")))
     listed = F.transform(alts, lambda c, i: F.struct(c["channel_id"].alias("channel_id"), c["channel_num"].alias("channel_num"), i.alias("alt")))
-    rows = parsed.where(kind.isin("NetworkStatusBroadcast", "RfssStatusBroadcast", "AdjacentSite", "AltControlChannel")).select(
+    rows = parsed.where(kind.isin(*STATUS)).select(
         "id", "timestamp_ns", F.lit(system).alias("system"), F.col(P + "rfss").alias("rfss_id"), F.col(P + "site").alias("site_id"),
         F.col(P + "wacn").alias("wacn"), F.col(P + "system").alias("system_id"),
         F.explode(F.when(kind == "AltControlChannel", listed).otherwise(main)).alias("c"),
     ).select("id", "timestamp_ns", "system", "rfss_id", "site_id", "wacn", "system_id", "c.*")
-    placed = resolve_channels(rows, channel_parameters(parsed))
+    placed = stored(resolve_channels(rows, channel_parameters(parsed)), "placed")
     order = F.struct("timestamp_ns", "id")
     keys = ["system", "rfss_id", "site_id"]
     main = F.col("alt").isNull()
