@@ -53,6 +53,27 @@ def with_intervals(
     return hit.drop("cell", "_t", "start_t", "end_t")
 
 
+def count_intervals(
+    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 1800
+) -> DataFrame:
+    """One output row per key that has sessions which cover the row, with their number as ``covers``.
+
+    What ``with_intervals`` would give as that many rows: starts and ends of a key's sessions are summed up inside each cell, and a row
+    meets the steps of its cell.
+    """
+    cell = cell_s * 1_000_000
+    pieces = clip_intervals(to_seconds_intervals(sessions, as_of, keys), keys, "start_t", "end_t", cell)
+    # the instant of a cell's end belongs to the next one
+    after = F.least(F.col("end_t"), (F.col("cell") + 1) * cell - 1) + 1
+    ends = F.array(F.struct(F.col("start_t").alias("start_t"), F.lit(1).alias("_d")), F.struct(after.alias("start_t"), F.lit(-1).alias("_d")))
+    edges = pieces.select(*keys, "cell", F.inline(ends)).groupBy(*keys, "cell", "start_t").agg(F.sum("_d").alias("_d"))
+    w = Window.partitionBy(*keys, "cell").orderBy("start_t")
+    steps = edges.withColumn("covers", F.sum("_d").over(w)).withColumn("end_t", F.lead("start_t").over(w) - 1).where("covers > 0").drop("_d")
+    left = df.withColumn("_t", time_us).withColumn("cell", F.floor(F.col("_t") / F.lit(cell)).cast("long"))
+    hit = left.join(steps, "cell").where((F.col("_t") >= F.col("start_t")) & (F.col("_t") <= F.col("end_t")))
+    return hit.drop("cell", "_t", "start_t", "end_t")
+
+
 def nearest_in_catalogue(
     df: DataFrame, value: str, catalogue: DataFrame, cat_value: str, payload: list[str], tolerance: float, rank: Column | None = None
 ) -> DataFrame:

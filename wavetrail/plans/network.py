@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavetrail.functions import scalars as S
 from wavetrail.operators import history as H
 from wavetrail.operators.counters import counters, rows, tally
-from wavetrail.operators.joins import with_intervals, within_intervals
+from wavetrail.operators.joins import count_intervals, with_intervals, within_intervals
 from wavetrail.operators.ordered import merge_intervals
 from wavetrail.plans.history import ALG_SQL, DAY_NS, ROT_CTE, sessions_cte, sessions_of
 from wavetrail.plans.registry import query
@@ -264,14 +264,16 @@ CACHE_SQL = f"""SELECT 'site_dashboard' AS cache_key, r.site_id, COUNT(*) AS tot
 
 @query("snk07_dashboard_cache", CACHE_SQL)
 def _(v):
-    heard = with_intervals(v.gr, F.unix_micros("ts"), v.ss.withColumnRenamed("id", "session_id"), ts_lit(AS_OF), ["session_id", "site_id"])
-    secret = tally(F.col("encrypted") == "encrypted")
+    # a grant counts once for each session; equal ones are summed up before the rest
+    heard = count_intervals(v.gr.select("tgid", "uid", "system", "ts"), F.unix_micros("ts"), v.ss, ts_lit(AS_OF), ["site_id"])
+    uses = heard.groupBy("site_id", "tgid", "uid", "system").agg(F.sum("covers").alias("n"))
+    secret = F.coalesce(F.sum(F.when(F.col("encrypted") == "encrypted", F.col("n")).otherwise(0)), F.lit(0))
     return (
-        heard.join(tg_dim(v, "encrypted"), ["tgid", "system"], "left").groupBy("site_id")
+        uses.join(tg_dim(v, "encrypted"), ["tgid", "system"], "left").groupBy("site_id")
         .agg(
-            rows().alias("total_grants"), F.count_distinct("tgid").alias("unique_talkgroups"),
+            F.sum("n").alias("total_grants"), F.count_distinct("tgid").alias("unique_talkgroups"),
             F.count_distinct("uid").alias("unique_radio_ids"), secret.alias("encrypted_count"),
-            F.round(secret * 100.0 / rows(), 6).alias("encrypted_pct"),
+            F.round(secret * 100.0 / F.sum("n"), 6).alias("encrypted_pct"),
         )
         .withColumn("cache_key", F.lit("site_dashboard"))
     )
