@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.llm import decontamination, jaccard_join, language_id, mixing, secret_scan
 from wavetrail.llm.registry import query, table
-from wavetrail.llm.work import materialise
+from wavetrail.llm.work import materialise, sifted
 
 #: Stands for null in keys, so that joins are plain equi joins.
 NO_ID = -(1 << 63)
@@ -28,12 +28,16 @@ def _with_key(frame: DataFrame, row_key: Column | str) -> DataFrame:
 def _without(docs: DataFrame, row_key: Column, rejected: DataFrame, name: str, share: bool = False) -> DataFrame:
     """Rows whose (doc_id, row_key) is not rejected.
 
-    The rejected keys are written first, so Spark broadcasts them only if they are few; where a share of all documents goes, the
-    join is planned as a merge at every size.
+    The rejected keys are written first, so Spark broadcasts them only if they are few; where a share of all documents goes, those
+    that may be rejected are told by a sieve, and only they are shuffled for a merge join.
     """
     keys = materialise(_with_key(rejected, "row_key").select("_id", "_key").distinct(), name)
     keyed = _with_key(docs, row_key)
-    return (keyed.hint("merge") if share else keyed).join(keys, ["_id", "_key"], "left_anti").select(*docs.columns)
+    if not share:
+        return keyed.join(keys, ["_id", "_key"], "left_anti").select(*docs.columns)
+    sure = sifted(keyed, F.xxhash64("_id", "_key"), keys, F.xxhash64("_id", "_key"), f"{name}-sieve")
+    left = sure.filter("_may").hint("merge").join(keys, ["_id", "_key"], "left_anti")
+    return sure.filter("NOT _may").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def _text_key() -> Column:

@@ -77,3 +77,53 @@ def test_odd_rows_pass_every_stage(spark):
     kept = [r.doc_id for r in cp.similar_stage(spark, df, SF).collect()]
     assert kept.count(3) == 1 and kept.count(2) == 2  # one of them is the empty text
     assert "abcdefgh1" not in str(cp.secret_stage(spark, df, SF).filter(F.col("doc_id") == 50).collect())
+
+
+def test_similar_stage_shuffles_only_texts_that_may_go_and_leaves_no_sets(spark, monkeypatch):
+    from pathlib import Path
+
+    from wavetrail.llm import jaccard_join, work
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**9)}" for _ in range(40))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)] + [(None, rows[30][1]), (1000, "another text of the same id"), (2000, None)]
+    df = documents(spark, rows)
+    written, plain = {}, work.materialise
+
+    def kept(frame, name):
+        out = plain(frame, name)
+        written[name] = [Path(f.removeprefix("file:")).parent for f in out.inputFiles()[:1]]
+        return out
+
+    merged, join = [], type(df).join
+
+    def seen(self, other, *a, **b):
+        if "text" in self.columns and a and isinstance(a[-1], str) and a[-1] == "left_anti":
+            merged.append(self.count())
+        return join(self, other, *a, **b)
+
+    for module in (work, jaccard_join, cp):
+        monkeypatch.setattr(module, "materialise", kept)
+    monkeypatch.setattr(type(df), "join", seen)
+    stayed = as_rows(cp.similar_stage(spark, df, SF))
+    gone = [(1000 + i, rows[i][1] + " more") for i in range(20)] + [(None, rows[30][1])]
+    assert sorted(map(repr, (r[:2] for r in stayed))) == sorted(map(repr, (r for r in rows if r not in gone)))
+    assert merged and 21 <= merged[0] < 60
+    assert written["jaccard-sets"] and written["jaccard-shared"]
+    assert not any(f.exists() for name in ("jaccard-sets", "jaccard-shared") for f in written[name])
+
+
+def test_a_sieve_lets_every_key_pass(spark, monkeypatch):
+    from wavetrail.llm import work
+
+    keys = spark.range(5000).selectExpr("CASE WHEN id > 0 THEN id * 7 END AS k")
+    rows = spark.range(70000).selectExpr("CASE WHEN id > 0 THEN id END AS id", "'x' AS text")
+    held = F.expr("id IS NULL OR (id % 7 = 0 AND id < 35000)")
+    for most in (work.SIEVE_MOST, 1 << 15):
+        monkeypatch.setattr(work, "SIEVE_MOST", most)
+        out = work.sifted(rows, F.xxhash64("id"), keys, F.xxhash64("k"), "sieve")
+        assert out.columns == ["id", "text", "_may"] and out.count() == 70000
+        assert out.filter(held & ~F.col("_may")).isEmpty()
+        assert (out.filter("_may").count() < 12000) == (most > 1 << 15)
+    none = work.sifted(rows, F.xxhash64("id"), keys.limit(0), F.xxhash64("k"), "sieve")
+    assert none.filter("_may").isEmpty() and none.count() == 70000

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from wavetrail.llm.batches import LOWER, U64, Totals, mix, pieces, slices, utf8, word_hashes, words
 from wavetrail.llm.components import components
 from wavetrail.llm.registry import query, table
-from wavetrail.llm.work import materialise
+from wavetrail.llm.work import materialise, release, sifted
 
 #: Words of a shingle, and the least likeness in hundredths.
 WORDS, PERCENT = 5, 80
@@ -356,10 +356,12 @@ def join_similar(documents: DataFrame) -> DataFrame:
     # one row of each node: the least id, of equal ids any (the text's node is compared again)
     one = known.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("chosen"), F.max("size").alias("n"))
     chosen = materialise(candidates(rows, one), "jaccard-candidates")
-    # planned alike at every size: the texts are shuffled once, the candidates are never broadcast
-    texts = rows.hint("merge").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
+    # planned alike at every size: texts that may be chosen are shuffled once, the candidates are never broadcast
+    likely = sifted(rows, F.xxhash64("doc_id"), chosen, F.xxhash64("chosen"), "jaccard-sieve").filter("_may")
+    texts = likely.hint("merge").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
     found_sets = materialise(member_sets(texts), "jaccard-sets")
     shared = materialise(shared_sets(found_sets, chosen), "jaccard-shared")
+    release(found_sets)
     tied = materialise(bundles(shared), "jaccard-bundles").select("node", F.col("component").alias("bundle"))
     sets = shared.join(tied, "node")
     sizes = sets.groupBy("bundle").agg(F.count("*").alias("nodes"), F.sum(8 * F.size("shingles").cast("long")).alias("bytes"))
@@ -369,8 +371,12 @@ def join_similar(documents: DataFrame) -> DataFrame:
     found = materialise(links_inside(members), "jaccard-links")
     if not sizes.filter("blocks > 1").isEmpty():
         stored = materialise(packed_blocks(members.filter("blocks > 1")), "jaccard-blocks")
+        release(shared)
         with _few_rows_at_once(documents.sparkSession):
             found = found.unionByName(materialise(links_across(stored), "jaccard-links-across"))
+        release(stored)
+    else:
+        release(shared)
     reached = components(found.select("a", "b"))
     degrees = found.groupBy(F.col("b").alias("node")).agg(F.sum("degree").alias("n_links"))
     of_node = one.select("node", "chosen").join(reached, "node", "left").select("node", "chosen", F.coalesce("component", "node").alias("component"))
