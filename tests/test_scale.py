@@ -29,6 +29,36 @@ def test_sessions_are_counted_without_a_row_for_each(spark):
     assert sorted(map(repr, map(tuple, counted.select("id", "site_id", "covers").collect()))) == want and len(want) > 10
 
 
+def test_pairs_of_one_cell_are_dealt_over_tasks(spark):
+    us = F.timestamp_micros(F.lit(1704067200 * 10**6) + F.col("m"))
+    n = F.col("n")
+    # all but a few grants within one half hour, some twice, some without an id; sessions begin and end inside of it, cover it, or are open
+    grants = spark.range(0, 900, 1, 1).select(F.col("id").alias("n")).select(
+        F.when(n % 90 != 7, n - n % 3).alias("id"), F.when(n % 100 == 99, 3 * 1800 * 10**6 + n).otherwise((n - n % 3) * 10**6).alias("m")
+    ).withColumn("ts", us)
+    sessions = spark.range(0, 60, 1, 1).select(F.col("id").alias("n")).select(
+        F.when(n != 5, n - n % 2).alias("session_id"), F.when(n % 11 != 0, n % 10).alias("site_id"), ((n % 7) * 300 * 10**6).alias("m"), n
+    ).withColumn("start_time", us).withColumn("m", F.col("m") + F.when(n % 9 != 0, n % 4 * 1500 * 10**6)).withColumn("end_time", us).drop("m", "n")
+    as_of = F.to_timestamp(F.lit("2024-01-01 02:00:00"))
+    got = with_intervals(grants.drop("m"), F.unix_micros("ts"), sessions, as_of, ["session_id", "site_id"], block=100)
+    assert got.columns == ["id", "ts", "session_id", "site_id"]
+    held = [(s.session_id, s.site_id, s.start_time, s.end_time) for s in sessions.withColumn("end_time", F.coalesce("end_time", as_of)).collect()]
+    want = [(g.id, g.ts, i, k) for g in grants.collect() for i, k, a, b in held if a <= g.ts <= b]
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(repr(tuple(r[:4])) for r in rows) == sorted(map(repr, want)) and len(want) > 10_000
+    assert len({r.task for r in rows}) > 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "SortMergeJoin" in plan  # pieces are not broadcast
+
+
+def test_equal_rows_of_a_block_are_cut_into_lists(spark):
+    at = F.to_timestamp(F.lit("2024-01-01 00:10:00"))
+    grants = spark.range(700).select(F.lit(1).alias("id"), at.alias("ts"))
+    sessions = spark.range(3).select(F.col("id").alias("session_id"), at.alias("start_time"), at.alias("end_time"))
+    got = with_intervals(grants, F.unix_micros("ts"), sessions, at, ["session_id"], block=10)
+    assert [tuple(r) for r in got.groupBy("id", "session_id").count().orderBy("session_id").collect()] == [(1, i, 700) for i in range(3)]
+
+
 class Handle:
     """The state of one group in memory; counts the calls that change it."""
 

@@ -42,15 +42,39 @@ def within_intervals(
 
 
 def with_intervals(
-    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 1800
+    df: DataFrame, time_us: Column, sessions: DataFrame, as_of: Column, keys: list[str], cell_s: int = 1800, block: int = 4096
 ) -> DataFrame:
-    """Inner join: one output row per session that covers the row."""
+    """Inner join: one output row per session that covers the row.
+
+    The output may be far larger than both inputs, so their bytes say nothing about the work. Rows of a cell are dealt by hash to blocks
+    of about ``block``; a piece of a session goes to every block of its cell that has rows, once, and meets the block's rows there. Tasks
+    hold blocks, not cells: what is shuffled is the rows, the pieces and one row for ``block`` candidates. Only the number of blocks per cell is
+    broadcast. Equal rows share a block, which is cut into lists of at most twice ``block``. Columns of ``df`` must be hashable.
+    """
+    spark = df.sparkSession
+    # tasks are not merged by their bytes, and a table of pieces is not taken for as small as the sessions it is made from
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     cell = cell_s * 1_000_000
-    spans = to_seconds_intervals(sessions, as_of, keys)
-    pieces = clip_intervals(spans, keys, "start_t", "end_t", cell)
-    left = df.withColumn("_t", time_us).withColumn("cell", F.floor(F.col("_t") / F.lit(cell)).cast("long"))
-    hit = left.join(pieces, "cell").where((F.col("_t") >= F.col("start_t")) & (F.col("_t") <= F.col("end_t")))
-    return hit.drop("cell", "_t", "start_t", "end_t")
+    timed = df.withColumn("_t", time_us).where("_t IS NOT NULL").withColumn("cell", F.floor(F.col("_t") / F.lit(cell)).cast("long"))
+    blocks = F.broadcast(timed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_blocks")))
+    held = (
+        timed.join(blocks, "cell")
+        .withColumn("_block", F.pmod(F.xxhash64("_t", *df.columns), F.col("_blocks")))
+        .repartition(tasks, "cell", "_block")
+        .withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("cell", "_block").orderBy("_t")) - 1) / F.lit(2 * block)))
+        .groupBy("cell", "_block", "_part")
+        .agg(F.collect_list(F.struct("_t", *df.columns)).alias("_rows"))
+    )
+    spans = to_seconds_intervals(sessions, as_of, keys).repartition(tasks)
+    pieces = (
+        clip_intervals(spans, keys, "start_t", "end_t", cell)
+        .join(blocks, "cell")
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        .drop("_blocks")
+        .repartition(tasks, "cell", "_block")
+    )
+    met = pieces.hint("merge").join(held, ["cell", "_block"]).select(*keys, "start_t", "end_t", F.inline("_rows"))
+    return met.where((F.col("_t") >= F.col("start_t")) & (F.col("_t") <= F.col("end_t"))).select(*df.columns, *keys)
 
 
 def count_intervals(

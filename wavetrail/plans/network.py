@@ -64,7 +64,8 @@ def _(v):
 )
 def _(v):
     sessions = v.ss.withColumnRenamed("id", "session_id")
-    return with_intervals(v.gr, F.unix_micros("ts"), sessions, ts_lit(AS_OF), ["session_id", "site_id"]).select("session_id", "site_id", "id")
+    grants = v.gr.select("id", "ts")  # rows are collected whole
+    return with_intervals(grants, F.unix_micros("ts"), sessions, ts_lit(AS_OF), ["session_id", "site_id"]).select("session_id", "site_id", "id")
 
 
 @query(
