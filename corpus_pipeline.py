@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavetrail.llm import decontamination, jaccard_join, language_id, mixing, secret_scan
 from wavetrail.llm.registry import query, table
-from wavetrail.llm.work import materialise, sifted
+from wavetrail.llm.work import materialise, sifted, small_batches
 
 #: Stands for null in keys, so that joins are plain equi joins.
 NO_ID = -(1 << 63)
@@ -45,11 +45,13 @@ def _text_key() -> Column:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _without(docs, language_id.row_key(), language_id.identify_documents(docs).filter("NOT kept"), "language-rejected")
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component one document stays; of rows that equal in id and text, too. Documents without words stay."""
+    small_batches(spark)
     found = materialise(jaccard_join.join_similar(docs).filter("n_shingles > 0"), "similar")
     # the least id has the component's name; among texts of that id the least key stays
     first = found.filter("doc_id = component_id").groupBy(F.col("component_id").alias("_component")).agg(F.min("row_key").alias("_first"))
@@ -65,11 +67,13 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     leaks = decontamination.find_held(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, _text_key(), leaks, "benchmark-leaks")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secret_scan.redact(docs)
 
 

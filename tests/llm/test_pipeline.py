@@ -7,7 +7,8 @@ from test_decontamination import leaks
 from test_jaccard_join import brute
 from test_mixing import fill
 
-from wavetrail.llm import language_id, secret_scan
+from wavetrail.llm import batches, decontamination, jaccard_join, language_id, secret_scan
+from wavetrail.llm.work import BATCH_BYTES
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -127,3 +128,35 @@ def test_a_sieve_lets_every_key_pass(spark, monkeypatch):
         assert (out.filter("_may").count() < 12000) == (most > 1 << 15)
     none = work.sifted(rows, F.xxhash64("id"), keys.limit(0), F.xxhash64("k"), "sieve")
     assert none.filter("_may").isEmpty() and none.count() == 70000
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    """One partition of 8 MB reaches Python in batches of 2 MB, not whole, and in pieces of 256 KB."""
+
+    def strict(batch, *more):
+        assert batch.nbytes < 3 << 20, batch.nbytes
+        return batches.slices(batch, *more)
+
+    def strict_pieces(offsets, *more):
+        for low, high in batches.pieces(offsets, *more):
+            assert high == low + 1 or offsets[high] - offsets[low] <= 1 << 18
+            yield low, high
+
+    spark.conf.unset(BATCH_BYTES)
+    words = F.transform(F.sequence(F.lit(0), F.lit(150)), lambda i: F.substring(F.sha2((F.col("id") * 1000 + i).cast("string"), 256), 1, 12))
+    docs = spark.range(0, 4000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"), F.lit(1962).cast("long").alias("n_chars"),
+    )
+    for module in (language_id, jaccard_join, decontamination, secret_scan):
+        monkeypatch.setattr(module, "slices", strict)
+        if hasattr(module, "pieces"):
+            monkeypatch.setattr(module, "pieces", strict_pieces)
+    try:
+        for _, stage in cp.STAGES[:4]:
+            spark.conf.unset(BATCH_BYTES)
+            assert stage(spark, docs, SF).count() == 4000
+        spark.conf.set(BATCH_BYTES, "1m")
+        cp.secret_stage(spark, docs, SF)
+        assert spark.conf.get(BATCH_BYTES) == "1m"  # a session's own limit holds
+    finally:
+        spark.conf.unset(BATCH_BYTES)

@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes of text whose arrays are held at once (a longer text is taken alone).
-CHUNK_BYTES = 1 << 20
+#: Bytes of text whose arrays are held at once (a longer text is taken alone); they take some 50 times as much.
+CHUNK_BYTES = 1 << 18
+#: Bytes of text that are handed on at once.
+SLICE_BYTES = 2 << 20
 #: \x20 and \x09-\x0D separate words.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -90,7 +92,7 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         low = min(high, n)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in parts that hold at most `limit` bytes in a column, or one row."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     for low, high in pieces(np.concatenate([[0], np.cumsum(lengths)]), limit):

@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavetrail.llm.batches import SLICE_BYTES
+
 _OWN: dict[str, str] = {}
 #: With this, Spark removes the shuffle files of a query when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch that Spark hands to Python, and gets to hold for it outside its heap.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bits of a sieve for each key, and at most (8 MB; a fuller sieve lets more rows pass).
 SIEVE_BITS, SIEVE_MOST = 16, 1 << 26
 
@@ -45,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets batches for Python end at SLICE_BYTES, unless the session has set a limit: operators take no more at a time.
+
+    Without it a batch has up to 10 000 rows or 64 MB, held by the executor and by its worker, both of which keep the memory.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+    return spark
+
+
 def release(*frames: DataFrame) -> None:
     """Removes the files of materialised frames that nothing reads any more; frames made of them must be materialised themselves."""
     for df in frames:
