@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_scale import Handle, SimpleNamespace
+from wavetrail.operators import messages as M
+from wavetrail.sources import readers
 from wavetrail.streaming import jobs as J
 from wavetrail.streaming import live as L
 
@@ -37,7 +39,7 @@ def test_columns_give_what_single_rows_give(tracker, huge):
         rows, results = some_rows(dice, 120, begin, end, huge), []
         for memories, walk in zip(kept, (type(tracker).walk, L.Tracker.walk)):
             parts = [pa.Table.from_pylist(some, L._table({"key": "string", **L._ROW})) for some in (rows[:50], rows[50:])]
-            found = walk(tracker, memories, L.Ready(parts), end * MS)
+            found = walk(tracker, memories, L.Ready(L._joined(parts)), end * MS)
             results.append(sorted(repr(one) for part in found for one in L._findings("t", False, part).to_pylist()))
         assert results[0] == results[1] and kept[0] == kept[1]
         kinds.update(results[0])
@@ -66,6 +68,18 @@ def test_a_block_costs_one_call(spark):
     assert out.count() == 14_989 and tuple(out.orderBy("id").first()) == ("row", False, "k", "row", 10, "10")
 
 
+def test_messages_of_other_kinds_are_not_parsed(spark):
+    """What names a kind is parsed, also by an escape; the rest is kept with no payload."""
+    named = ['{"nac": 1, "payload": {"type": "DenyResponse", "src_unit": 5}}', '{"payload": {"type": "Deny\\u0052esponse", "src_unit": 6}}', "{'payload': {'type': 'DenyResponse'}}"]
+    texts = [*named, '{"nac": 4, "payload": {"type": "Other"}}', '{"payload": {"type": "DenyResp', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, message string").withColumn("timestamp_ns", F.lit(0))
+    some, every = (readers.protocol_messages(rows, kinds=kinds).orderBy("id").collect() for kinds in (["DenyResponse"], None))
+    assert [r for r in some if r.payload] == [r for r in every if r.payload and r.payload.type == "DenyResponse"] == some[:3]
+    assert [r.id for r in some] == list(range(6)) and some[3].nac is None and every[3].nac == 4
+    told = [[tuple(r) for r in M.message_findings(readers.protocol_messages(rows, kinds=kinds)).collect()] for kinds in (M.TELLING, None)]
+    assert told[0] == told[1] and len(told[0]) == 3
+
+
 def test_rows_without_a_time_are_refused(spark):
     rows = spark.createDataFrame([(1, None, None)], "id long, ts timestamp, timestamp_ns long")
     with pytest.raises(Exception, match="without a time"):

@@ -203,6 +203,7 @@ def grant_entries(parsed: DataFrame, system: str, extra: list[str] = []) -> Data
 PLAN = "ChannelParamsUpdate"
 GRANTS = ["GroupVoiceGrant", "GroupVoiceUpdate", "UnitVoiceGrant"]
 STATUS = ["NetworkStatusBroadcast", "RfssStatusBroadcast", "AdjacentSite", "AltControlChannel"]
+TELLING = ["NetworkStatusBroadcast", "UnitRegistration", "DenyResponse"]
 
 
 def _kept(parsed: DataFrame, kinds: list[str], name: str) -> DataFrame:

@@ -51,7 +51,7 @@ def written(spark, path: str, schema: str):
 
 def analysis_rows(v, log, path: str, late: str = LATE, until_s: int = END_S):
     live = live_views(v, log)
-    messages = parsed(live).withColumn("ts", F.timestamp_micros(F.expr("timestamp_ns div 1000")))
+    messages = lambda kinds: parsed(live, kinds).withColumn("ts", F.timestamp_micros(F.expr("timestamp_ns div 1000")))
     replay(v, path, lambda beats: L.write_findings(L.analysis(live.crypto, live.gr, live.hits, messages, beats, DAY_NS, late), path, L.describe), until_s)
     return written(v.spark, f"{path}/findings", "finding string, id long, timestamp_ns long, summary string")
 

@@ -50,8 +50,8 @@ def messages(v):
     return rows.select("id", "timestamp_ns", F.to_json(F.struct(F.lit(659).alias("nac"), payload.alias("payload"))).alias("message"))
 
 
-def parsed(v):
-    return readers.protocol_messages(messages(v))
+def parsed(v, kinds=None):
+    return readers.protocol_messages(messages(v), kinds=kinds)
 
 
 _types_sql = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,16 +83,21 @@ def iq_files(spark: SparkSession, path: str, pairs_per_row: int = 65_536) -> Dat
     return raw.mapInPandas(split, "path string, part int, enough_samples boolean, i array<double>, q array<double>")
 
 
-def protocol_messages(messages: DataFrame, text: str = "message") -> DataFrame:
-    """Tagged-union JSON to typed columns ``nac`` and ``payload``."""
-    return parse_once(messages, text, schemas.PROTOCOL_MESSAGE)
+def protocol_messages(messages: DataFrame, text: str = "message", kinds: list[str] | None = None) -> DataFrame:
+    """Tagged-union JSON to typed columns ``nac`` and ``payload``; for some kinds only, others may be left NULL."""
+    return parse_once(messages, text, schemas.PROTOCOL_MESSAGE, kinds)
 
 
-def parse_once(df: DataFrame, text: str, schema) -> DataFrame:
+def parse_once(df: DataFrame, text: str, schema, words: list[str] | None = None) -> DataFrame:
     """Replace a JSON text column by its top-level fields, parsing each row once.
 
     Selecting fields of ``from_json`` would parse the text again for every field
-    used; going through a generator keeps it to one parse.
+    used; going through a generator keeps it to one parse. A text that cannot
+    name one of the ``words`` as a value is not parsed, its fields are NULL.
     """
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.inline(F.array(F.from_json(text, schema))))
+    fields = F.from_json(text, schema)
+    if words is not None:
+        # a value is spelled out in its text unless there is an escape in it
+        fields = F.when(reduce(or_, [F.contains(text, F.lit(w)) for w in [*words, "\\"]]), fields)
+    return df.select(*keep, F.inline(F.array(fields)))

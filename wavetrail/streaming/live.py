@@ -15,7 +15,7 @@ by one, at a cost that a block's rows share. Trackers that see many rows work on
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import islice
 
@@ -67,18 +67,16 @@ _NOTHING = dict.fromkeys(_ROW) | {"low_ns": 0, "high_ns": 0}
 #: Rows that a block holds at most, and groups that the keys of a tracker are dealt to.
 BLOCK, GROUPS = 16_384, 4096
 #: Bytes of rows that are packed at once, and of blocks that one entry of the state holds.
-PACKED, ENTRY = 32 << 20, 2 << 20
+PACKED, ENTRY = 16 << 20, 2 << 20
 
 
 class Ready:
     """Rows of a group in order of key and time; ``spans`` tells where a key's rows begin and end."""
 
-    def __init__(self, tables: list[pa.Table]):
-        rows = pa.concat_tables(tables, promote_options="default").combine_chunks()
+    def __init__(self, rows: pa.Table):
         keys = rows["key"].combine_chunks().dictionary_encode()
-        place = [pc.fill_null(rows[n], 0).to_numpy() for n in ("low_ns", "id", "rank", "timestamp_ns") if n in rows.column_names]
         codes = keys.indices.to_numpy()
-        order = np.lexsort([*place, codes])
+        order = np.lexsort([*[pc.fill_null(rows[n], 0).to_numpy() for n in ("low_ns", "id", "rank", "timestamp_ns") if n in rows.column_names], codes])
         self.rows, codes = rows.take(order), codes[order]
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
         names = keys.dictionary.to_pylist()
@@ -480,6 +478,13 @@ def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
         yield rows.slice(at, BLOCK)
 
 
+def _joined(parts: list[pa.Table]) -> pa.Table:
+    """The rows of all parts, which are given up."""
+    rows = pa.concat_tables(parts, promote_options="default").combine_chunks()
+    parts.clear()
+    return rows
+
+
 def _entries(blocks: Iterator[bytes]) -> Iterator[tuple[list[bytes]]]:
     """Blocks as entries of the state."""
     held, size = [], 0
@@ -553,19 +558,24 @@ class InOrder(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs() * MS
         tracker, memories = self.trackers[name], self.memory.get()
         memories = json.loads(memories[0]) if memories else {}
-        ready, rest, due = [], [], []
+        parts, rest = [], []
         for (blocks,) in self.waiting.get() if self.waiting.exists() else ():
             for block in blocks:
                 rows = _load(block)
                 fresh = pc.greater_equal(rows["timestamp_ns"], mark)
-                for part, to in ((rows.filter(pc.invert(fresh)), ready), (rows.filter(fresh), rest)):
-                    if part.num_rows:
-                        to.append(part)
-        ready = Ready(ready) if ready else None
+                if not pc.any(fresh).as_py():
+                    parts.append(rows)  # no copy
+                elif pc.all(fresh).as_py():
+                    rest.append(rows)
+                else:
+                    parts.append(rows.filter(pc.invert(fresh)))
+                    rest.append(rows.filter(fresh))
+        ready = Ready(_joined(parts)) if parts else None
         yield from tracker.walk(memories, ready, mark)
-        due += [deadline for memory in memories.values() if (deadline := tracker.deadline(memory)) is not None]
+        ready = None
+        due = [deadline for memory in memories.values() if (deadline := tracker.deadline(memory)) is not None]
         if rest:
-            rest = pa.concat_tables(rest, promote_options="default").combine_chunks()
+            rest = _joined(rest)
             due.append(pc.min(rest["timestamp_ns"]).as_py())
             self.waiting.put(list(_entries(map(_dump, _pieces(rest)))))
         else:
@@ -597,14 +607,15 @@ class Blocks(InOrder):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for late in self._arrived(((begin, block) for frame in rows for begin, block in zip(frame["first_ns"], frame["block"])), timerValues):
-            yield self._frame(key[0], True, late)
+            yield from self._frames(key[0], True, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for found in self._released(key[0], timerValues):
-            yield self._frame(key[0], False, found)
+            yield from self._frames(key[0], False, found)
 
-    def _frame(self, tracker: str, late: bool, found: pa.Table) -> pd.DataFrame:
-        return pd.DataFrame({"block": [_dump(part) for part in _pieces(found)]}).assign(tracker=tracker, late=late)
+    def _frames(self, tracker: str, late: bool, found: pa.Table) -> Iterator[pd.DataFrame]:
+        for part in _pieces(found):
+            yield pd.DataFrame({"tracker": [tracker], "late": [late], "block": [_dump(part)]})
 
 
 def _findings(tracker: str, late: bool, found: pa.Table) -> pa.RecordBatch:
@@ -644,8 +655,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch)
             size += batch.nbytes
         if size >= PACKED:
-            yield blocks(pa.Table.from_batches(held).combine_chunks())
-            held, size = [], 0
+            held, size, rows = [], 0, pa.Table.from_batches(held).combine_chunks()
+            yield blocks(rows)
     if held:
         yield blocks(pa.Table.from_batches(held).combine_chunks())
 
@@ -738,16 +749,19 @@ def write_findings(found: DataFrame, path: str, make=None):
 # --- jobs ------------------------------------------------------------------------
 
 
-def analysis(crypto: DataFrame, grants: DataFrame, hits: DataFrame, parsed: DataFrame, beats: DataFrame, gap_ns: int, late: str, system: str = "SYS") -> DataFrame:
+def analysis(
+    crypto: DataFrame, grants: DataFrame, hits: DataFrame, parsed: Callable[[list[str]], DataFrame], beats: DataFrame, gap_ns: int, late: str, system: str = "SYS"
+) -> DataFrame:
     """Rotations, first sightings, traffic sessions and network findings as one stream (see ``describe``).
 
-    The four streams need ``ts``; what needs no state goes along in order of time.
+    The four streams need ``ts``; what needs no state goes along in order of time. ``parsed`` gives the messages with those of some kinds
+    parsed: a stream's rows cannot be kept for several readers, and parsing is the dearest part of them.
     """
     rotations = crypto.withColumn("alg", S.algorithm_id(F.col("algorithm"), F.col("encrypted_flag")))
     name = lambda *parts: F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("?")) for p in parts])
     sessions = hits.withColumn("freq_key", S.fixed(F.col("freq_mhz"), 3))
-    urgent = M.grant_entries(parsed, system, extra=["ts"]).where("emergency")
-    plans = M.channel_parameters(parsed, extra=["ts"])
+    urgent = M.grant_entries(parsed(M.GRANTS), system, extra=["ts"]).where("emergency")
+    plans = M.channel_parameters(parsed([M.PLAN]), extra=["ts"])
     parts = [
         keyed(rotations, "rotation", name("system", "tgid"), tgid="tgid", uid="uid", alg="alg", key_id="key_id"),
         keyed(grants.where(F.col("uid") > 0), "sighting", name("system", "uid"), tgid="tgid", uid="uid"),
@@ -755,7 +769,7 @@ def analysis(crypto: DataFrame, grants: DataFrame, hits: DataFrame, parsed: Data
         # a plan counts for grants of its own instant
         keyed(plans, "channel", F.col("channel_id"), rank=0, channel_id="channel_id", base_hz="base_hz", spacing_hz="spacing_hz"),
         keyed(urgent, "channel", F.coalesce("channel_id", F.lit(-1)), tgid="tgid", uid="uid", channel_num="channel_num"),
-        keyed(M.message_findings(parsed, extra=["ts"]), "message", F.pmod(F.xxhash64("id"), F.lit(SHARES)), kind="finding", note="summary"),
+        keyed(M.message_findings(parsed(M.TELLING), extra=["ts"]), "message", F.pmod(F.xxhash64("id"), F.lit(SHARES)), kind="finding", note="summary"),
         heartbeats(beats),
     ]
     trackers = {"message": Hold(), "rotation": Rotations(), "sighting": Sightings(), "traffic": Sessions(gap_ns), "channel": Channels()}
